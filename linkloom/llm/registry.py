@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from linkloom.llm import host_reputation, language, quality, toxicity
+from linkloom.llm import decontamination, host_reputation, language, mixing, passages, quality, toxicity
 
 QUERIES = {
+    "op1_entropy_mix": mixing.op1_entropy_mix,
     "op2_host_reputation": host_reputation.op2_host_reputation,
     "op3_rank_order_language": language.op3_rank_order_language,
     "op4_ordinal_toxicity": toxicity.op4_ordinal_toxicity,
     "op6_quality_qda": quality.op6_quality_qda,
+    "op7_template_leaks": decontamination.op7_template_leaks,
+    "op9_phrase_automata": passages.op9_phrase_automata,
 }
 
-ORACLE_SQL = {"op2_host_reputation": host_reputation.ORACLE_SQL}
+ORACLE_SQL = {
+    "op2_host_reputation": host_reputation.ORACLE_SQL,
+    "op9_phrase_automata": passages.ORACLE_SQL,
+}
