@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from linkloom.llm import decontamination, host_reputation, language, mixing, passages, quality, toxicity
+from linkloom.llm import decontamination, host_reputation, language, mixing, passages, quality, toxicity, vectors
 
 QUERIES = {
     "op1_entropy_mix": mixing.op1_entropy_mix,
     "op2_host_reputation": host_reputation.op2_host_reputation,
     "op3_rank_order_language": language.op3_rank_order_language,
     "op4_ordinal_toxicity": toxicity.op4_ordinal_toxicity,
+    "op5_multi_index": vectors.op5_multi_index,
     "op6_quality_qda": quality.op6_quality_qda,
     "op7_template_leaks": decontamination.op7_template_leaks,
     "op9_phrase_automata": passages.op9_phrase_automata,
@@ -16,5 +17,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_host_reputation": host_reputation.ORACLE_SQL,
+    "op5_multi_index": vectors.ORACLE_SQL,
     "op9_phrase_automata": passages.ORACLE_SQL,
 }
