@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkloom.llm import decontamination, host_reputation, language, mixing, passages, quality, toxicity, vectors
+from linkloom.llm import dart_minhash, decontamination, host_reputation, language, mixing, passages, quality, toxicity, vectors
 
 QUERIES = {
     "op1_entropy_mix": mixing.op1_entropy_mix,
@@ -12,11 +12,13 @@ QUERIES = {
     "op5_multi_index": vectors.op5_multi_index,
     "op6_quality_qda": quality.op6_quality_qda,
     "op7_template_leaks": decontamination.op7_template_leaks,
+    "op8_dart_minhash": dart_minhash.op8_dart_minhash,
     "op9_phrase_automata": passages.op9_phrase_automata,
 }
 
 ORACLE_SQL = {
     "op2_host_reputation": host_reputation.ORACLE_SQL,
     "op5_multi_index": vectors.ORACLE_SQL,
+    "op8_dart_minhash": dart_minhash.ORACLE_SQL,
     "op9_phrase_automata": passages.ORACLE_SQL,
 }
