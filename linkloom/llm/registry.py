@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkloom.llm import dart_minhash, decontamination, host_reputation, language, mixing, passages, quality, toxicity, vectors
+from linkloom.llm import dart_minhash, decontamination, host_reputation, language, mixing, passages, personal_data, quality, toxicity, vectors
 
 QUERIES = {
     "op1_entropy_mix": mixing.op1_entropy_mix,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_template_leaks": decontamination.op7_template_leaks,
     "op8_dart_minhash": dart_minhash.op8_dart_minhash,
     "op9_phrase_automata": passages.op9_phrase_automata,
+    "op10_weak_supervision": personal_data.op10_weak_supervision,
 }
 
 ORACLE_SQL = {
