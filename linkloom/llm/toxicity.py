@@ -9,8 +9,8 @@ it is made of terms that mark toxic documents: the upper half of labelled toxic
 documents by that count is grade 2, the rest grade 1.
 
 Features are words and word starts of five letters (lower case, runs of ``\\w``)
-that mark toxic documents in the labelled sample, each with weight 1 + ln(count)
-capped by nothing; the whole text is read. The sample is bounded by
+that mark toxic documents in the labelled sample, each with weight 1 + ln(count);
+the whole text is read. The sample is bounded by
 ``max_labelled`` rows and chosen by a hash of the id, the vocabulary by
 ``max_terms``.
 
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import bounded_sample, documents_of
+from linkloom.llm.common import bounded_sample, cut, documents_of
 
 _TOKEN = re.compile(r"\w+")
 SCORE_SCHEMA = "expected_grade double, p_toxic double, grade int"
@@ -125,8 +125,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000,
     ``max_labelled`` labelled rows are read, of which only the counts of known
     terms reach the driver."""
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marks = bounded_sample(marks, "doc_id", max_labelled, marks.count())
-    sample = docs.select("doc_id", "text").join(marks, "doc_id")
+    n = marks.count()
+    marks = bounded_sample(marks, "doc_id", max_labelled, n)
+    # the bound holds for the labels' side, which is broadcast; texts are not shuffled
+    sample = cut(bounded_sample(docs.select("doc_id", "text"), "doc_id", max_labelled, n).join(F.broadcast(marks), "doc_id"), "sample")
     terms = {t: i for i, t in enumerate(pick_terms(sample, max_terms))}
     if not terms:
         return OrdinalModel({}, np.zeros(0), np.array([20.0, 40.0]))
