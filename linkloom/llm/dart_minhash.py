@@ -46,8 +46,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 22, 5
 #: The first layer of ranks is [0, 2**FIRST).
 FIRST = -3
-#: Stands for a null id.
-NO_ID = -(1 << 62)
+#: Stands for a null id, after all others.
+NO_ID = 1 << 62
 
 
 def shingles(w: Words, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:

@@ -153,12 +153,12 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, literals
     """doc_id, item_id, n_matched, n_windows, coverage, slot_agreement of the
     pairs that are reported."""
     hits = match_windows(docs, items, width, literals, max_broadcast)
-    # one filling per item window and placeholder, then per (item value, document value)
+    # each window of an item once, at its first place in the document; then each slot of the item once
     each = hits.groupBy("doc_id", "item_id", "pos").agg(F.max("n_windows").alias("n_windows"), F.min(F.struct("doc_pos", "tokens", "values", "doc_values")).alias("w"))
-    fills = F.filter(F.arrays_zip(F.col("w.tokens").alias("t"), F.col("w.values").alias("a"), F.col("w.doc_values").alias("b")), lambda x: x["t"].startswith("<"))
-    pairs = each.groupBy("doc_id", "item_id").agg(
-        F.count("*").alias("n_matched"), F.max("n_windows").alias("n_windows"),
-        F.flatten(F.collect_list(F.transform(fills, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))).alias("fills"),
+    zipped = F.arrays_zip(F.col("w.tokens").alias("t"), F.col("w.values").alias("a"), F.col("w.doc_values").alias("b"))
+    slots = F.filter(F.transform(zipped, lambda x, i: F.struct((F.col("pos") + i).alias("at"), x["t"].alias("t"), x["a"].alias("a"), x["b"].alias("b"))), lambda x: x["t"].startswith("<"))
+    pairs = each.withColumn("slots", slots).groupBy("doc_id", "item_id").agg(
+        F.count("*").alias("n_matched"), F.max("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("fills"),
     ).where(F.col("n_matched") >= F.ceil(F.lit(cover) * F.col("n_windows")))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -176,7 +176,12 @@ def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def take_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP) -> DataFrame:
-    """The mixed corpus: each row of ``docs`` once per copy taken, with a column
-    ``copy`` from 1. Rows that share a doc_id share its first row's copies."""
-    copies = mix(docs, weights, cap).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    return docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns, "copy")
+    """The mixed corpus: each row of ``docs`` once per copy taken, with its number
+    from 1 in a last column ``copy`` (``copy_`` where ``docs`` has a ``copy``).
+    Rows that share a doc_id share the copies of the one that takes most; rows
+    of null ids are taken once."""
+    copies = mix(docs, weights, cap).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_id is not null")
+    number = "copy_" if "copy" in docs.columns else "copy"
+    taken = docs.join(copies, F.col("doc_id") == F.col("_id"), "left")
+    count = F.when(F.col("doc_id").isNull(), 1).otherwise(F.col("_copies")).cast("int")
+    return taken.where(count > 0).withColumn("_n", F.explode(F.sequence(F.lit(1), count))).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_n").alias(number))

@@ -80,7 +80,7 @@ def pick_terms(sample: DataFrame, max_terms: int, least: int = 3) -> list[str]:
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([bad[w] for w in names], pa.int64()), pa.array([good[w] for w in names], pa.int64())], ["term", "bad", "good"])
 
     counts = sample.mapInArrow(split, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(F.col("bad") >= least)
-    n = sample.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
+    n = sample.agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good")).first()
     odds = F.log((F.col("bad") + 0.5) / (n["bad"] + 1.0)) - F.log((F.col("good") + 0.5) / (n["good"] + 1.0))
     ranked = counts.withColumn("odds", odds).where(F.col("odds") > 1.5).orderBy(F.col("odds").desc(), F.col("bad").desc(), "term")
     return [r["term"] for r in ranked.select("term").limit(max_terms).collect()]
