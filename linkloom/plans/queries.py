@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from linkloom.functions import similarity as s
 from linkloom.functions import text as t
 from linkloom.functions.normalize import Options, normalized
-from linkloom.operators import analytics, enrichment, matching, pages, results, tables
+from linkloom.operators import analytics, enrichment, feeds, matching, pages, results, tables
 from linkloom.plans import linking
 from linkloom.sources import sheets
 from linkloom.sources.shared import new_path, written
@@ -589,3 +589,107 @@ def stream_match(spark: SparkSession, sf: str) -> DataFrame:
 
     stream.match_stream(_events(spark, sf), match, out, new_path(spark, "checkpoint")).awaitTermination()
     return spark.read.parquet(out).select("event_id", "hit_key")
+
+
+# feeds and media
+
+
+@query("""
+SELECT event_id, json_extract_string(props, '$.k') AS spec_k FROM events""")
+def flattened_props(spark: SparkSession, sf: str) -> DataFrame:
+    ev = table(spark, sf, "events").select("event_id", F.from_json("props", "map<string,string>").alias("specification"))
+    return feeds.flatten_map(ev, "specification")
+
+
+@query(r"""
+WITH a AS (SELECT page_id o, regexp_extract(split_part(url, '?', 1), '[^/]*$') f, url, 0 w FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, regexp_extract(split_part(url, '?', 1), '[^/]*$'), url, 1 FROM pages),
+m AS (SELECT url, min(w) w FROM a GROUP BY 1)
+SELECT url, CASE w WHEN 0 THEN 'products' ELSE 'brands' END AS folder FROM m""")
+def image_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "pages")
+    return enrichment.image_tasks(p.where("page_id % 2 = 0"), p, "url", "page_id").select("url", "folder")
+
+
+@query(r"""
+WITH f AS (SELECT DISTINCT regexp_extract(split_part(url, '?', 1), '[^/]*$') f, page_id % 3 AS kind FROM pages WHERE page_id % 3 < 2),
+p AS (SELECT page_id, regexp_extract(split_part(url, '?', 1), '[^/]*$') b FROM pages)
+SELECT page_id, CASE WHEN b IN (SELECT f FROM f WHERE kind = 0) THEN 'products' WHEN b IN (SELECT f FROM f WHERE kind = 1) THEN 'brands' END AS media FROM p""")
+def media_status(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "pages")
+    files = p.select(t.basename(F.col("url")).alias("filename"), (F.col("page_id") % 3).alias("kind"))
+    return feeds.media_found(p, "url", [("products", files.where("kind = 0")), ("brands", files.where("kind = 1"))]).select("page_id", "media")
+
+
+@query("""
+WITH e AS (SELECT o_custkey k, 1 FROM orders GROUP BY 1)
+SELECT c_custkey, CASE WHEN k IS NOT NULL THEN 'order-' || c_custkey::VARCHAR WHEN c_custkey % 2 = 0 THEN c_name ELSE '' END AS gallery FROM customer LEFT JOIN e ON k = c_custkey""")
+def galleries(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer").withColumn("image", F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")))
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), F.array(F.concat(F.lit("order-"), F.col("o_custkey").cast("string"))).alias("images"))
+    return feeds.with_gallery(c, o, "c_custkey").select("c_custkey", F.array_join("gallery", ",").alias("gallery"))
+
+
+@query("""
+SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1)""")
+def fetch_list(spark: SparkSession, sf: str) -> DataFrame:
+    """What no former crawl has details of."""
+    cached = table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity")
+    return feeds.reuse(table(spark, sf, "orders").select("o_orderkey"), cached, "o_orderkey", ["l_quantity"])[1]
+
+
+@query("""
+WITH c AS (SELECT DISTINCT c_nationkey n, c_mktsegment s FROM customer)
+SELECT n AS nation, s AS slug, s || '-' || n::VARCHAR AS name_en, CASE WHEN n % 2 = 0 THEN 'ar-' || s ELSE s || '-' || n::VARCHAR END AS name_ar FROM c""")
+def nested_names(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("s")).distinct()
+    en = c.groupBy("nation").agg(F.sort_array(F.collect_list(F.struct(F.col("s").alias("slug"), F.concat_ws("-", "s", F.col("nation").cast("string")).alias("name")))).alias("subs")).withColumn("name", F.concat(F.lit("n"), F.col("nation").cast("string")))
+    ar = c.where("nation % 2 = 0").groupBy("nation").agg(F.collect_list(F.struct(F.col("s").alias("slug"), F.concat(F.lit("ar-"), "s").alias("name"))).alias("subs")).withColumn("name", F.lit(""))
+    return feeds.nested_localized(en, ar, "nation", "subs").select("nation", F.explode("subs").alias("x")).select("nation", "x.slug", "x.name_en", "x.name_ar")
+
+
+@query("""
+SELECT 'brands' AS dictionary, p_brand AS key, p_type AS value, count(*) AS n FROM part WHERE contains(p_brand, '#1') OR contains(p_type, '#1') GROUP BY 2, 3
+UNION ALL SELECT 'names', p_name, p_type, count(*) FROM part WHERE contains(p_name, '#1') OR contains(p_type, '#1') GROUP BY 2, 3""")
+def dictionary_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part")
+    brands, names = p.select(F.col("p_brand").alias("key"), F.col("p_type").alias("value")), p.select(F.col("p_name").alias("key"), F.col("p_type").alias("value"))
+    return feeds.lookup([("brands", brands), ("names", names)], "#1").groupBy("dictionary", "key", "value").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT c_mktsegment AS name, min_by(c_name, c_custkey) AS first_name, count(*) AS n, count(DISTINCT c_nationkey) AS n_nations FROM customer GROUP BY 1""")
+def segment_counts(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer").withColumn("first_name", F.col("c_name"))
+    g = analytics.counts_by(c, "c_mktsegment", ["first_name"], "c_custkey", "name")
+    return g.join(c.groupBy(F.col("c_mktsegment").alias("name")).agg(F.count_distinct("c_nationkey").alias("n_nations")), "name")
+
+
+@query("""
+SELECT o_orderpriority AS status, sum(CASE WHEN o_orderstatus IN ('F', 'O') THEN 1 ELSE 0 END)::BIGINT AS selected, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) AS total FROM orders GROUP BY 1""")
+def selected_totals(spark: SparkSession, sf: str) -> DataFrame:
+    g = analytics.status_counts(table(spark, sf, "orders"), "o_orderstatus", ["F", "O"], ["o_orderpriority"])
+    return g.select(F.col("o_orderpriority").alias("status"), (F.col("F") + F.col("O")).alias("selected"), "F", "O", "total")
+
+
+@query("""
+WITH d AS (SELECT r_name, n_name, count(*) n FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2)
+SELECT r_name, sum(n)::BIGINT AS n, string_agg(n_name || '=' || n::VARCHAR, ',' ORDER BY n DESC, n_name) AS children FROM d GROUP BY 1""")
+def taxonomy_tree(spark: SparkSession, sf: str) -> DataFrame:
+    paths = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    tree = analytics.taxonomy_tree(analytics.taxonomy_rollup(paths, ["r_name", "n_name"]), ["r_name", "n_name"])
+    return tree.select("r_name", "n", F.array_join(F.transform("children", lambda c: F.concat_ws("=", c["name"], c["count"].cast("string"))), ",").alias("children"))
+
+
+@query()
+def reinvestigated(spark: SparkSession, sf: str) -> DataFrame:
+    """Unmatched names again, by shared tokens and sequence ratio."""
+    missed = table(spark, sf, "part").select(F.lower(F.concat_ws(" ", F.reverse("p_type"), "p_name")).alias("name"))
+    return matching.reinvestigate(missed, written(_index(spark, sf), "index"))
+
+
+@query()
+def page_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Elements, search forms and platforms of all domains."""
+    p = table(spark, sf, "pages")
+    kinds = p.groupBy(t.domain_of(F.col("url")).alias("domain"), pages.platform(F.col("html"), F.col("url")).alias("platform")).agg(F.count("*").alias("n"))
+    return kinds.join(pages.search_forms(p), "domain", "left")

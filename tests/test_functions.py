@@ -111,6 +111,7 @@ def test_scores_are_shares(spark):
     assert [r["j"] for r in rows] == [0.5, 0, 0] and all(0 <= r["s"]["score"] <= 1 for r in rows) and rows[0]["r"] == pytest.approx(0.6)
     s.register(spark)
     assert spark.sql("SELECT seq_ratio('abc', 'abc') r, match_score('panadol', 'panadol').score m").first()[:] == (1.0, 1.0)
+    assert [r["kind"] for r in spark.sql("SELECT * FROM explain_match('panadol x9', 'panadol 500')").collect()] == ["matched", "unmatched_query", "unmatched_catalog"]
 
 
 def test_classification(spark):
