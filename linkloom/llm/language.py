@@ -8,8 +8,9 @@ document's n-grams of the difference of ranks, or of the profile length where
 the language lacks the n-gram. The nearest language wins; ties go to the
 language name that sorts first.
 
-Profiles are learned from at most about ``max_docs`` documents, chosen by a hash
-of the id; the bound is a parameter. The whole of each text is counted.
+Profiles are learned from at most about ``max_docs`` documents of each language,
+chosen by a hash of the id; the bound is a parameter. The whole of each text is
+counted. Languages are few: more than ``max_languages`` are an error.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 so is every text when nothing could be learned. Repeated rows get equal results.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import bounded_sample, documents_of, held_out
+from linkloom.llm.common import documents_of, held_out
 
 PROFILE = 400
 #: Letters with an own code; the rest share the last one.
@@ -107,10 +108,15 @@ def code_table(alphabet: np.ndarray) -> np.ndarray:
     return table
 
 
-def fit_profiles(docs: DataFrame, max_docs: int = 8_000) -> Profiles:
+def fit_profiles(docs: DataFrame, max_docs: int = 3_000, max_languages: int = 2_000) -> Profiles:
     """``docs``: (doc_id, text, lang), labelled rows only."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample = bounded_sample(known, "doc_id", max_docs, known.select("lang").count()).select("text", "lang")
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    scale = 1 << 30
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(scale, scale * max_docs // r["n"])))]) if counts else F.lit(None).cast("map<string,bigint>")
+    sample = known.where(F.pmod(F.xxhash64(F.lit(17), F.col("doc_id")), F.lit(scale)) < F.try_element_at(share, F.col("lang"))).select("text", "lang")
 
     def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0x110000, np.int64)
@@ -134,9 +140,9 @@ def fit_profiles(docs: DataFrame, max_docs: int = 8_000) -> Profiles:
             k = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.astype(np.int32)), pa.array(c[k])], ["lang", "gram", "n"])
 
-    counts = sample.mapInArrow(grams, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    totals = sample.mapInArrow(grams, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # the alphabet bounds the n-grams of a language, so this group is bounded too
-    best = counts.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "gram"))), 1, PROFILE).alias("best")).collect()
+    best = totals.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "gram"))), 1, PROFILE).alias("best")).collect()
     best.sort(key=lambda r: r["lang"].encode())
     ranks = np.full((len(best), _CODES + _CODES**2 + _CODES**3), PROFILE, np.int16)
     for i, r in enumerate(best):
