@@ -134,7 +134,8 @@ def newton_multipliers(sized: DataFrame, sources: list[Source], cap: float = CAP
             if not low[k] < to < high[k]:
                 to = (low[k] + high[k]) / 2 if math.isfinite(low[k] + high[k]) else (lam[k] * 2 - 1 if gap > 0 else lam[k] * 2 + 1)
             lam[k] = to
-    return lam
+    # sums of doubles depend on the order of tasks in their last digits; reruns agree on nine
+    return {k: float(f"{v:.9g}") for k, v in lam.items()}
 
 
 def carried_copies(size: np.ndarray, rate: np.ndarray, cap: float = CAP) -> np.ndarray:
