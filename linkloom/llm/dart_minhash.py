@@ -15,12 +15,13 @@ Bands of ``rows`` coordinates are joined; candidate links are verified on the
 whole texts by the Jaccard similarity of their sets of shingles.
 
 Documents of equal text are one node, by a hash of 64 bits, and are compared
-once. The nodes of a band's bucket are compared with the bucket's least node
-first. Where verified links do not connect a bucket, its parts are compared
-with its largest part, turn after turn, each through one node drawn anew, and
-at last every node outside the largest part is compared with every node of the
-other parts. So no candidate link between different texts is lost, and a bucket
-of near copies costs about one comparison a node, not one a pair.
+once. The nodes of a band's bucket are compared with the bucket's least node;
+where verified links do not connect a bucket, its other parts are compared with
+its largest part through one node each. What is still apart is compared whole:
+small buckets pair by pair, large ones in clusters of buckets that share nodes,
+dealt into blocks of which two meet in a task, which returns connecting links
+and no pairs. So no candidate link between different texts is lost, and a large
+group of near copies costs about one row a node.
 
 Defined cases: a text of one to four words is one shingle; null and empty texts
 have no shingle, link with nothing and are each their own class. Repeated rows
@@ -36,6 +37,7 @@ from math import exp, factorial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -190,37 +192,115 @@ def _parts(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("part"))
 
 
-def linked_nodes(buckets: DataFrame, texts: DataFrame, turns: int = 3, threshold: float = THRESHOLD, width: int = SHINGLE) -> DataFrame:
+def linked_in_block(a: pa.Table, b: pa.Table, threshold: float = THRESHOLD, width: int = SHINGLE) -> np.ndarray:
+    """Boolean matrix of the pairs of rows (node, part, text) of different parts
+    that are similar. Shared shingles are counted by matrix products over slices
+    of the vocabulary, so memory is bounded by rows times slice."""
+    sets = []
+    for t in (a, b):
+        h, doc, _ = counted(*shingles(words_of(t["text"].combine_chunks()), width))
+        sets.append((h, doc, np.bincount(doc, minlength=len(t))))
+    (ha, da, na), (hb, db, nb) = sets
+    both = np.intersect1d(ha, hb)
+    shared = np.zeros((len(a), len(b)), np.float64)
+    for i in range(0, len(both), 20_000):
+        names = both[i : i + 20_000]
+        m = []
+        for h, doc, n in sets:
+            at = np.searchsorted(names, h)
+            hit = (at < len(names)) & (names[np.minimum(at, len(names) - 1)] == h)
+            dense = np.zeros((len(n), len(names)), np.float32)
+            dense[doc[hit], at[hit]] = 1
+            m.append(dense)
+        shared += m[0] @ m[1].T
+    apart = a["part"].to_numpy()[:, None] != b["part"].to_numpy()[None, :]
+    return apart & (shared >= threshold * (na[:, None] + nb[None, :] - shared) - 1e-9) & (shared > 0)
+
+
+def block_links(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, block: int = 200) -> DataFrame:
+    """Links (src, dst) that connect what is similar within a cluster. ``nodes``:
+    (cluster, node, part, asks), where ``asks`` marks the nodes that are compared
+    with all nodes of other parts. A cluster is dealt into blocks, blocks of
+    askers meet blocks of nodes in one task each, and a task returns one link a
+    node at most: to the least node of its connected part of the two blocks."""
+    size = cut(nodes.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("mb"), F.ceil(F.count_if("asks") / block).cast("int").alias("qb")), "cluster_sizes")
+    own = F.xxhash64(F.lit(7), F.col("node"))
+    dealt = nodes.join(size, "cluster").join(texts, "node")
+    member = dealt.select("cluster", "node", "part", "text", F.lit(False).alias("q"), F.pmod(own, F.col("mb")).cast("int").alias("mi"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("qi"))
+    asker = dealt.where("asks").select("cluster", "node", "part", "text", F.lit(True).alias("q"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("mi"), F.pmod(own, F.col("qb")).cast("int").alias("qi"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        q, m = t.filter(t["q"]), t.filter(pc.invert(t["q"]))
+        out = {"src": np.empty(0, np.int64), "dst": np.empty(0, np.int64)}
+        if len(q) and len(m):
+            links = linked_in_block(q, m, threshold, width)
+            qn, mn = q["node"].to_numpy(), m["node"].to_numpy()
+            top = np.iinfo(np.int64).max
+            root, back = qn.copy(), mn.copy()
+            while True:
+                new = np.minimum(root, np.where(links, back[None, :], top).min(axis=1))
+                new_back = np.minimum(back, np.where(links, new[:, None], top).min(axis=0))
+                if (new == root).all() and (new_back == back).all():
+                    break
+                root, back = new, new_back
+            out = {"src": np.concatenate([qn, mn]), "dst": np.concatenate([root, back])}
+        return pa.table(out, schema=pa.schema([("src", pa.int64()), ("dst", pa.int64())]))
+
+    return member.union(asker.select(member.columns)).groupBy("cluster", "mi", "qi").applyInArrow(compare, "src long, dst long").where("src <> dst")
+
+
+def _main_parts(parted: DataFrame, group: str) -> DataFrame:
+    """The largest part of each group, with one of its nodes."""
+    sizes = cut(parted.groupBy(group, "part").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64(F.lit(1), F.col("node"))).alias("rep")), "sizes")
+    best = sizes.groupBy(group).agg(F.max(F.struct("n", "part", "rep")).alias("b"), F.sum("n").alias("size"))
+    return cut(sizes.join(cut(best, "best"), group).select(group, "part", "rep", F.col("b.part").alias("main"), F.col("b.rep").alias("to"), "size"), "main")
+
+
+def linked_nodes(buckets: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, small: int = 32) -> DataFrame:
     """node, part of the nodes that share a bucket (key, node) with another."""
     lead = cut(buckets.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead"), "leads")
     held = cut(buckets.join(lead, "key"), "buckets")
     nodes = cut(held.select("node").distinct(), "nodes")
     near = cut(texts.join(nodes, "node").dropDuplicates(["node"]), "texts")
+    # every node with the least node of each of its buckets
     asked = cut(held.where("node <> lead").select(F.col("lead").alias("src"), F.col("node").alias("dst")).distinct(), "asked")
     links = cut(similar(asked, near, threshold, width), "linked")
-    for turn in range(turns + 1):
+
+    def unsettled() -> tuple[DataFrame, DataFrame]:
+        """Parts so far, and the rows of buckets that hold more than one."""
         part = cut(_parts(nodes, links), "parts")
         now = held.select("key", "node").join(part, "node")
         split = cut(now.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key"), "split")
-        if split.isEmpty():
-            return part
-        open_ = cut(now.join(split, "key"), "open")
-        sizes = open_.groupBy("key", "part").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64(F.lit(turn), F.col("node"))).alias("rep"))
-        sizes = cut(sizes, "sizes")
-        # the largest part of a bucket is what its other parts are compared with
-        main = cut(sizes.groupBy("key").agg(F.max(F.struct("n", "part", "rep")).alias("main")).select("key", F.col("main.part").alias("main"), F.col("main.rep").alias("to")), "main")
-        if turn < turns:  # through one class of each, another one each turn
-            pairs = sizes.join(main, "key").where("part <> main").select(F.least("rep", "to").alias("src"), F.greatest("rep", "to").alias("dst"))
-        else:  # every class outside the main part with every class of other parts
-            outside = cut(open_.join(main, "key").where("part <> main").select("key", F.col("node").alias("x"), F.col("part").alias("of_x")), "outside")
-            pairs = outside.join(open_, "key").where("of_x <> part").select(F.least("x", "node").alias("src"), F.greatest("x", "node").alias("dst"))
-        fresh = cut(pairs.distinct().join(asked, ["src", "dst"], "left_anti"), "fresh")
-        found = cut(similar(fresh, near, threshold, width), "found")
-        asked, links = asked.union(fresh), links.union(found)
+        return part, cut(now.join(split, "key"), "open")
+
+    # every other part of a bucket with its largest part, through one node of each
+    part, rows = unsettled()
+    if rows.isEmpty():
+        return part
+    main = _main_parts(rows, "key")
+    pairs = main.where("part <> main").select(F.least("rep", "to").alias("src"), F.greatest("rep", "to").alias("dst")).distinct()
+    fresh = cut(pairs.join(asked, ["src", "dst"], "left_anti"), "fresh")
+    asked, links = asked.union(fresh), links.union(cut(similar(fresh, near, threshold, width), "found"))
+    # what is still apart, whole: small buckets pair by pair, large ones in blocks
+    part, rows = unsettled()
+    if rows.isEmpty():
+        return part
+    main = cut(_main_parts(rows, "key").select("key", "main", "size").distinct(), "mains")
+    rows = cut(rows.join(main, "key"), "rows")
+    few = rows.where(F.col("size") <= small)
+    pairs = few.where("part <> main").select("key", F.col("node").alias("x"), F.col("part").alias("of_x")).join(few, "key").where("of_x <> part").select(F.least("x", "node").alias("src"), F.greatest("x", "node").alias("dst")).distinct()
+    fresh = cut(pairs.join(asked, ["src", "dst"], "left_anti"), "fresh")
+    links = links.union(cut(similar(fresh, near, threshold, width), "found"))
+    many = rows.where(F.col("size") > small)
+    if not many.isEmpty():
+        hub = cut(many.groupBy("key").agg(F.min("node").alias("hub")), "hubs")
+        cluster = cut(components(many.join(hub, "key").select(F.col("node").alias("src"), F.col("hub").alias("dst"))).join(part, "node").select(F.col("component").alias("cluster"), "node", "part"), "clusters")
+        largest = cut(_main_parts(cluster, "cluster").select("cluster", "main").distinct(), "largest")
+        links = links.union(cut(block_links(cluster.join(largest, "cluster").select("cluster", "node", "part", (F.col("part") != F.col("main")).alias("asks")), near, threshold, width), "blocks"))
     return _parts(nodes, links)
 
 
-def near_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, width: int = SHINGLE) -> DataFrame:
+def near_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, width: int = SHINGLE, small: int = 32) -> DataFrame:
     """doc_id, copy_of (least id of its exact copies) and class_id (least id of
     its near-duplicate class) of every row of (doc_id, text)."""
     sketch = cut(sketches(docs, bands, rows, width), "sketches")
@@ -228,7 +308,7 @@ def near_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshol
     classes = cut(worded.groupBy("node").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")), "classes")
     first = classes.select("node", "rep")
     texts = _identified(docs).withColumnRenamed("id", "rep").join(first, ["node", "rep"], "left_semi").select("node", "text")
-    part = cut(first.join(linked_nodes(classes.select("node", F.explode("keys").alias("key")), texts, threshold=threshold, width=width), "node", "left").select("node", "rep", F.coalesce("part", "node").alias("part")), "part")
+    part = cut(first.join(linked_nodes(classes.select("node", F.explode("keys").alias("key")), texts, threshold, width, small), "node", "left").select("node", "rep", F.coalesce("part", "node").alias("part")), "part")
     least = cut(part.groupBy("part").agg(F.min("rep").alias("class_id")), "least")
     named = cut(part.join(least, "part").select("node", F.col("rep").alias("copy_of"), "class_id"), "named")
     found = worded.select("id", "node").join(named, "node").select("id", "copy_of", "class_id")
