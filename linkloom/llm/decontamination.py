@@ -133,20 +133,44 @@ def match_windows(docs: DataFrame, items: DataFrame, width: int = WIDTH, literal
     keys = frozenset(r["h"] for r in known.select("h").distinct().collect()) if small else None
     vocabulary = frozenset(r["t"] for r in known.select(F.explode("tokens").alias("t")).distinct().collect()) if small else None
 
+    # beyond the bound only hashes move; the values of matched windows are cut afterwards
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+
     def cut_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for d, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+            out = []
+            for d, x, text in zip(b["doc_id"].to_pylist(), b["text_hash"].to_pylist(), b["text"].to_pylist(), strict=True):
                 tokens, values = template(text)
                 for k in widths:
                     if len(tokens) >= k:
-                        rows += [(d, h, p, values[p : p + k]) for h, p in windows(tokens, k, literals, vocabulary) if keys is None or h in keys]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "h", "doc_pos", "doc_values"])
+                        out += [(d, x, h, p, values[p : p + k] if small else None) for h, p in windows(tokens, k, literals, vocabulary) if keys is None or h in keys]
+            yield _batch(out, ["doc_id", "text_hash", "h", "doc_pos", "doc_values"])
+
+    found = rows.mapInArrow(cut_docs, f"{_KEY}, h long, doc_pos int, doc_values array<string>")
+    if small:
+        return found.join(F.broadcast(known), "h")
+    hits = cut(found.join(known.select("h", "width").distinct(), "h").select("doc_id", "text_hash", "h", "doc_pos", "width"), "hits")
+    asked = hits.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("h", "doc_pos", "width")).alias("at"))
+
+    def cut_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for d, x, text, at in zip(b["doc_id"].to_pylist(), b["text_hash"].to_pylist(), b["text"].to_pylist(), b["at"].to_pylist(), strict=True):
+                _, values = template(text)
+                out += [(d, x, w["h"], w["doc_pos"], values[w["doc_pos"] : w["doc_pos"] + w["width"]]) for w in at]
+            yield _batch(out, ["doc_id", "text_hash", "h", "doc_pos", "doc_values"])
+
+    again = rows.alias("r").join(asked.alias("a"), F.col("r.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("r.text_hash") == F.col("a.text_hash"))).select("r.doc_id", "r.text_hash", "r.text", "a.at")
+    return again.mapInArrow(cut_hits, f"{_KEY}, h long, doc_pos int, doc_values array<string>").join(known, "h")
+
+
+_KEY = "doc_id long, text_hash long"
+_KINDS = {"doc_id": pa.int64(), "text_hash": pa.int64(), "h": pa.int64(), "doc_pos": pa.int32(), "doc_values": pa.list_(pa.string())}
+
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut_docs, "doc_id long, h long, doc_pos int, doc_values array<string>")
-    return found.join(F.broadcast(known) if small else known, "h")
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), _KINDS[n]) for c, n in zip(columns, names, strict=True)], names)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, literals: int = LITERALS, cover: float = COVER, consistent: float = CONSISTENT, max_broadcast: int = 500_000) -> DataFrame:
