@@ -7,8 +7,11 @@ half, sorted by how far the query lies from the border of each centroid's
 region, are merged by rising sum of squares. A vector within distance ``delta``
 lies in a cell whose borders are, over both halves, no farther than ``delta``
 together, so visiting the cells up to that sum reaches every such vector: the
-target recall is 1, and a lower target shortens the traversal in proportion.
-Candidates are verified by cosine in double precision.
+target recall is 1. A lower target takes differences to have no direction of
+their own, so that a border is crossed as a normal variable would cross it, and
+stops the traversal there. Of two cells only the lesser visits the other, and
+links count for both sides. Candidates are verified by cosine in double
+precision.
 
 Vectors equal in every component, under one label, are one class; classes are
 compared through a representative and counted with their sizes. A cell is dealt
@@ -31,6 +34,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from statistics import NormalDist
 from typing import NamedTuple
 
 import numpy as np
@@ -84,7 +88,7 @@ def classes_of(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
 
 
-def fit_codebooks(classes: DataFrame, n_classes: int, length: int, per_cell: int = 32, max_sample: int = 10_000) -> Codebooks:
+def fit_codebooks(classes: DataFrame, n_classes: int, length: int, per_cell: int = 256, max_sample: int = 10_000) -> Codebooks:
     """Two codebooks whose product grid has about ``per_cell`` classes a cell
     and label."""
     labels = max(1, classes.select(F.approx_count_distinct("label")).first()[0])
@@ -124,37 +128,42 @@ def traverse(left: np.ndarray, right: np.ndarray, bound: float) -> list[tuple[in
 
 
 def index_rows(classes: DataFrame, books: Codebooks, threshold: float = THRESHOLD, recall: float = 1.0) -> DataFrame:
-    """rep, label, v, weight, home (bool), cell: each class in its home cell as
-    a member and in every visited cell as a query."""
+    """rep, label, v, weight, home, own, cell: each class in its home cell as a
+    member (home) and as a query (own), and in the visited cells of a greater
+    number as a query."""
     length = books.left.shape[1] + books.right.shape[1]
-    bound = recall * (2 - 2 * threshold) + 1e-9
+    apart = (2 - 2 * threshold) ** 0.5
+    normal = apart if recall >= 1 else min(apart, NormalDist().inv_cdf(1 - (1 - recall) / 2) * apart / length**0.5)
+    bound = normal**2 + 1e-9
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = b["v"].to_pylist()
             fits = [i for i, x in enumerate(v) if len(x) == length]
-            row, cell, home = [], [], []
+            row, cell, home, same = [], [], [], []
             if fits:
                 x = unit(np.array([v[i] for i in fits]))
                 near_l, far_l = _borders(x[:, : length // 2], books.left)
                 near_r, far_r = _borders(x[:, length // 2 :], books.right)
                 for i in range(len(fits)):
-                    own = (int(near_l[i]), int(near_r[i]))
-                    visits = traverse(far_l[i], far_r[i], bound)
-                    for c in [own, *visits]:
-                        row.append(fits[i])
-                        cell.append(c[0] * len(books.right) + c[1])
-                    home += [True] + [False] * len(visits)
+                    own = int(near_l[i]) * len(books.right) + int(near_r[i])
+                    visits = [a * len(books.right) + c for a, c in traverse(far_l[i], far_r[i], bound)]
+                    visits = [own, own, *(c for c in visits if c > own)]
+                    row += [fits[i]] * len(visits)
+                    cell += visits
+                    home += [True] + [False] * (len(visits) - 1)
+                    same += [True, True] + [False] * (len(visits) - 2)
             # vectors of other lengths meet in a cell of their own, by length
             for i in set(range(len(v))) - set(fits):
                 row += [i, i]
                 cell += [-len(v[i]) - 1] * 2
                 home += [True, False]
+                same += [True, True]
             take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([b[c].take(take) for c in ("rep", "label", "v", "weight")] + [pa.array(home, pa.bool_()), pa.array(cell, pa.int64())], ["rep", "label", "v", "weight", "home", "cell"])
+            yield pa.RecordBatch.from_arrays([b[c].take(take) for c in ("rep", "label", "v", "weight")] + [pa.array(home, pa.bool_()), pa.array(same, pa.bool_()), pa.array(cell, pa.int64())], ["rep", "label", "v", "weight", "home", "own", "cell"])
 
     kind = dict(classes.dtypes)["label"]
-    return classes.select("rep", "label", "v", "weight").mapInArrow(place, f"rep long, label {kind}, v array<double>, weight long, home boolean, cell long")
+    return classes.select("rep", "label", "v", "weight").mapInArrow(place, f"rep long, label {kind}, v array<double>, weight long, home boolean, own boolean, cell long")
 
 
 def verified(placed: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -165,12 +174,12 @@ def verified(placed: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK
     size = cut(size.select("label", "cell", F.ceil(F.col("m") / block).cast("int").alias("mb"), F.ceil(F.col("q") / block).cast("int").alias("qb")).where("mb > 0 and qb > 0"), "cells")
     dealt = placed.join(size, ["label", "cell"])
     salt = F.xxhash64(F.lit(3), F.col("rep"))
-    own = F.when(F.col("home"), F.pmod(salt, F.col("mb"))).otherwise(F.pmod(salt, F.col("qb"))).cast("int")
+    at = F.when(F.col("home"), F.pmod(salt, F.col("mb"))).otherwise(F.pmod(salt, F.col("qb"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("home"), F.col("qb")).otherwise(F.col("mb")) - 1))
-    met = dealt.withColumn("own", own).withColumn("other", other).select(
-        "rep", "label", "v", "weight", "home", "cell",
-        F.when(F.col("home"), F.col("own")).otherwise(F.col("other")).alias("mi"),
-        F.when(F.col("home"), F.col("other")).otherwise(F.col("own")).alias("qi"),
+    met = dealt.withColumn("_at", at).withColumn("_other", other).select(
+        "rep", "label", "v", "weight", "home", "own", "cell",
+        F.when(F.col("home"), F.col("_at")).otherwise(F.col("_other")).alias("mi"),
+        F.when(F.col("home"), F.col("_other")).otherwise(F.col("_at")).alias("qi"),
     )
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -182,6 +191,8 @@ def verified(placed: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK
         qr, mr, w = q["rep"].to_numpy(), m["rep"].to_numpy(), m["weight"].to_numpy()
         links &= qr[:, None] != mr[None, :]
         n = links @ w
+        across = ~q["own"].to_numpy()
+        back_n = links[across].T @ q["weight"].to_numpy()[across]
         root, member = qr.copy(), mr.copy()
         top = np.iinfo(np.int64).max
         while True:  # smallest name of each connected part of the two blocks
@@ -194,12 +205,12 @@ def verified(placed: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK
             root, member = new, new_member
         hit = links.any(axis=1)
         touched = links.any(axis=0)
-        return pd.concat([pd.DataFrame({"rep": qr[hit], "n": n[hit], "root": root[hit]}), pd.DataFrame({"rep": mr[touched], "n": np.zeros(touched.sum(), np.int64), "root": member[touched]})])
+        return pd.concat([pd.DataFrame({"rep": qr[hit], "n": n[hit], "root": root[hit]}), pd.DataFrame({"rep": mr[touched], "n": back_n[touched], "root": member[touched]})])
 
     return met.groupBy("label", "cell", "mi", "qi").applyInPandas(compare, "rep long, n long, root long")
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, per_cell: int = 32, max_sample: int = 10_000, recall: float = 1.0, block: int = BLOCK) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, per_cell: int = 256, max_sample: int = 10_000, recall: float = 1.0, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row of (vec_id, embedding, label)."""
     rows = vectors.select("vec_id", "embedding", "label")
     good = usable(rows)
