@@ -231,6 +231,15 @@ def test_vectors_against_brute_force(spark, block):
     assert got == brute_vectors(rows)
 
 
+def test_lower_recall_still_links_enough(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(60, 32))
+    rows = [(i, [float(x) for x in base[i % 60] + (rng.normal(size=32) * 0.06 if i >= 60 else 0)], 0) for i in range(300)]
+    want = brute_vectors(rows)
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), per_cell=4, recall=0.95).collect()
+    assert sum(r["n_links"] for r in got) >= 0.9 * sum(n for n, _, _ in want.values()) and all(r["n_links"] <= want[r["vec_id"]][0] for r in got)
+
+
 def test_vectors_empty(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
@@ -316,7 +325,8 @@ def brute_near(texts):
     return [find(i) for i in range(len(texts))]
 
 
-def test_near_classes_against_brute_force(spark):
+@pytest.mark.parametrize("small", [32, 3])
+def test_near_classes_against_brute_force(spark, small):
     rng = np.random.default_rng(11)
     texts = [prose(rng, int(rng.integers(40, 90))) for _ in range(40)]
     for i in range(60):
@@ -324,9 +334,15 @@ def test_near_classes_against_brute_force(spark):
         for _ in range(int(rng.integers(0, 4))):
             w[int(rng.integers(len(w)))] = "edit"
         texts.append(" ".join(w))
+    base = prose(rng, 120).split()
+    for i in range(40):  # a group whose members are about as like as the threshold
+        w = list(base)
+        for at in rng.integers(0, 120, int(rng.integers(1, 5))):
+            w[at] = f"e{i}"
+        texts.append(" ".join(w))
     texts += EDGES + ["one", "same  text here\nfor all"]
     docs = docs_of(spark, texts).withColumn("node", F.lit(1)).withColumn("key", F.lit(1)).withColumn("part", F.lit(1))
-    rows = {r["doc_id"]: r for r in dart_minhash.near_classes(docs).collect()}
+    rows = {r["doc_id"]: r for r in dart_minhash.near_classes(docs, small=small).collect()}
     want = brute_near(texts)
     assert [rows[i]["class_id"] for i in range(len(texts))] == want
     first = {}
