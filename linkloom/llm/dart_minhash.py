@@ -1,7 +1,8 @@
 """MinHash near-dedup with DartMinHash (Christiani, 2020).
 
-A document is the weighted set of its shingles of five words; a shingle that
-occurs n times has weight 1 + ln n. For every element, darts are thrown at the
+A document is the set of its shingles of five words, each of weight 1 however
+often it occurs, so that sketches estimate the plain Jaccard similarity that
+makes a link. For every element, darts are thrown at the
 plane of weight and rank: the plane is cut into areas (2**v wide in weight,
 rank halving as weight doubles) that each hold a Poisson number of darts, all
 drawn from hashes of element and area. A dart below the element's weight hits
@@ -148,8 +149,8 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int =
         for b in batches:
             for i, j in slices(b["text"]):
                 w = words_of(b["text"].slice(i, j - i))
-                h, doc, n = counted(*shingles(w, width))
-                sig = signatures(h, doc, 1 + np.log(n), j - i, bands * rows).reshape(j - i, bands, rows)
+                h, doc, _ = counted(*shingles(w, width))
+                sig = signatures(h, doc, np.ones(len(h)), j - i, bands * rows).reshape(j - i, bands, rows)
                 keys = np.zeros((j - i, bands), np.uint64)
                 for r in range(rows):
                     keys = mix(keys ^ sig[:, :, r], 50 + r)

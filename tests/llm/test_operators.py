@@ -351,6 +351,20 @@ def test_near_classes_against_brute_force(spark, small):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
 
 
+def test_near_texts_that_differ_by_repetition(spark):
+    rng = np.random.default_rng(12)
+    texts = []
+    for _ in range(25):
+        base, line = prose(rng, 104, 5000), prose(rng, 17, 5000)
+        texts += [base, base + ("\n" + line) * 200]  # 0.8 or a little above
+        own = prose(rng, 30, 5000)
+        texts += [own, " ".join([own] * 50)]
+    want = brute_near(texts)
+    assert sum(c != i for i, c in enumerate(want)) == 50
+    got = {r["doc_id"]: r["class_id"] for r in dart_minhash.near_classes(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_near_repeated_and_null_ids(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "q r s t u v"), (None, None), (3, "q r s t u v")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
