@@ -3,8 +3,8 @@
 Numbers, names and units become typed placeholders, so that a benchmark question
 with other numbers or names has the same template. Windows of ``width``
 consecutive template tokens are hashed and joined with the benchmark's windows;
-the matched windows of a document and an item are then aligned and their slots
-checked: a value that fills a slot of the item must be replaced by one and the
+the matched windows of a document and an item are then aligned by diagonal, over
+all places of each window, and the slots of the best alignment are checked: a value that fills a slot of the item must be replaced by one and the
 same value wherever it occurs, and no two values by one.
 
 A pair (document, item) is reported when the matched windows cover at least
@@ -31,8 +31,10 @@ reported alike; repeated items are reported each. Extra columns are kept by
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from math import ceil
 
 import pyarrow as pa
 import xxhash
@@ -106,6 +108,55 @@ def slots_agree(pairs: list[tuple[str, str]]) -> float:
     return good / len(pairs)
 
 
+Places = dict[int, dict[int, list[tuple[int, str, str]]]]
+
+
+def _places(hits: list[dict]) -> Places:
+    """Of each item position, the places in the document and the slots filled there."""
+    out: Places = defaultdict(dict)
+    for x in hits:
+        out[x["pos"]][x["doc_pos"]] = [(s["at"], s["a"], s["b"]) for s in x["slots"]]
+    return out
+
+
+def best_alignment(places: Places, least: int, consistent: float) -> tuple[int, float] | None:
+    """Windows and slot agreement of the consistent alignment of the most windows,
+    ``least`` or more. An alignment starts from a diagonal (place in the document
+    less position in the item): every window takes its place nearest to it, and
+    windows farther than some distance are left out. The alignment of all windows
+    at their first places is tried too."""
+    if len(places) < max(least, 1):
+        return None
+
+    def agreement(chosen: list[tuple[int, int]]) -> float:
+        fills = {f for p, j in chosen for f in places[p][j]}
+        return slots_agree([(a, b) for _, a, b in fills])
+
+    best = None
+    first = agreement([(p, min(at)) for p, at in places.items()])
+    if first >= consistent:
+        best = (len(places), first)
+    lists = {p: sorted(at) for p, at in places.items()}
+    diagonals = Counter(j - p for p, at in lists.items() for j in at)
+    for d, _ in sorted(diagonals.items(), key=lambda x: (-x[1], x[0])):
+        if best == (len(places), 1.0):
+            break
+        near = []
+        for p, at in lists.items():
+            i = bisect_left(at, p + d)
+            j = min(at[max(i - 1, 0) : i + 1], key=lambda j: (abs(j - p - d), j))
+            near.append((abs(j - p - d), p, j))
+        near.sort()
+        n = len(near)
+        while n >= max(least, 1) and (best is None or n >= best[0]):
+            agree = agreement([(p, j) for _, p, j in near[:n]])
+            if agree >= consistent:
+                best = max(best or (0, 0.0), (n, agree))
+                break
+            n = bisect_left(near, (near[n - 1][0],))
+    return best
+
+
 def item_windows(items: DataFrame, width: int = WIDTH, literals: int = LITERALS) -> DataFrame:
     """item_id, h, pos, n_windows, and the values of the window."""
 
@@ -177,21 +228,28 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, literals
     """doc_id, item_id, n_matched, n_windows, coverage, slot_agreement of the
     pairs that are reported."""
     hits = match_windows(docs, items, width, literals, max_broadcast)
-    # each window of an item once, at its first place in the document; then each slot of the item once
-    each = hits.groupBy("doc_id", "item_id", "pos").agg(F.max("n_windows").alias("n_windows"), F.min(F.struct("doc_pos", "tokens", "values", "doc_values")).alias("w"))
-    zipped = F.arrays_zip(F.col("w.tokens").alias("t"), F.col("w.values").alias("a"), F.col("w.doc_values").alias("b"))
+    # every place of every window of an item, with the slots it fills
+    zipped = F.arrays_zip(F.col("tokens").alias("t"), F.col("values").alias("a"), F.col("doc_values").alias("b"))
     slots = F.filter(F.transform(zipped, lambda x, i: F.struct((F.col("pos") + i).alias("at"), x["t"].alias("t"), x["a"].alias("a"), x["b"].alias("b"))), lambda x: x["t"].startswith("<"))
-    pairs = each.withColumn("slots", slots).groupBy("doc_id", "item_id").agg(
-        F.count("*").alias("n_matched"), F.max("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("fills"),
-    ).where(F.col("n_matched") >= F.ceil(F.lit(cover) * F.col("n_windows")))
+    pairs = hits.groupBy("doc_id", "text_hash", "item_id").agg(
+        F.max("n_windows").alias("n_windows"), F.collect_list(F.struct("pos", "doc_pos", slots.alias("slots"))).alias("hits"),
+    ).where(F.size(F.array_distinct(F.col("hits.pos"))) >= F.ceil(F.lit(cover) * F.col("n_windows")))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            agree = [slots_agree([(x["a"], x["b"]) for x in f]) for f in b["fills"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["item_id"], b["n_matched"], b["n_windows"], pa.array(agree, pa.float64())], ["doc_id", "item_id", "n_matched", "n_windows", "slot_agreement"])
+            rows = []
+            for d, i, n, found in zip(*[b[c].to_pylist() for c in ("doc_id", "item_id", "n_windows", "hits")], strict=True):
+                best = best_alignment(_places(found), ceil(cover * n), consistent)
+                if best:
+                    rows.append((d, i, best[0], n, best[1]))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "n_matched", "n_windows", "slot_agreement"])
 
     checked = pairs.mapInArrow(check, "doc_id long, item_id long, n_matched long, n_windows int, slot_agreement double")
-    return checked.where(F.col("slot_agreement") >= consistent).withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
+    coverage = F.col("n_matched") / F.col("n_windows")
+    best = checked.groupBy("doc_id", "item_id").agg(F.max(F.struct(coverage.alias("coverage"), "slot_agreement", "n_matched", "n_windows")).alias("b"))
+    return best.select("doc_id", "item_id", "b.n_matched", "b.n_windows", "b.slot_agreement", "b.coverage")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -296,6 +296,20 @@ def test_leaks_against_brute_force(spark, most):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(range(n)) - {d for d, _ in got}
 
 
+def leaks_of(spark, texts, items, **options):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]): r for r in decontamination.contaminated(docs_of(spark, texts), bench, **options).collect()}
+
+
+@pytest.mark.parametrize("most", [500_000, 1])
+def test_leaks_of_parallel_sentences_and_of_two_variants(spark, most):
+    item = "A train travels at 60 km per hour for 3 hours. A train travels at 80 km per hour for 2 hours."
+    other = item.replace("60", "75").replace("80", "95")
+    texts = [item, "A train travels at 50 km per hour for 7 hours and stops.\n" + other, "A train travels at 50 km per hour for 7 hours and stops.\n" + item + "\n" + other]
+    got = leaks_of(spark, texts, [item], max_broadcast=most)
+    assert all(got[d, 0]["coverage"] == got[d, 0]["slot_agreement"] == 1 for d in range(3)), got
+
+
 def test_leaks_empty(spark):
     docs, bench = docs_of(spark, EDGES), spark.createDataFrame([], "item_id long, text string")
     assert decontamination.contaminated(docs, bench).count() == 0
