@@ -14,11 +14,19 @@ fillings agree with the most frequent replacement.
 Tokens are runs of ``\\w`` (or a decimal number) of the lower-cased text. A
 number is a token of digits; a unit is one of UNITS after a number; a name is a
 capitalised word that does not follow the start of the text or of a line or one
-of ``.!?:;`` and that is not the first word. A window needs ``literals`` tokens
+of ``.!?:;``, that is not the first word and not in a line of capitals only. In a
+document, a name that begins a window also counts as the word it is, since an
+item's first word may stand in running text. A window needs ``literals`` tokens
 that are no placeholder, so that a template of slots alone matches nothing.
 
+Beside them, every window of lower-cased tokens of an item is joined by hash. A
+pair that the template windows don't report is reported if template and exact
+windows together cover ``cover`` of all windows of the item, and slots agree. So a
+verbatim copy is found whatever its case and however many names it holds; a copy
+of an item in title case with other names is not.
+
 An item of fewer than ``width`` tokens is one window of its own length; items
-of fewer than ``literals`` plain tokens are too short to tell and match nothing.
+of fewer than ``literals`` tokens are too short to tell and match nothing.
 
 The benchmark's windows are broadcast up to ``max_broadcast`` of them; beyond
 that, the windows of the documents are joined with them by a shuffle.
@@ -36,12 +44,14 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from math import ceil
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import cut, documents_of
+from linkloom.llm.words import rolled
 
 #: Units that follow a number.
 UNITS = frozenset("mg g kg gm mcg ml l cl mm cm m km in ft mi s sec min h hr hrs hours minutes seconds days weeks years percent pct usd eur gbp dollars euros cents mph kmh v w kw hz b kb mb gb tb".split())
@@ -53,43 +63,73 @@ WIDTH, LITERALS, COVER, CONSISTENT = 8, 5, 0.5, 0.8
 
 def template(text: str | None) -> tuple[list[str], list[str]]:
     """Template tokens and the values that fill them."""
-    tokens, values, start, number = [], [], True, False
-    for raw in _TOKEN.findall(text or ""):
-        first = raw[0]
-        if first in _STOPS:
-            start, number = True, False
-            continue
-        word = raw.lower()
-        values.append(word)
-        if first.isdecimal():
-            tokens.append("<number>")
-            start, number = False, True
-            continue
-        if number and word in UNITS:
-            tokens.append("<unit>")
-        elif not start and first.isupper():
-            tokens.append("<name>")
-        else:
-            tokens.append(word)
-        start = number = False
+    tokens, values = [], []
+    for line in (text or "").split("\n"):
+        start, number, capitals = True, False, line.isupper()
+        for raw in _TOKEN.findall(line):
+            first = raw[0]
+            if first in _STOPS:
+                start, number = True, False
+                continue
+            word = raw.lower()
+            values.append(word)
+            if first.isdecimal():
+                tokens.append("<number>")
+                start, number = False, True
+                continue
+            if number and word in UNITS:
+                tokens.append("<unit>")
+            elif not start and not capitals and first.isupper():
+                tokens.append("<name>")
+            else:
+                tokens.append(word)
+            start = number = False
     return tokens, values
 
 
-def windows(tokens: list[str], width: int = WIDTH, literals: int = LITERALS, known: frozenset[str] | None = None) -> list[tuple[int, int]]:
+def _hash(window: list[str]) -> int:
+    return xxhash.xxh3_64_intdigest("\x1f".join(window)) - (1 << 63)
+
+
+def windows(tokens: list[str], width: int = WIDTH, literals: int = LITERALS, known: frozenset[str] | None = None, values: list[str] | None = None) -> list[tuple[int, int]]:
     """(hash, position) of the windows with enough plain tokens. With ``known``,
-    windows that hold another token, which can match nothing, are left out."""
+    windows that hold another token, which can match nothing, are left out. With
+    ``values``, a window whose first token is a name is also given with the word
+    itself there: it may be an item's first word in running text."""
     if not tokens:
         return []
     width, out, run = min(width, len(tokens)), [], 0
     for i, token in enumerate(tokens):
         run = run + 1 if known is None or token in known else 0
-        if run >= width:
-            window = tokens[i - width + 1 : i + 1]
-            if sum(t[0] != "<" for t in window) >= literals:
-                out.append((xxhash.xxh3_64_intdigest("\x1f".join(window)) - (1 << 63), i - width + 1))
+        p = i - width + 1
+        if p < 0 or run < width - 1:
+            continue
+        named = values is not None and tokens[p] == "<name>" and (known is None or values[p] in known)
+        if run >= width or named:
+            window = tokens[p : i + 1]
+            plain = sum(t[0] != "<" for t in window)
+            if run >= width and plain >= literals:
+                out.append((_hash(window), p))
+            if named and plain + 1 >= literals:
+                out.append((_hash([values[p], *window[1:]]), p))
     return out
 
 
+class _WordHashes(dict):
+    """Hashes of words, kept for the words to come; up to a million of them."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1_000_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def exact_windows(values: list[str], width: int, hashes: _WordHashes) -> np.ndarray:
+    """Hash of every window of ``width`` lower-cased tokens, by position."""
+    return rolled(np.fromiter(map(hashes.__getitem__, values), np.uint64, len(values)), width).view(np.int64)
+
+
 def slots_agree(pairs: list[tuple[str, str]]) -> float:
     """Share of (item value, document value) fillings that agree with a one to
     one replacement; 1 where there are none."""
@@ -158,22 +198,32 @@ def best_alignment(places: Places, least: int, consistent: float) -> tuple[int,
 
 
 def item_windows(items: DataFrame, width: int = WIDTH, literals: int = LITERALS) -> DataFrame:
-    """item_id, h, pos, n_windows, and the values of the window."""
+    """item_id, h, pos, n_windows, n_exact, and the values of the window. ``exact``
+    rows are windows of lower-cased tokens, the others of template tokens."""
 
     def cut_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            rows, hashes = [], _WordHashes()
             for i, text in zip(b["item_id"].to_pylist(), b["text"].to_pylist(), strict=True):
                 tokens, values = template(text)
                 found = windows(tokens, width, literals)
                 k = min(width, len(tokens))
-                rows += [(i, h, p, len(found), k, tokens[p : p + k], values[p : p + k]) for h, p in found]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["item_id", "h", "pos", "n_windows", "width", "tokens", "values"])
+                exact = exact_windows(values, k, hashes).tolist() if len(values) >= literals else []
+                every = [(h, p, False) for h, p in found] + [(h, p, True) for p, h in enumerate(exact)]
+                rows += [(i, h, p, x, len(found), len(exact), k, tokens[p : p + k], values[p : p + k]) for h, p, x in every]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["item_id", "h", "pos", "exact", "n_windows", "n_exact", "width", "tokens", "values"])
 
     return items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(
-        cut_items, "item_id long, h long, pos int, n_windows int, width int, tokens array<string>, values array<string>")
+        cut_items, "item_id long, h long, pos int, exact boolean, n_windows int, n_exact int, width int, tokens array<string>, values array<string>")
+
+
+def _among(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of ``h`` are in the sorted ``keys``."""
+    if not len(keys):
+        return np.zeros(len(h), bool)
+    return keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
 
 
 def match_windows(docs: DataFrame, items: DataFrame, width: int = WIDTH, literals: int = LITERALS, max_broadcast: int = 500_000) -> DataFrame:
@@ -181,20 +231,25 @@ def match_windows(docs: DataFrame, items: DataFrame, width: int = WIDTH, literal
     known = cut(item_windows(items, width, literals), "benchmark")
     widths = sorted(r["width"] for r in known.select("width").distinct().collect())  # at most ``width`` of them
     small = known.count() <= max_broadcast
-    keys = frozenset(r["h"] for r in known.select("h").distinct().collect()) if small else None
-    vocabulary = frozenset(r["t"] for r in known.select(F.explode("tokens").alias("t")).distinct().collect()) if small else None
+    keys = frozenset(r["h"] for r in known.where("not exact").select("h").distinct().collect()) if small else None
+    exact_keys = np.array(sorted(r["h"] for r in known.where("exact").select("h").distinct().collect()), np.int64) if small else None
+    vocabulary = frozenset(r["t"] for r in known.where("not exact").select(F.explode("tokens").alias("t")).distinct().collect()) if small else None
 
     # beyond the bound only hashes move; the values of matched windows are cut afterwards
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
     def cut_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
         for b in batches:
             out = []
             for d, x, text in zip(b["doc_id"].to_pylist(), b["text_hash"].to_pylist(), b["text"].to_pylist(), strict=True):
                 tokens, values = template(text)
                 for k in widths:
                     if len(tokens) >= k:
-                        out += [(d, x, h, p, values[p : p + k] if small else None) for h, p in windows(tokens, k, literals, vocabulary) if keys is None or h in keys]
+                        out += [(d, x, h, p, values[p : p + k] if small else None) for h, p in windows(tokens, k, literals, vocabulary, values) if keys is None or h in keys]
+                        exact = exact_windows(values, k, hashes)
+                        at = np.arange(len(exact)) if exact_keys is None else np.flatnonzero(_among(exact, exact_keys))
+                        out += [(d, x, h, p, values[p : p + k] if small else None) for h, p in zip(exact[at].tolist(), at.tolist(), strict=True)]
             yield _batch(out, ["doc_id", "text_hash", "h", "doc_pos", "doc_values"])
 
     found = rows.mapInArrow(cut_docs, f"{_KEY}, h long, doc_pos int, doc_values array<string>")
@@ -232,14 +287,19 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, literals
     zipped = F.arrays_zip(F.col("tokens").alias("t"), F.col("values").alias("a"), F.col("doc_values").alias("b"))
     slots = F.filter(F.transform(zipped, lambda x, i: F.struct((F.col("pos") + i).alias("at"), x["t"].alias("t"), x["a"].alias("a"), x["b"].alias("b"))), lambda x: x["t"].startswith("<"))
     pairs = hits.groupBy("doc_id", "text_hash", "item_id").agg(
-        F.max("n_windows").alias("n_windows"), F.collect_list(F.struct("pos", "doc_pos", slots.alias("slots"))).alias("hits"),
-    ).where(F.size(F.array_distinct(F.col("hits.pos"))) >= F.ceil(F.lit(cover) * F.col("n_windows")))
+        F.max("n_windows").alias("n_windows"), F.max("n_exact").alias("n_exact"), F.collect_list(F.struct("pos", "doc_pos", "exact", slots.alias("slots"))).alias("hits"),
+    )
+    typed = F.filter("hits", lambda x: ~x["exact"])
+    enough = (F.size(F.array_distinct(typed["pos"])) >= F.greatest(F.ceil(F.lit(cover) * F.col("n_windows")), F.lit(1))) | (F.size(F.array_distinct(F.col("hits.pos"))) >= F.ceil(F.lit(cover) * F.col("n_exact")))
+    pairs = pairs.where(enough)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for d, i, n, found in zip(*[b[c].to_pylist() for c in ("doc_id", "item_id", "n_windows", "hits")], strict=True):
-                best = best_alignment(_places(found), ceil(cover * n), consistent)
+            for d, i, n, n_exact, found in zip(*[b[c].to_pylist() for c in ("doc_id", "item_id", "n_windows", "n_exact", "hits")], strict=True):
+                best = best_alignment(_places([x for x in found if not x["exact"]]), ceil(cover * n), consistent)
+                if best is None:  # template windows don't tell: all windows of the item
+                    n, best = n_exact, best_alignment(_places(found), ceil(cover * n_exact), consistent)
                 if best:
                     rows.append((d, i, best[0], n, best[1]))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5

@@ -310,6 +310,14 @@ def test_leaks_of_parallel_sentences_and_of_two_variants(spark, most):
     assert all(got[d, 0]["coverage"] == got[d, 0]["slot_agreement"] == 1 for d in range(3)), got
 
 
+@pytest.mark.parametrize("most", [500_000, 1])
+def test_leaks_whatever_the_case(spark, most):
+    items = ["Who Wrote The Famous Novel About War And Peace In Russia", "What is the capital city of Peru", "Ada 3 Bob 4 Carl 5 Dora 6 Emil 7 Fred 8", "A train covers 60 km in 3 hours and then it stops", "too short"]
+    texts = ["See: " + items[0] + "?", items[0].lower(), "1) What is the capital city of Peru", "so, What is the capital city of Chile", "WHAT IS THE CAPITAL CITY OF PERU", "x " + items[2], "A TRAIN COVERS 75 KM IN 4 HOURS AND THEN IT STOPS", "too short", "Who Wrote The Famous Novel"]
+    got = leaks_of(spark, texts, items, max_broadcast=most)
+    assert set(got) == {(0, 0), (1, 0), (2, 1), (3, 1), (4, 1), (5, 2), (6, 3)}
+
+
 def test_leaks_empty(spark):
     docs, bench = docs_of(spark, EDGES), spark.createDataFrame([], "item_id long, text string")
     assert decontamination.contaminated(docs, bench).count() == 0
