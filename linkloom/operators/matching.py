@@ -53,13 +53,13 @@ def brand_token(tokens: Column) -> Column:
     return F.get(F.filter(tokens, lambda x: x.rlike(r"[a-zA-Z؀-ۿ]") & ~x.isin(*d.LOW_WEIGHT)), 0)
 
 
-def token_candidates(queries: DataFrame, index: DataFrame, budget: int = BUDGET, max_share: float = 1.0) -> DataFrame:
+def token_candidates(queries: DataFrame, index: DataFrame, budget: int | None = BUDGET, max_share: float = 1.0) -> DataFrame:
     """q_id, idx, bucket, overlap, fast_jaccard, candidate_count.
 
     ``queries``: (q_id, q_tokens), one row a distinct name; ``index``: (idx,
     tokens). Both sides are exploded to tokens and joined by equality. Entries
     with the query's brand token come first (bucket 0, by idx), the rest of the
-    budget goes to the best by token Jaccard (bucket 1). ``max_share`` below 1
+    budget goes to the best by token Jaccard (bucket 1); without a budget all stay. ``max_share`` below 1
     leaves tokens out of the join that more than this share of the entries hold,
     unless they are the query's brand token: a hot token then makes no candidates
     of its own, which keeps the join linear where names share filler words."""
@@ -71,7 +71,7 @@ def token_candidates(queries: DataFrame, index: DataFrame, budget: int = BUDGET,
     pairs = asked.join(terms, "token").groupBy("q_id", "idx").agg(F.count("*").alias("overlap"), F.first("n_q").alias("n_q"), F.first("n_c").alias("n_c"), F.max(F.col("token") == F.col("brand")).alias("branded"))
     pairs = pairs.withColumn("bucket", F.when(F.coalesce("branded", F.lit(False)), 0).otherwise(1)).withColumn("fast_jaccard", F.col("overlap") / (F.col("n_q") + F.col("n_c") - F.col("overlap")))
     own = Window.partitionBy("q_id").orderBy("bucket", F.when(F.col("bucket") == 1, -F.col("fast_jaccard")).otherwise(0.0), "idx")
-    ranked = pairs.withColumn("_rn", F.row_number().over(own)).where(F.col("_rn") <= budget)
+    ranked = pairs if budget is None else pairs.withColumn("_rn", F.row_number().over(own)).where(F.col("_rn") <= budget)
     counted = pairs.groupBy("q_id").agg(F.count("*").alias("candidate_count"))
     return ranked.join(counted, "q_id").select("q_id", "idx", "bucket", "overlap", "fast_jaccard", "candidate_count")
 
@@ -163,10 +163,13 @@ def search(catalog_index_: DataFrame, query: str, k: int = 200, **options) -> Da
     return found.select(F.explode("matches").alias("m")).select("m.*").orderBy("rank")
 
 
-def reinvestigate(missed: DataFrame, index: DataFrame, least: int = 2, least_score: float = 0.40, k: int = 3) -> DataFrame:
+def reinvestigate(missed: DataFrame, index: DataFrame, least: int = 2, least_score: float = 0.40, k: int = 3, second: str = "title_ar") -> DataFrame:
     """For names without a match: entries that share ``least`` tokens (one for
-    names of at most two) and whose sequence ratio is above ``least_score``."""
+    names of at most two) and whose sequence ratio, of ``normalized`` or of the
+    column ``second`` where the index has it, is above ``least_score``. All are scored."""
     q = missed.select(F.col("name").alias("q_name")).distinct().withColumn("q_id", F.xxhash64("q_name")).withColumn("q_tokens", t.tokens(F.col("q_name")))
-    pairs = token_candidates(q, index, budget=BUDGET).join(q, "q_id").join(index.select("idx", "normalized"), "idx")
-    pairs = pairs.where(F.col("overlap") >= F.when(F.size("q_tokens") <= 2, 1).otherwise(least)).withColumn("score", s.sequence_ratio("q_name", "normalized")).where(F.col("score") > least_score)
+    names = ["normalized"] + [c for c in (second,) if c in index.columns]
+    pairs = token_candidates(q, index, budget=None).join(q, "q_id").where(F.col("overlap") >= F.when(F.size("q_tokens") <= 2, 1).otherwise(least)).join(index.select("idx", *names), "idx")
+    ratios = [F.coalesce(s.sequence_ratio("q_name", F.coalesce(c, F.lit(""))), F.lit(0.0)) for c in names]
+    pairs = pairs.withColumn("score", F.greatest(*ratios) if len(ratios) > 1 else ratios[0]).where(F.col("score") > least_score)
     return top_candidates(pairs, k).select("q_name", "rank", "idx", "normalized", "overlap", "score")

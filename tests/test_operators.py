@@ -134,3 +134,12 @@ def test_numbered_is_dense_and_ordered(spark):
     df = spark.range(500).withColumn("x", F.xxhash64("id") % 50)
     got = tables.numbered(df, ["x", "id"]).orderBy("rn").collect()
     assert [r["rn"] for r in got] == list(range(1, 501)) and [(r["x"], r["id"]) for r in got] == sorted((r["x"], r["id"]) for r in got)
+
+
+def test_reinvestigate_scores_all_entries(spark):
+    rows = [(i, f"panadol extra {'x' * (i % 7 + 20)} {'y' * 20}{i}", None) for i in range(300)] + [(900, "panadol extra red tabs", None), (901, "panadol extra 77", "panadol extra red")]
+    index = spark.createDataFrame(rows, "id long, name string, title_ar string")
+    index = matching.catalog_index(index, "name", "id")
+    missed = spark.createDataFrame([("panadol extra red",)], "name string")
+    got = [(r["idx"], r["rank"]) for r in matching.reinvestigate(missed, index).orderBy("rank").collect()]
+    assert got[:2] == [(901, 1), (900, 2)]
