@@ -82,9 +82,9 @@ def scored(candidates: DataFrame, queries: DataFrame, index: DataFrame, w_jaccar
     return full.withColumn("_s", s.score_pairs(w_jaccard, w_sequence)("q_name", "normalized")).select("*", "_s.*").drop("_s")
 
 
-def top_candidates(pairs: DataFrame, k: int = 5) -> DataFrame:
+def top_candidates(pairs: DataFrame, k: int = 5, by: tuple[str, ...] = ("q_id",)) -> DataFrame:
     """The best k of each query: by score, then bucket, token Jaccard and idx."""
-    best = Window.partitionBy("q_id").orderBy(F.desc("score"), "bucket", F.desc("fast_jaccard"), "idx")
+    best = Window.partitionBy(*by).orderBy(F.desc("score"), "bucket", F.desc("fast_jaccard"), "idx")
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 

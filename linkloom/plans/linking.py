@@ -40,14 +40,15 @@ def coverage(catalog: DataFrame, sheet_index: DataFrame, name: str, **match) ->
 
 def discover(missed: DataFrame, products: DataFrame, profiles: DataFrame, k: int = 5, found: float = 0.60, review: float = 0.40, max_share: float = 1.0) -> DataFrame:
     """Rows without a match against extracted page products, per enabled source:
-    the k best by token overlap are scored, then one hit a row is chosen by the
-    sources' priority. ``missed``: (row_index, name)."""
+    all that share a token are scored, then one hit a row is chosen among the k best
+    of each source by the sources' priority. ``missed``: (row_index, name)."""
     site = profiles.where("enabled").select("domain", "priority")
     near = products.join(site, "domain").where("title is not null").withColumn("idx", F.col("page_id"))
     index = written(matching.catalog_index(normalized(near, "title_en", "_norm"), "_norm", "page_id"), "index")
     q = missed.select(F.col("name").alias("q_name")).distinct().withColumn("q_id", F.xxhash64("q_name")).withColumn("q_tokens", t.tokens(F.col("q_name"))).where(F.size("q_tokens") > 0)
-    pairs = matching.scored(matching.token_candidates(q, index, max_share=max_share), q, index)
-    best = matching.top_candidates(pairs, k).join(near.select("idx", "domain", "priority", "url", "title"), "idx")
+    pairs = matching.scored(matching.token_candidates(q, index, budget=None, max_share=max_share), q, index)
+    placed = pairs.join(near.select("idx", "domain", "priority", "url", "title"), "idx")
+    best = matching.top_candidates(placed, k, ("q_id", "domain"))
     hits = best.select("q_name", "score", "priority", "domain", "rank", "url", "title")
     picked = enrichment.best_source(hits, "q_name", "score", ["priority", "domain", "rank"], found, review)
     out = missed.join(picked, missed["name"] == picked["q_name"], "left").drop("q_name")

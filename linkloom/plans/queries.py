@@ -542,7 +542,7 @@ def discovery(spark: SparkSession, sf: str) -> DataFrame:
     products = written(pages.page_products(table(spark, sf, "pages")), "products")
     profiles = products.select("domain").distinct().withColumn("enabled", F.lit(True)).withColumn("priority", F.pmod(F.xxhash64("domain"), F.lit(3)))
     missed = table(spark, sf, "benchmark").select(F.col("item_id").alias("row_index"), t.clean(F.split_part("text", F.lit("."), F.lit(1))).alias("name"))
-    return linking.discover(missed, products, profiles, max_share=0.02).select("row_index", "name", "discovery_status", F.round("score", 6).alias("score"), "domain", "url")
+    return linking.discover(missed, products, profiles).select("row_index", "name", "discovery_status", F.round("score", 6).alias("score"), "domain", "url")
 
 
 # sheets and streams

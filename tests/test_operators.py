@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom.operators import enrichment, matching, pages, results, tables
+from linkloom.plans import linking
 from linkloom.sources import catalog, sheets
 from linkloom.streaming import matching as stream
 
@@ -143,3 +144,13 @@ def test_reinvestigate_scores_all_entries(spark):
     missed = spark.createDataFrame([("panadol extra red",)], "name string")
     got = [(r["idx"], r["rank"]) for r in matching.reinvestigate(missed, index).orderBy("rank").collect()]
     assert got[:2] == [(901, 1), (900, 2)]
+
+
+def test_discover_asks_every_source(spark):
+    # the preferred source holds the one page that is good enough, after 300 equal pages of another
+    rows = [(i, "big.example", f"http://big.example/{i}", "red cotton shirt large") for i in range(300)] + [(900, "small.example", "http://small.example/", "red cotton shirt large")]
+    products = spark.createDataFrame([(i, d, u, x, x) for i, d, u, x in rows], "page_id long, domain string, url string, title string, title_en string")
+    profiles = spark.createDataFrame([("big.example", True, 2), ("small.example", True, 1)], "domain string, enabled boolean, priority int")
+    missed = spark.createDataFrame([(1, "red cotton shirt large")], "row_index long, name string")
+    got = linking.discover(missed, products, profiles).collect()
+    assert [(r["domain"], r["discovery_status"]) for r in got] == [("small.example", "found")]
