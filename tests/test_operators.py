@@ -154,3 +154,14 @@ def test_discover_asks_every_source(spark):
     missed = spark.createDataFrame([(1, "red cotton shirt large")], "row_index long, name string")
     got = linking.discover(missed, products, profiles).collect()
     assert [(r["domain"], r["discovery_status"]) for r in got] == [("small.example", "found")]
+
+
+def test_search_forms_beyond_the_first(spark):
+    login = '<form action="/login"><input name="user"></form>'
+    rows = [
+        (1, "http://a.example/x", login + '<form action="/search?lang=en"><input type="hidden" name="t"><input name="Q"></form>'),
+        (2, "http://b.example/shop/red-shirt", login), (3, "http://c.example/shop/category/1", login), (4, "http://d.example/", None),
+        (5, "http://e.example/", login + '<form action="http://s.example/shop"><input name="text"></form>'),
+    ]
+    got = {r["domain"]: r["template"] for r in pages.search_forms(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {"a.example": "http://a.example/search?lang=en&Q={query}", "b.example": "http://b.example/shop?search={query}", "e.example": "http://s.example/shop?text={query}"}
