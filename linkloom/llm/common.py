@@ -1,5 +1,4 @@
-"""Shared helpers: shared-folder tables, packed hashes of a batch's words,
-connected components."""
+"""Shared helpers: tables in the shared folder, samples, connected components."""
 
 from __future__ import annotations
 
@@ -33,7 +32,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut`` that nothing reads any more: what was made
+    of them must have been written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents_of(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -41,8 +51,9 @@ def documents_of(spark: SparkSession, sf_dir: str, table: str = "documents") ->
 
 
 def held_out(id_col, folds: int, fold: int):
-    """crc32 of the id as text, modulo ``folds``, equals ``fold``."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold
+    """crc32 of the id as text, modulo ``folds``, equals ``fold``; never for a
+    null id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
 def bounded_sample(df: DataFrame, key: str, bound: int, n_rows: int) -> DataFrame:
@@ -61,7 +72,7 @@ def _is_forest_of_stars(e: DataFrame) -> bool:
     return e.select("v").distinct().join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of an edge table (src, dst, longs): rows (node,
     component) for every node of an edge, component = smallest node reachable.
 
@@ -69,11 +80,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     every node hangs on its component's least node; the number of edges never
     grows, and the rounds are logarithmic in practice. Minima are combined before
     the shuffle and written before they are joined, so that a hot node's edges
-    can be split by adaptive skew joins. Empty input gives an empty table."""
+    can be split by adaptive skew joins. Each round's tables are deleted once the
+    next round's edges are written. Empty input gives an empty table."""
     e = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges")
-    for _ in range(rounds):
-        if _is_forest_of_stars(e):
-            break
+    while not _is_forest_of_stars(e):
         # large star: every larger neighbour of u is linked to the least of u and its neighbours
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
@@ -81,8 +91,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: u and its smaller neighbours are linked to the least of these
         least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        e = cut(small, "edges")
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        e, old = cut(small, "edges"), e
+        discard(old, low, large, least)
     pairs = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return pairs.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
