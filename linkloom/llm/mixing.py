@@ -90,7 +90,7 @@ def rate_of(lam: Column, size: Column, mean: Column, cap: float = CAP) -> Column
     return F.when(size == 0, 1.0).when(lam == float("inf"), float(cap)).otherwise(F.least(F.lit(float(cap)), F.exp(F.least(lam * size / mean, F.lit(50.0)))))
 
 
-def newton_multipliers(hist: DataFrame, sources: DataFrame, cap: float = CAP, steps: int = 100, tolerance: float = 1e-9) -> DataFrame:
+def newton_multipliers(hist: DataFrame, sources: DataFrame, cap: float = CAP, steps: int = 100, tolerance: float = 1e-8) -> DataFrame:
     """``sources`` (key, docs, source_size, target, ...) with lam and converged.
     A step outside the bracket is replaced by its middle, so that 100 steps use
     up a double's digits."""

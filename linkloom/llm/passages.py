@@ -12,40 +12,45 @@ removed. Three steps, each linear in the text:
 2. Confirmation. An anchor seen once has no repeated window. A segment seen
    twice is repeated whole. Segments that share an anchor but differ are
    compared window by window: their windows' hashes are counted. Hashes of 64
-   bits are compared under an anchor hash of 64 bits, 128 in all.
-3. Automata. The documents are dealt into shards. A shard's distinct confirmed
-   passages (runs of repeated windows) are compiled into an Aho-Corasick
-   automaton over word numbers with pyahocorasick; all documents of the shard
-   are streamed through it, which locates every occurrence of every passage.
-   A shard is closed at ``shard_words`` words, which bounds its memory.
+   bits are compared under an anchor hash of 64 bits, 128 in all. Out come the
+   distinct passages, each from one place where it is written: a segment, or a
+   run of its windows, that recurs.
+3. Automata. The passages are dealt into shards of about ``shard_words`` words,
+   those of one document together, and a shard is compiled into an Aho-Corasick
+   automaton over word numbers with pyahocorasick. Every document that holds an
+   anchor of a shard's passages is streamed through the shard's automaton, which
+   locates all occurrences; documents without one can hold none of them. What is
+   removed comes from the automata alone.
 
 Hot anchors: counts are combined before the shuffle and joins on the anchor can
-be split by adaptive skew joins. Nothing is dropped, capped or sampled.
+be split by adaptive skew joins. A shard that many documents ask for is compiled
+in several tasks, each for about ``part_bytes`` of their text. Nothing is
+dropped, capped or sampled.
 
 Defined cases: null and empty texts have no words and are returned with zeros
-and the hash of the empty string; repeated rows (equal doc_id too) are separate
-documents and repeat each other. Extra columns are ignored.
+and the hash of the empty string; repeated rows (equal doc_id too, or null) are
+separate documents and repeat each other: rows are numbered once, in a written
+table. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
+from math import ceil
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import cut, documents_of
+from linkloom.llm.common import cut, discard, documents_of
 from linkloom.llm.words import Words, rolled, slices, spans_hash, words_of
 
 WIDTH, GRAM = 35, 8
-#: A row's key: its id, and a hash of its text to tell repeated ids apart.
-ROW = "struct<i:bigint,t:int>"
-SHARD_WORDS = 400_000
+SHARD_WORDS, PART_BYTES = 400_000, 16_000_000
 
 
 def _sliding(a: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -119,7 +124,7 @@ def anchor_table(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataF
                     s = spans_hash(w.hash, lo, lo + n - 1 + width, 1)
                     yield pa.RecordBatch.from_arrays([_signed(a), _signed(s), rows.slice(i, j - i).take(pa.array(doc)), pa.array((lo - w.first[doc]).astype(np.int32)), pa.array(n.astype(np.int32))], ["a", "s", "row", "lo", "n"])
 
-    return docs.select("row", "text").mapInArrow(find, f"a long, s long, row {ROW}, lo int, n int")
+    return docs.select("row", "text").mapInArrow(find, "a long, s long, row long, lo int, n int")
 
 
 def window_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -141,102 +146,135 @@ def window_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select("text", "segs").mapInArrow(find, "w long, c long, a long, s long, at int")
 
 
-def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """row, lo, n: runs of repeated windows, at least one row for each repeated
-    window. ``docs``: (row, text), row unique."""
+def confirmed_passages(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+    """Distinct passages: a, s (the segment), row, lo (where its text is taken
+    from), starts (windows of it that recur); and the places of recurring anchors: a, s,
+    row. ``docs``: (row, text), row unique."""
     found = cut(anchor_table(docs, width, gram), "anchors")
-    many = found.groupBy("a").agg(F.count("*").alias("k"), (F.min("s") != F.max("s")).alias("differ")).where("k > 1").select("a", "differ")
+    many = cut(found.groupBy("a").agg(F.count("*").alias("k"), (F.min("s") != F.max("s")).alias("differ")).where("k > 1").select("a", "differ"), "many")
     # tables are cut before they are joined, so that hot anchors can be split
-    seen = cut(found.join(cut(many, "many"), "a"), "recurring")
-    whole = seen.where("not differ").select("row", "lo", "n")
-    mixed = seen.where("differ")
-    kinds = mixed.groupBy("a", "s").agg(F.count("*").alias("c"), F.min(F.struct("row", "lo")).alias("r"), F.first("n").alias("n"))
-    asked = kinds.groupBy(F.col("r.row").alias("row")).agg(F.collect_list(F.struct("a", "s", F.col("r.lo").alias("lo"), "n", "c")).alias("segs"))
-    shown = window_table(docs.join(asked, "row"), width)
+    seen = cut(found.join(many, "a"), "recurring")
+    kinds = cut(seen.groupBy("a", "s", "differ").agg(F.count("*").alias("c"), F.min(F.struct("row", "lo")).alias("r"), F.first("n").alias("n")), "kinds")
+    whole = kinds.where("not differ").select("a", "s", "r.row", "r.lo", F.sequence(F.lit(0), F.col("n") - 1).alias("starts"))
+    asked = kinds.where("differ").groupBy(F.col("r.row").alias("row")).agg(F.collect_list(F.struct("a", "s", F.col("r.lo").alias("lo"), "n", "c")).alias("segs"))
     # under one anchor, a window has one place in a segment, or more where the anchor is repeated in it
-    shown = cut(shown, "windows")
+    shown = cut(window_table(docs.join(asked, "row"), width), "windows")
     double = shown.groupBy("a", "w").agg(F.sum("c").alias("k")).where("k > 1").select("a", "w")
-    parts = shown.join(double, ["a", "w"], "left_semi").groupBy("a", "s").agg(F.sort_array(F.collect_set("at")).alias("ats"))
-    part = mixed.join(cut(parts, "parts"), ["a", "s"]).select("row", F.explode("ats").alias("at"), "lo").select("row", (F.col("lo") + F.col("at")).alias("lo"), F.lit(1).alias("n"))
-    return whole.union(part)
-
-
-def _runs(starts: list[tuple[int, int]], width: int) -> list[tuple[int, int]]:
-    """Word ranges covered by runs of windows (first window, number)."""
-    out: list[tuple[int, int]] = []
-    for lo, n in sorted(starts):
-        if out and lo <= out[-1][1] - width + 1:  # consecutive windows are one run
-            out[-1] = (out[-1][0], max(out[-1][1], lo + n - 1 + width))
-        else:
-            out.append((lo, lo + n - 1 + width))
-    return out
+    parts = cut(shown.join(double, ["a", "w"], "left_semi").groupBy("a", "s").agg(F.sort_array(F.collect_set("at")).alias("starts")), "parts")
+    part = kinds.where("differ").join(parts, ["a", "s"]).select("a", "s", "r.row", "r.lo", "starts")
+    passages = cut(whole.union(part), "passages")
+    places = cut(seen.select("a", "s", "row"), "places")
+    discard(found, many, seen, kinds, shown, parts)
+    return passages, places
+
 
+def passage_texts(docs: DataFrame, passages: DataFrame, width: int = WIDTH) -> DataFrame:
+    """shard, passage: the words of every passage, joined by a space. A run of
+    consecutive windows of one segment is one passage."""
+    asked = passages.groupBy("row", "shard").agg(F.collect_list(F.struct("lo", "starts")).alias("segs"))
 
-def locate(numbers: list[np.ndarray], passages: list[list[tuple[int, int]]]) -> list[np.ndarray]:
-    """Words of each document that an occurrence of a passage covers. The
-    passages of all documents of the shard are looked for in each of them."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shards, out = [], []
+            for shard, text, segs in zip(b["shard"].to_pylist(), b["text"].to_pylist(), b["segs"].to_pylist(), strict=True):
+                words = text.encode().split()  # bytes split at exactly the separators of words
+                for seg in segs:
+                    at = np.array(seg["starts"])
+                    for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+                        lo = seg["lo"] + int(run[0])
+                        shards.append(shard)
+                        out.append(b" ".join(words[lo : lo + len(run) - 1 + width]).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(out, pa.string())], ["shard", "passage"])
+
+    return docs.join(asked, "row").select("shard", "text", "segs").mapInArrow(write, "shard int, passage string")
+
+
+def occurrences(passages: pa.Array, texts: pa.Array) -> list[list[tuple[int, int]]]:
+    """Word ranges of each text that occurrences of the passages cover, by an
+    Aho-Corasick automaton over numbers of words."""
+    p = words_of(passages)
+    known = np.unique(p.hash)
+    numbers = (np.searchsorted(known, p.hash) + 1).tolist()
     machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for ids, runs in zip(numbers, passages, strict=True):
-        for lo, hi in runs:
-            machine.add_word(tuple(ids[lo:hi].tolist()), hi - lo)
-    out = []
-    if len(machine):
-        machine.make_automaton()
-    for ids in numbers:
-        change = np.zeros(len(ids) + 1, np.int64)
-        if len(machine):
-            for end, length in machine.iter(tuple(ids.tolist())):
-                change[end + 1 - length] += 1
-                change[end + 1] -= 1
-        out.append(np.cumsum(change[:-1]) > 0)
+    for lo, hi in zip(p.first[:-1].tolist(), p.first[1:].tolist(), strict=True):
+        if hi > lo:
+            machine.add_word(tuple(numbers[lo:hi]), hi - lo)
+    out: list[list[tuple[int, int]]] = []
+    if not len(machine):
+        return [[] for _ in range(len(texts))]
+    machine.make_automaton()
+    for i, j in slices(texts):
+        w = words_of(texts.slice(i, j - i))
+        at = np.minimum(np.searchsorted(known, w.hash), len(known) - 1)
+        number = np.where(known[at] == w.hash, at + 1, 0)  # 0: a word of no passage
+        for d in range(j - i):
+            runs: list[tuple[int, int]] = []
+            for end, length in machine.iter(tuple(number[w.first[d] : w.first[d + 1]].tolist())):
+                lo, hi = end + 1 - length, end + 1
+                while runs and lo <= runs[-1][1]:
+                    lo = min(lo, runs.pop()[0])
+                runs.append((lo, hi))
+            out.append(runs)
+    return out
+
+
+def covered(docs: DataFrame, passages: DataFrame, places: DataFrame, width: int = WIDTH, shard_words: int = SHARD_WORDS, part_bytes: int = PART_BYTES) -> DataFrame:
+    """row, runs (lo, hi): the words of each document that passages cover."""
+    words = passages.agg(F.sum(F.size("starts") + width - 1)).first()[0] or 0
+    shard = F.pmod(F.xxhash64("row", F.floor(F.col("lo") / shard_words)), F.lit(ceil(words / shard_words) or 1)).cast("int")
+    dealt = cut(passages.withColumn("shard", shard), "dealt")
+    routes = cut(places.join(dealt.select("a", "s", "shard"), ["a", "s"]).select("row", "shard").distinct(), "routes")
+    sent = cut(docs.join(routes, "row").select("shard", "row", "text"), "sent")
+    parts = cut(sent.groupBy("shard").agg(F.ceil(F.sum(F.octet_length("text")) / part_bytes).cast("int").alias("parts")), "shard_parts")
+    texts = sent.join(parts, "shard").select("shard", F.pmod(F.xxhash64(F.lit(9), F.col("row")), F.col("parts")).cast("int").alias("part"), "row", "text")
+    machines = cut(passage_texts(docs, dealt, width), "passage_texts").join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "passage")
+
+    def locate(known: pa.Table, stream: pa.Table) -> pa.Table:
+        runs = occurrences(_one(known["passage"]), _one(stream["text"])) if len(known) else [[] for _ in range(len(stream))]
+        hit = [i for i, r in enumerate(runs) if r]
+        kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+        return pa.table({"row": stream["row"].take(pa.array(hit, pa.int64())), "runs": pa.array([[{"lo": a, "hi": b} for a, b in runs[i]] for i in hit], kind)})
+
+    found = machines.groupBy("shard", "part").cogroup(texts.groupBy("shard", "part")).applyInArrow(locate, "row long, runs array<struct<lo:int,hi:int>>")
+    out = cut(found.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs")), "covered")
+    discard(dealt, routes, sent, parts)
     return out
 
 
-def cut_passages(docs: DataFrame, found: DataFrame, width: int = WIDTH, shard_words: int = SHARD_WORDS) -> DataFrame:
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks != 1 else column.chunk(0)
+
+
+def cut_out(docs: DataFrame, cover: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row of ``docs`` (row,
-    doc_id, text), given the runs of repeated windows."""
-    runs = found.groupBy("row").agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
+    doc_id, text) without the words that ``cover`` (row, runs) covers."""
 
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lo, total = 0, 0
-            lengths = (pc.fill_null(pc.binary_length(b["text"]), 0).to_numpy(zero_copy_only=False) // 6).tolist()
-            for i in range(len(b) + 1):
-                if i == len(b) or (total and total + lengths[i] > shard_words):
-                    yield from shard(b.slice(lo, i - lo))
-                    lo, total = i, 0
-                if i < len(b):
-                    total += lengths[i]
-
-    def shard(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if not len(b):
-            return
-        w = words_of(b["text"])
-        _, ids = np.unique(w.hash, return_inverse=True)
-        numbers = [ids[w.first[d] : w.first[d + 1]] for d in range(len(b))]
-        passages = [_runs([(x["lo"], x["n"]) for x in r or ()], width) for r in b["runs"].to_pylist()]
-        raw = w.data.tobytes()
-        kept, gone = [], []
-        for d, cover in enumerate(locate(numbers, passages)):
-            first = w.first[d]
-            stay = np.flatnonzero(~cover) + first
-            kept.append(b" ".join([raw[s:e] for s, e in zip(w.starts[stay].tolist(), w.ends[stay].tolist(), strict=True)]))
-            gone.append(int(cover.sum()))
-        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(np.diff(w.first).astype(np.int64)), pa.array(gone, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    return docs.join(runs, "row", "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "runs").mapInArrow(stream, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and ``row``. Rows equal in both share a key: they repeat each
-    other and have the same runs."""
-    return docs.select("doc_id", "text", F.struct(F.col("doc_id").cast("long").alias("i"), F.hash("text").alias("t")).alias("row"))
-
-
-def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_words: int = SHARD_WORDS) -> DataFrame:
+            n, gone, kept = [], [], []
+            for text, runs in zip(b["text"], b["runs"].to_pylist(), strict=True):
+                words = (text.as_py() or "").encode().split()
+                n.append(len(words))
+                if runs:
+                    change = np.zeros(len(words) + 1, np.int64)
+                    np.add.at(change, [r["lo"] for r in runs], 1)
+                    np.add.at(change, [r["hi"] for r in runs], -1)
+                    words = list(compress(words, (np.cumsum(change[:-1]) == 0).tolist()))
+                gone.append(n[-1] - len(words))
+                kept.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    return docs.join(cover, "row", "left").select("doc_id", "text", "runs").mapInArrow(write, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_words: int = SHARD_WORDS, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row of (doc_id, text)."""
-    rows = keyed(docs)
-    return cut_passages(rows, repeated_windows(rows, width, gram), width, shard_words)
+    # numbers are given while the table is written, so no row gets another one later
+    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row")), "rows")
+    passages, places = confirmed_passages(rows, width, gram)
+    cover = covered(rows, passages, places, width, shard_words, part_bytes)
+    discard(passages, places)
+    return cut_out(rows, cover)
 
 
 def op9_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS: dict[str, np.ndarray] = {}
 #: Bytes of text whose arrays are held at once; a longer text is its own slice.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 class Words(NamedTuple):

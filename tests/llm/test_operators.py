@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -464,10 +465,21 @@ def test_passages_against_brute_force(spark, vocab):
         texts.append("\n".join(parts))
     texts += EDGES[:5] + ["é ü " * 40, "b c " * 5, texts[0], texts[0]]
     docs = docs_of(spark, texts).withColumn("row", F.lit(1)).withColumn("a", F.lit(1)).withColumn("s", F.lit(2))
-    got = {r["doc_id"]: tuple(r)[1:] for r in passages.remove_repeats(docs, width=10, gram=4, shard_words=300).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in passages.remove_repeats(docs, width=10, gram=4, shard_words=300, part_bytes=2_000).collect()}
     assert [got[i] for i in range(len(texts))] == brute_passages(texts, 10)
 
 
+def test_automaton_finds_every_occurrence():
+    rng = np.random.default_rng(0)
+    texts = [prose(rng, int(rng.integers(0, 60)), 3) for _ in range(40)] + [""]
+    known = [prose(rng, int(rng.integers(3, 6)), 3) for _ in range(6)]
+    for text, runs in zip(texts, passages.occurrences(pa.array(known), pa.array(texts)), strict=True):
+        w = text.split()
+        want = {i + k for p in known for i in range(len(w)) if w[i : i + len(p.split())] == p.split() for k in range(len(p.split()))}
+        assert {i for lo, hi in runs for i in range(lo, hi)} == want
+    assert passages.occurrences(pa.array([], pa.string()), pa.array(["a b"])) == [[]]
+
+
 def test_passages_edges(spark):
     docs = spark.createDataFrame([(7, "x " * 50), (7, "y " * 50), (7, "y " * 50), (8, None), (None, "z " * 34)], "doc_id long, text string")
     got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in passages.remove_repeats(docs).collect())
