@@ -13,47 +13,43 @@ stops the traversal there. Of two cells only the lesser visits the other, and
 links count for both sides. Candidates are verified by cosine in double
 precision.
 
-Vectors equal in every component, under one label, are one class; classes are
-compared through a representative and counted with their sizes. A cell is dealt
+Vectors equal in every component, under one label, are one class with a number
+given once in a written table; classes are compared and counted with their
+sizes. Each label and vector length has a grid of its own, so that a hot label
+gets more cells. A cell is dealt
 into blocks of about ``block`` classes; a block of members and a block of
 queries meet in one task as a matrix product, so no pair is ever emitted: out
 come the number of links of each query and, for the components, one edge a
-vector to the smallest vector of its connected part of the two blocks.
+vector to the smallest number of its connected part of the two blocks.
 
-Codebooks are fitted on at most about ``max_sample`` vectors chosen by a hash;
-every vector is indexed.
+Codebooks are fitted on at most about ``max_sample`` vectors a label and length,
+chosen by a hash, in one task each; every vector is indexed. Classes meet their
+codebooks in parts of about ``part_rows``.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
 components, and vectors with a null label, link with nothing; vectors of another
 length than the query's link with nothing of it; repeated vectors link with each
-other; an empty table gives an empty result. Rows that share a vec_id are
-separate rows with one component. Extra columns are ignored.
+other; an empty table gives an empty result. Rows that share a vec_id, or have
+none, are separate rows that link by their own vectors; a component's id is its
+smallest vec_id that is not null. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 from statistics import NormalDist
-from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import bounded_sample, components, cut, documents_of
+from linkloom.llm.common import components, cut, discard, documents_of
 
 THRESHOLD = 0.98
 BLOCK = 256
 
 
-class Codebooks(NamedTuple):
-    left: np.ndarray  # centroids x half
-    right: np.ndarray
-
-
 def unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)  # else very large components overflow
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -62,6 +58,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 def _means(x: np.ndarray, k: int, steps: int = 12) -> np.ndarray:
     """Lloyd's algorithm from k rows spread over the sample."""
     k = min(k, len(x))
+    if not x.shape[1]:  # half of a vector of one component
+        return np.zeros((1, 0))
     centres = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
     for _ in range(steps):
         near = np.argmin((centres**2).sum(axis=1)[None, :] - 2 * x @ centres.T, axis=1)
@@ -84,19 +82,32 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def classes_of(vectors: DataFrame) -> DataFrame:
-    """rep, label, v, weight: one row for each distinct vector of a label."""
-    return vectors.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
+    """rep (a number of its own), label, v, len, weight, low (least vec_id): one
+    row for each distinct vector of a label."""
+    made = vectors.groupBy("label", "v").agg(F.count("*").alias("weight"), F.min("vec_id").alias("low"))
+    return cut(made.select(F.monotonically_increasing_id().alias("rep"), "label", "v", F.size("v").alias("len"), "weight", "low"), "classes")
+
+
+def fit_codebooks(classes: DataFrame, per_cell: int = 256, max_sample: int = 10_000, part_rows: int = 5_000) -> DataFrame:
+    """label, len, parts, left, right: two codebooks for each label and length,
+    whose product grid has about ``per_cell`` classes a cell. ``parts``: in how
+    many parts its classes are indexed, so that a copy of the codebooks is small
+    beside a part."""
+    n = cut(classes.groupBy("label", "len").agg(F.count("*").alias("n")), "label_sizes")
+    scale = 1 << 30
+    drawn = F.pmod(F.xxhash64(F.lit(17), F.col("v")), F.lit(scale)) < F.least(F.lit(float(scale)), F.lit(float(scale) * max_sample) / F.col("n"))
+    sample = classes.select("label", "v", "len").join(n, ["label", "len"]).where(drawn)
+    kind = dict(classes.dtypes)["label"]
 
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n, length = int(pdf["n"].iloc[0]), int(key[1])
+        k = max(2, round((n / per_cell) ** 0.5))
+        x = unit(np.vstack(sorted(pdf["v"].to_list(), key=lambda v: tuple(v))))
+        books = [_means(h, k) for h in (x[:, : length // 2], x[:, length // 2 :])]
+        rows = max(part_rows, 16 * max(map(len, books)))
+        return pd.DataFrame({"label": [key[0]], "len": [length], "parts": [-(-n // rows)], "left": [books[0].ravel()], "right": [books[1].ravel()]})
 
-def fit_codebooks(classes: DataFrame, n_classes: int, length: int, per_cell: int = 256, max_sample: int = 10_000) -> Codebooks:
-    """Two codebooks whose product grid has about ``per_cell`` classes a cell
-    and label."""
-    labels = max(1, classes.select(F.approx_count_distinct("label")).first()[0])
-    k = int(np.clip(round((n_classes / labels / per_cell) ** 0.5), 2, 4096))
-    rows = bounded_sample(classes.where(F.size("v") == length), "rep", max_sample, n_classes).select("rep", "v").collect()
-    rows.sort(key=lambda r: r["rep"])
-    x = unit(np.array([r["v"] for r in rows]).reshape(len(rows), length))
-    return Codebooks(_means(x[:, : length // 2], k), _means(x[:, length // 2 :], k))
+    return cut(sample.groupBy("label", "len").applyInPandas(fit, f"label {kind}, len int, parts long, left array<double>, right array<double>"), "codebooks")
 
 
 def _borders(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +124,9 @@ def _borders(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def traverse(left: np.ndarray, right: np.ndarray, bound: float) -> list[tuple[int, int]]:
     """Cells by rising left + right, up to ``bound``: multi-sequence order."""
-    a, b = np.argsort(left, kind="stable"), np.argsort(right, kind="stable")
+    a, b = (i[np.argsort(far[i], kind="stable")] for far, i in ((left, np.flatnonzero(left <= bound)), (right, np.flatnonzero(right <= bound))))
+    if not len(a) or not len(b):
+        return []
     heap, out = [(left[a[0]] + right[b[0]], 0, 0)], []
     while heap:
         at, i, j = heapq.heappop(heap)
@@ -127,57 +140,52 @@ def traverse(left: np.ndarray, right: np.ndarray, bound: float) -> list[tuple[in
     return out
 
 
-def index_rows(classes: DataFrame, books: Codebooks, threshold: float = THRESHOLD, recall: float = 1.0) -> DataFrame:
-    """rep, label, v, weight, home, own, cell: each class in its home cell as a
-    member (home) and as a query (own), and in the visited cells of a greater
+def index_rows(classes: DataFrame, books: DataFrame, threshold: float = THRESHOLD, recall: float = 1.0) -> DataFrame:
+    """rep, label, len, v, weight, home, own, cell: each class in its home cell as
+    a member (home) and as a query (own), and in the visited cells of a greater
     number as a query."""
-    length = books.left.shape[1] + books.right.shape[1]
     apart = (2 - 2 * threshold) ** 0.5
-    normal = apart if recall >= 1 else min(apart, NormalDist().inv_cdf(1 - (1 - recall) / 2) * apart / length**0.5)
-    bound = normal**2 + 1e-9
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            v = b["v"].to_pylist()
-            fits = [i for i, x in enumerate(v) if len(x) == length]
-            row, cell, home, same = [], [], [], []
-            if fits:
-                x = unit(np.array([v[i] for i in fits]))
-                near_l, far_l = _borders(x[:, : length // 2], books.left)
-                near_r, far_r = _borders(x[:, length // 2 :], books.right)
-                for i in range(len(fits)):
-                    own = int(near_l[i]) * len(books.right) + int(near_r[i])
-                    visits = [a * len(books.right) + c for a, c in traverse(far_l[i], far_r[i], bound)]
-                    visits = [own, own, *(c for c in visits if c > own)]
-                    row += [fits[i]] * len(visits)
-                    cell += visits
-                    home += [True] + [False] * (len(visits) - 1)
-                    same += [True, True] + [False] * (len(visits) - 2)
-            # vectors of other lengths meet in a cell of their own, by length
-            for i in set(range(len(v))) - set(fits):
-                row += [i, i]
-                cell += [-len(v[i]) - 1] * 2
-                home += [True, False]
-                same += [True, True]
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([b[c].take(take) for c in ("rep", "label", "v", "weight")] + [pa.array(home, pa.bool_()), pa.array(same, pa.bool_()), pa.array(cell, pa.int64())], ["rep", "label", "v", "weight", "home", "own", "cell"])
-
+    part = F.pmod(F.xxhash64(F.lit(23), F.col("rep")), F.col("parts"))
+    dealt = classes.select("rep", "label", "len", "v", "weight").join(cut(books.select("label", "len", "parts"), "parts"), ["label", "len"]).withColumn("part", part)
+    copies = books.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     kind = dict(classes.dtypes)["label"]
-    return classes.select("rep", "label", "v", "weight").mapInArrow(place, f"rep long, label {kind}, v array<double>, weight long, home boolean, own boolean, cell long")
+
+    def place(key: tuple, pdf: pd.DataFrame, book: pd.DataFrame) -> pd.DataFrame:
+        length = int(key[1])
+        left = np.asarray(book["left"].iloc[0]).reshape(-1, length // 2) if length > 1 else np.zeros((1, 0))
+        right = np.asarray(book["right"].iloc[0]).reshape(-1, length - length // 2)
+        normal = apart if recall >= 1 else min(apart, NormalDist().inv_cdf(1 - (1 - recall) / 2) * apart / length**0.5)
+        bound = normal**2 + 1e-9
+        row, cell, home, same = [], [], [], []
+        for lo in range(0, len(pdf), 1000):
+            x = unit(np.vstack(pdf["v"].iloc[lo : lo + 1000].to_list()))
+            near_l, far_l = _borders(x[:, : length // 2], left)
+            near_r, far_r = _borders(x[:, length // 2 :], right)
+            for i in range(len(x)):
+                own = int(near_l[i]) * len(right) + int(near_r[i])
+                visits = [own, own, *(c for c in (a * len(right) + b for a, b in traverse(far_l[i], far_r[i], bound)) if c > own)]
+                row += [lo + i] * len(visits)
+                cell += visits
+                home += [True] + [False] * (len(visits) - 1)
+                same += [True, True] + [False] * (len(visits) - 2)
+        return pdf.iloc[row][["rep", "label", "len", "v", "weight"]].assign(home=home, own=same, cell=cell)
+
+    return dealt.groupBy("label", "len", "part").cogroup(copies.groupBy("label", "len", "part")).applyInPandas(
+        place, f"rep long, label {kind}, len int, v array<double>, weight long, home boolean, own boolean, cell long")
 
 
 def verified(placed: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """rep, n (links to other classes' vectors), root: one row a query, block of
     members. Members of a cell are dealt into blocks by hash, and so are its
     queries; every block of queries meets every block of members."""
-    size = placed.groupBy("label", "cell").agg(F.count_if("home").alias("m"), F.count_if(~F.col("home")).alias("q"))
-    size = cut(size.select("label", "cell", F.ceil(F.col("m") / block).cast("int").alias("mb"), F.ceil(F.col("q") / block).cast("int").alias("qb")).where("mb > 0 and qb > 0"), "cells")
-    dealt = placed.join(size, ["label", "cell"])
+    size = placed.groupBy("label", "len", "cell").agg(F.count_if("home").alias("m"), F.count_if(~F.col("home")).alias("q"))
+    size = cut(size.select("label", "len", "cell", F.ceil(F.col("m") / block).cast("int").alias("mb"), F.ceil(F.col("q") / block).cast("int").alias("qb")).where("mb > 0 and qb > 0"), "cells")
+    dealt = placed.join(size, ["label", "len", "cell"])
     salt = F.xxhash64(F.lit(3), F.col("rep"))
     at = F.when(F.col("home"), F.pmod(salt, F.col("mb"))).otherwise(F.pmod(salt, F.col("qb"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("home"), F.col("qb")).otherwise(F.col("mb")) - 1))
     met = dealt.withColumn("_at", at).withColumn("_other", other).select(
-        "rep", "label", "v", "weight", "home", "own", "cell",
+        "rep", "label", "len", "v", "weight", "home", "own", "cell",
         F.when(F.col("home"), F.col("_at")).otherwise(F.col("_other")).alias("mi"),
         F.when(F.col("home"), F.col("_other")).otherwise(F.col("_at")).alias("qi"),
     )
@@ -207,28 +215,26 @@ def verified(placed: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK
         touched = links.any(axis=0)
         return pd.concat([pd.DataFrame({"rep": qr[hit], "n": n[hit], "root": root[hit]}), pd.DataFrame({"rep": mr[touched], "n": back_n[touched], "root": member[touched]})])
 
-    return met.groupBy("label", "cell", "mi", "qi").applyInPandas(compare, "rep long, n long, root long")
+    return met.groupBy("label", "len", "cell", "mi", "qi").applyInPandas(compare, "rep long, n long, root long")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, per_cell: int = 256, max_sample: int = 10_000, recall: float = 1.0, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row of (vec_id, embedding, label)."""
     rows = vectors.select("vec_id", "embedding", "label")
     good = usable(rows)
-    classes = cut(classes_of(good), "classes")
-    most = classes.groupBy(F.size("v").alias("k")).count().orderBy(F.desc("count"), "k").first()
-    base = rows.select(F.col("vec_id").cast("long").alias("vec_id"))
-    if most is None or most["k"] < 2:
-        return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    total = classes.count()
-    books = fit_codebooks(classes, total, most["k"], per_cell, max_sample)
-    found = cut(verified(cut(index_rows(classes, books, threshold, recall), "placed"), threshold, block), "links")
+    classes = classes_of(good)
+    placed = cut(index_rows(classes, fit_codebooks(classes, per_cell, max_sample), threshold, recall), "placed")
+    found = cut(verified(placed, threshold, block), "links")
     joined = components(found.where("rep <> root").select(F.col("rep").alias("src"), F.col("root").alias("dst")))
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    per_class = (
+    named = cut(
         classes.join(counts, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        .select("label", "v", "low", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("part")), "named"
     )
-    linked = good.join(cut(per_class, "per_class"), ["label", "v"]).select("vec_id", "n_links", "component_id")
+    least = cut(named.groupBy("part").agg(F.min("low").alias("component_id")), "least")
+    per_class = cut(named.join(least, "part").select("label", "v", "n_links", "component_id"), "per_class")
+    discard(classes, placed, found, named, least)
+    linked = good.join(per_class, ["label", "v"]).select("vec_id", "n_links", "component_id")
     lone = rows.where(~_usable_flag()).select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
     return linked.union(lone).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

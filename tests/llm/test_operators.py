@@ -256,6 +256,16 @@ def test_vectors_against_brute_force(spark, block):
     assert got == brute_vectors(rows)
 
 
+def test_vectors_of_any_length_and_of_repeated_ids(spark):
+    def links(rows):
+        return sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"])) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+
+    assert links([(1, [1.0], 0), (2, [2.0], 0), (3, [5.0], 0), (4, [1.0, 1.0], 0), (5, [1.0, 1.0], 0), (6, [-1.0], 0)]) == [("1", 2, "1"), ("2", 2, "1"), ("3", 2, "1"), ("4", 1, "4"), ("5", 1, "4"), ("6", 0, "6")]
+    a, b, c = [1.0, 0.0], [1.0, 0.01], [0.0, 1.0]  # one id, three vectors
+    assert links([(1, a, 0), (1, c, 0), (1, [0.5, 0.5], 0), (2, b, 0), (3, [0.01, 1.0], 0)]) == [("1", 0, "1"), ("1", 1, "1"), ("1", 1, "1"), ("2", 1, "1"), ("3", 1, "1")]
+    assert links([(None, a, 0), (None, b, 0), (7, a, 0), (None, c, 0)]) == [("7", 2, "7"), ("None", 0, "None"), ("None", 2, "7"), ("None", 2, "7")]
+
+
 def test_lower_recall_still_links_enough(spark):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(60, 32))
