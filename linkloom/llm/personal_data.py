@@ -12,7 +12,10 @@ of length, digits and signs of the spans, also a bounded table. Candidates that
 it gives ``least`` or more become spans, if they overlap no base span.
 
 Positions are code points: the text is split at a pattern's matches, and the
-lengths of the pieces before a match add up to its start.
+lengths of the pieces before a match add up to its start. Running sums and
+maxima over a text's spans are folded in blocks, and texts are cut through pieces
+of ``CHUNK`` code points, so that the work grows with the text, not with the
+square of its spans. Every pattern runs once a text.
 
 Defined cases: a null text is empty; a text without spans has zero counts, the
 hash of the empty string and an empty list. Repeated rows get equal results.
@@ -22,6 +25,7 @@ Extra columns are kept by ``redact``.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +64,9 @@ AGAINST = r"version|isbn|order|invoice|page|section|figure|table|chapter|item|se
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 _ABSTAIN, _YES, _NO = 0, 1, 2
 N_LABELERS, LEAST = 5, 0.9
+#: Items of a block of a fold; code points of a piece of a text.
+BLOCK, CHUNK = 256, 1_000
+SPANS = "array<struct<kind:int,start:int,end:int,base:boolean,code:int,size:int,digits:int,signs:int>>"
 
 
 def _digits(value: Column) -> Column:
@@ -122,46 +129,84 @@ def _guard(kind: str, loose: bool, text: Column) -> Column:
     return text.contains("+") if kind == "phone" and not loose else text.rlike(r"[0-9]")
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_spans``: kind, start, end, base, code (votes in base 3)
-    and features of every valid base match and every loose candidate. Each step
-    is a projection of its own, so that no pattern is run twice."""
-    forms = [(k, False) for k in KINDS] + [(k, True) for k in KINDS]
-    name = {f: f"_{'loose' if f[1] else 'base'}_{f[0]}" for f in forms}
-    pattern = {f: (LOOSE if f[1] else BASE)[f[0]] for f in forms}
-    keep = docs.columns
-    text = F.coalesce(F.col("text"), F.lit(""))
-    none = F.array().cast("array<string>")
-    found = docs.select("*", *[F.when(_guard(*f, text), F.regexp_extract_all(text, F.lit(pattern[f]), F.lit(0))).otherwise(none).alias(name[f]) for f in forms])
-    pieces = found.select("*", *[F.when(F.size(name[f]) > 0, F.split(text, pattern[f], -1)).otherwise(none).alias(name[f] + "_gaps") for f in forms])
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often it is used,
+    also inside the lambdas of ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def scanned(items: Column, zero: Column, step: Callable[[Column, Column], Column], block: int = BLOCK) -> Column:
+    """The state of a fold after each item. Blocks of items are folded one after
+    the other, so that appending to a result copies a block, not all of it."""
+    kind = F.slice(F.array(zero), 1, 0)  # an empty array of the state's type
+
+    def fold(items: Column, begin: Column) -> Column:
+        start = F.struct(begin.alias("now"), kind.alias("out"))
+        return F.aggregate(items, start, lambda a, x: bound(step(a["now"], x), lambda n: F.struct(n.alias("now"), F.concat(a["out"], F.array(n)).alias("out"))))
 
-    def starts(f: tuple[str, bool]) -> Column:
-        lengths = F.transform(F.col(name[f]), lambda m, i: F.struct(F.length(F.get(F.col(name[f] + "_gaps"), i)).alias("g"), F.length(m).alias("m")))
-        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(lengths, begin, lambda a, x: F.struct((a["at"] + x["g"] + x["m"]).alias("at"), F.concat(a["out"], F.array(a["at"] + x["g"])).alias("out")), lambda a: a["out"])
+    def many(items: Column) -> Column:
+        firsts = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.size(items) - 1, F.lit(block))).otherwise(F.array().cast("array<int>"))
+        start = F.struct(zero.alias("now"), F.slice(F.array(kind), 1, 0).alias("outs"))
+        blocks = F.aggregate(firsts, start, lambda a, i: bound(fold(F.slice(items, i + 1, F.lit(block)), a["now"]), lambda f: F.struct(f["now"].alias("now"), F.concat(a["outs"], F.array(f["out"])).alias("outs"))))
+        return F.flatten(blocks["outs"])
 
-    placed = pieces.select("*", *[starts(f).alias(name[f] + "_starts") for f in forms])
+    return bound(items, many)
 
-    def spans(f: tuple[str, bool]) -> Column:
-        kind, loose = f
 
-        def span(m: Column, i: Column) -> Column:
-            start = F.get(F.col(name[f] + "_starts"), i)
-            before, after = F.right(F.get(F.col(name[f] + "_gaps"), i), F.lit(40)), F.left(F.get(F.col(name[f] + "_gaps"), i + 1), F.lit(2))
-            votes = _votes(kind, not loose, m, before, after)
-            code = votes[0]
-            for j, v in enumerate(votes[1:], 1):
-                code = code + v * 3**j
-            signs = F.when(m.contains(" "), 1).when(m.contains("-"), 2).when(m.contains("."), 3).when(m.contains("("), 4).otherwise(0)
-            return F.struct(
-                F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), (start + F.length(m)).alias("end"), F.lit(not loose).alias("base"), code.alias("code"),
-                F.least(F.floor(F.length(m) / 4), F.lit(15)).cast("int").alias("size"), F.least(F.length(_digits(m)), F.lit(20)).alias("digits"), signs.alias("signs"),
-                (F.lit(True) if loose else _valid(kind, m)).alias("valid"),
-            )
+def _form_spans(kind: str, loose: bool, text: Column) -> Column:
+    """Spans of one pattern in a text."""
+    pattern = (LOOSE if loose else BASE)[kind]
 
-        return F.filter(F.transform(F.col(name[f]), span), lambda s: s["valid"])
+    def found(x: Column) -> Column:
+        n = F.size(x["m"])
+        return F.transform(
+            F.arrays_zip(x["m"].alias("m"), F.slice(x["gaps"], F.lit(1), n).alias("gap"), F.slice(x["gaps"], F.lit(2), n).alias("next")),
+            lambda p: F.struct(p["m"].alias("m"), F.length(p["m"]).alias("len"), (F.length(p["gap"]) + F.length(p["m"])).alias("step"), F.right(p["gap"], F.lit(40)).alias("before"), F.left(p["next"], F.lit(2)).alias("after")),
+        )
 
-    return placed.select(*[F.col(f"`{c}`") for c in keep], F.concat(*[spans(f) for f in forms]).alias("_spans"))
+    def span(p: Column) -> Column:
+        m, item = p["p"]["m"], p["p"]
+        votes = _votes(kind, not loose, m, item["before"], item["after"])
+        code = votes[0]
+        for j, v in enumerate(votes[1:], 1):
+            code = code + v * 3**j
+        signs = F.when(m.contains(" "), 1).when(m.contains("-"), 2).when(m.contains("."), 3).when(m.contains("("), 4).otherwise(0)
+        return F.struct(
+            F.lit(KINDS.index(kind)).alias("kind"), (p["end"] - item["len"]).alias("start"), p["end"].alias("end"), F.lit(not loose).alias("base"), code.alias("code"),
+            F.least(F.floor(item["len"] / 4), F.lit(15)).cast("int").alias("size"), F.least(F.length(_digits(m)), F.lit(20)).alias("digits"), signs.alias("signs"),
+        )
+
+    def placed(items: Column) -> Column:
+        both = F.arrays_zip(items.alias("p"), scanned(items, F.lit(0), lambda at, x: at + x["step"]).alias("end"))
+        return F.transform(both if loose else F.filter(both, lambda p: _valid(kind, p["p"]["m"])), span)
+
+    none = F.array().cast(SPANS)
+    every = bound(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gaps")), lambda x: bound(found(x), placed))
+    return F.when(_guard(kind, loose, text), every).otherwise(none)
+
+
+def with_spans(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_spans``: kind, start, end, base, code (votes in base 3),
+    features and ``free`` of every valid base match and every loose candidate,
+    by start. ``free``: no base span overlaps it."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    spans = F.array_sort(F.concat(*[_form_spans(k, loose, text) for loose in (False, True) for k in KINDS]), _by_start)
+    return docs.select("*", bound(spans, _marked_free).alias("_spans"))
+
+
+def _by_start(a: Column, b: Column) -> Column:
+    """Order of spans: start, kind, end."""
+    return F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["kind"] != b["kind"], a["kind"] - b["kind"]).otherwise(a["end"] - b["end"])
+
+
+def _marked_free(spans: Column) -> Column:
+    """A span overlaps none of the base spans if those that begin before its own
+    place in the order have ended, and the next one begins after it."""
+    ended = scanned(spans, F.lit(0), lambda top, s: F.when(s["base"], F.greatest(top, s["end"])).otherwise(top))
+    far = F.lit(2**31 - 1)
+    begun = F.reverse(scanned(F.reverse(spans), far, lambda low, s: F.when(s["base"], s["start"]).otherwise(low)))
+    both = F.arrays_zip(spans.alias("s"), ended.alias("ended"), begun.alias("begun"))
+    return F.transform(both, lambda p: p["s"].withField("free", (p["ended"] <= p["s"]["start"]) & (p["begun"] >= p["s"]["end"])))
 
 
 FEATURES = ("size", "digits", "signs", *(f"vote{j}" for j in range(N_LABELERS)))
@@ -218,9 +263,8 @@ def train_classifier(spanned: DataFrame) -> dict[tuple[int, int, int], float]:
 def chosen(spans: Column, weights: dict[tuple[int, int, int], float], least: float = LEAST) -> Column:
     """Base spans and the candidates that the classifier takes, by start, then
     kind, then end."""
-    base = F.filter(spans, lambda s: s["base"])
     if not weights:
-        return F.array_sort(F.transform(base, _placed))
+        return F.transform(F.filter(spans, lambda s: s["base"]), _placed)
     table = F.create_map(*[x for (k, f, v), w in sorted(weights.items()) for x in (F.lit(k * 10_000 + (f + 1) * 100 + v), F.lit(round(w, 9)))])
     limit = math.log(least / (1 - least))
 
@@ -228,9 +272,9 @@ def chosen(spans: Column, weights: dict[tuple[int, int, int], float], least: flo
         odds = F.coalesce(F.try_element_at(table, s["kind"] * 10_000), F.lit(0.0))
         for i, x in enumerate(_features(s)):
             odds = odds + F.coalesce(F.try_element_at(table, (s["kind"] * 10_000 + (i + 1) * 100 + x).cast("int")), F.lit(0.0))
-        return ~s["base"] & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & (odds >= limit)
+        return s["base"] | (s["free"] & (odds >= limit))
 
-    return F.array_sort(F.transform(F.concat(base, F.filter(spans, taken)), _placed))
+    return F.transform(F.filter(spans, taken), _placed)
 
 
 def _placed(s: Column) -> Column:
@@ -252,27 +296,55 @@ def find_personal_data(docs: DataFrame, least: float = LEAST) -> DataFrame:
         return F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long")
 
     counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return spanned.select("doc_id", *counts, F.sha2(_listed(F.array_sort(F.transform(base, _placed))).cast("binary"), 256).alias("base_sha256"), _listed(chosen(F.col("_spans"), weights, least)).alias("spans"))
+    return spanned.select("doc_id", *counts, F.sha2(_listed(F.transform(base, _placed)).cast("binary"), 256).alias("base_sha256"), _listed(chosen(F.col("_spans"), weights, least)).alias("spans"))
 
 
 def redact(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """``docs`` with each span of personal data in ``text`` replaced by its kind
     in brackets; spans that overlap are replaced together, by the first's kind.
     All other columns, and texts without spans, stay as they are."""
-    spanned = with_spans(docs)
+    named = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in named.items()], F.col("text").alias("text"))
+    spanned = cut(with_spans(plain).drop("text"), "spans")
     weights = train_classifier(spanned.select("_spans"))
-    marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    text = F.col(named["text"])
+    picked = chosen(F.col("_spans"), weights, least)
+    new = F.when(F.size("_spans") > 0, bound(picked, lambda spans: F.when(F.size(spans) > 0, _redacted(text, spans)).otherwise(text))).otherwise(text)
+    return spanned.select(*[new.alias(c) if c == "text" else F.col(k).alias(c) for c, k in named.items()])
 
-    def step(a: Column, s: Column) -> Column:
-        ahead = s["start"] >= a["at"]
-        piece = F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.get(marks, s["kind"]))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(ahead, piece).otherwise(a["out"]).alias("out"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate(F.col("_chosen"), begin, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    picked = spanned.withColumn("_chosen", chosen(F.col("_spans"), weights, least))
-    text = F.when(F.size("_chosen") > 0, whole).otherwise(F.col("text"))
-    return picked.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+def _redacted(text: Column, spans: Column) -> Column:
+    """``text`` with marks in place of ``spans``, which are not empty and sorted."""
+    marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    # how far the spans before each reach, and whether it begins a mark of its own
+    reach = scanned(spans, F.lit(0), lambda top, s: F.greatest(top, s["end"]))
+    chunks = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    rest = F.struct(F.length(text).alias("start"), F.lit(-1).alias("kind"), F.length(text).alias("end"))
+
+    def pieces(x: Column) -> Column:
+        """Text between the marks and the marks, in order."""
+        parts = F.arrays_zip(F.concat(x["spans"], F.array(rest)).alias("s"), F.concat(F.array(F.lit(0)), x["reach"]).alias("from"))
+        own = F.filter(parts, lambda p: (p["s"]["start"] >= p["from"]) | (p["s"]["kind"] < 0))
+        return F.array_join(F.transform(own, lambda p: F.concat(_between(x["chunks"], p["from"], p["s"]["start"]), F.when(p["s"]["kind"] >= 0, F.get(marks, p["s"]["kind"])).otherwise(F.lit("")))), "")
+
+    return bound(F.struct(spans.alias("spans"), reach.alias("reach"), chunks.alias("chunks")), pieces)
+
+
+def _between(chunks: Column, lo: Column, hi: Column) -> Column:
+    """Code points lo to hi of a text in chunks."""
+
+    def piece(at: Column) -> Column:
+        first, last = at["lo"], at["hi"]
+        i, j = F.floor(first / CHUNK).cast("int"), F.floor(last / CHUNK).cast("int")
+        head, tail = F.get(chunks, i), F.coalesce(F.get(chunks, j), F.lit(""))
+        inner = F.array_join(F.slice(chunks, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+        return (
+            F.when(last <= first, F.lit(""))
+            .when(i == j, F.substring(head, first % CHUNK + 1, last - first))
+            .otherwise(F.concat(F.substring(head, first % CHUNK + 1, F.lit(CHUNK)), inner, F.substring(tail, F.lit(1), last % CHUNK)))
+        )
+
+    return bound(F.struct(lo.alias("lo"), hi.alias("hi")), piece)
 
 
 def op10_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:

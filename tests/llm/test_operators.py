@@ -544,6 +544,29 @@ def test_method_adds_spans_and_redacts(spark):
     assert out[65 + 10] == "a@b [EMAIL]. 😀 é [EMAIL]"
 
 
+def plain_redaction(text, spans):
+    names, at, out = list(BASE), 0, []
+    for start, kind, end in spans:
+        if start >= at:
+            out += [text[at:start], f"[{names[kind].upper()}]"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def test_many_spans_in_one_text(spark):
+    rng = np.random.default_rng(6)
+    mails = ["é" * int(rng.integers(0, 9)) + f" me{i}@x{i % 9}.org, 10.0.{i % 256}.1 😀 " for i in range(400)]
+    texts = ["".join(mails[:n]) for n in (1, 5, 100, 400)] + ["".join(mails) * 250]
+    names = list(BASE)
+    got = {r["doc_id"]: r for r in personal_data.find_personal_data(docs_of(spark, texts)).collect()}
+    out = {r["doc_id"]: r["text"] for r in personal_data.redact(docs_of(spark, texts).withColumn("_spans", F.lit("clash"))).collect()}
+    for i, text in enumerate(texts):
+        want = brute_spans(text)
+        assert got[i]["spans"] == ",".join(f"{names[k]}:{s}:{e}" for s, k, e in want) and len(want) == got[i]["n_email"] + got[i]["n_ip"]
+        assert out[i] == plain_redaction(text, want)
+    assert got[4]["n_email"] == 100_000
+
+
 def test_em_finds_reliable_labelers():
     rng = np.random.default_rng(0)
     counts, truth = Counter(), Counter()
