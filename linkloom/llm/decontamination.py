@@ -12,12 +12,14 @@ A pair (document, item) is reported when the matched windows cover at least
 fillings agree with the most frequent replacement.
 
 Tokens are runs of ``\\w`` (or a decimal number) of the lower-cased text. A
-number is a token of digits; a unit is one of UNITS after a number; a name is a
-capitalised word that does not follow the start of the text or of a line or one
-of ``.!?:;``, that is not the first word and not in a line of capitals only. In a
-document, a name that begins a window also counts as the word it is, since an
-item's first word may stand in running text. A window needs ``literals`` tokens
-that are no placeholder, so that a template of slots alone matches nothing.
+number is a token of digits or one of NUMBER_WORDS; a unit is one of UNITS after
+a number; a name is a capitalised word, or several in a row, that does not follow
+the start of the text or of a line or one of ``.!?:;`` and is not in a line of
+capitals only. In a document, a name that begins a window also counts with its
+first word as it is, since an item's first word may stand in running text. A
+window is ``width`` template tokens, or as many more as it takes to hold
+``literals`` tokens that are no placeholder, so that a template of slots alone
+matches nothing and one dense in numbers is still compared.
 
 Beside them, every window of lower-cased tokens of an item is joined by hash. A
 pair that the template windows don't report is reported if template and exact
@@ -25,24 +27,28 @@ windows together cover ``cover`` of all windows of the item, and slots agree. So
 verbatim copy is found whatever its case and however many names it holds; a copy
 of an item in title case with other names is not.
 
-An item of fewer than ``width`` tokens is one window of its own length; items
-of fewer than ``literals`` tokens are too short to tell and match nothing.
+An item of fewer than ``width`` tokens is one window of its own length; an item
+of fewer than ``literals`` tokens matches documents that hold these tokens and no
+others.
 
-The benchmark's windows are broadcast up to ``max_broadcast`` of them; beyond
+The benchmark's windows are broadcast up to ``max_broadcast`` bytes; beyond
 that, the windows of the documents are joined with them by a shuffle.
 
 Defined cases: null and empty texts match nothing; repeated documents are
-reported alike; repeated items are reported each. Extra columns are kept by
-``drop_contaminated``.
+reported alike; repeated items are reported each. Documents that share an id, or
+have none, are compared each on its own and reported under that id. Extra columns
+are kept by ``drop_contaminated``.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from math import ceil
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -51,83 +57,142 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import cut, documents_of
-from linkloom.llm.words import rolled
+from linkloom.llm.words import mix, powers, rolled, spans_hash
 
 #: Units that follow a number.
-UNITS = frozenset("mg g kg gm mcg ml l cl mm cm m km in ft mi s sec min h hr hrs hours minutes seconds days weeks years percent pct usd eur gbp dollars euros cents mph kmh v w kw hz b kb mb gb tb".split())
+UNITS = frozenset(
+    "mg g kg gm mcg ml l cl mm cm m km in ft mi s sec min h hr hrs mph kmh v w kw hz b kb mb gb tb lb lbs oz yd pct usd eur gbp percent dollars dollar euros euro cents cent pounds pound"
+    " seconds second minutes minute hours hour days day weeks week months month years year miles mile meters meter metres metre kilometers kilometer kilometres kilometre centimeters centimetres millimeters millimetres"
+    " inches inch feet foot yards yard kilograms kilogram grams gram tons ton tonnes tonne ounces ounce liters liter litres litre gallons gallon degrees degree celsius fahrenheit watts volts joules".split()
+)
+#: Numbers in words.
+NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split())
 
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|\w+|[.!?:;\n]")
 _STOPS = frozenset(".!?:;\n")
 WIDTH, LITERALS, COVER, CONSISTENT = 8, 5, 0.5, 0.8
-
-
-def template(text: str | None) -> tuple[list[str], list[str]]:
-    """Template tokens and the values that fill them."""
-    tokens, values = [], []
-    for line in (text or "").split("\n"):
-        start, number, capitals = True, False, line.isupper()
-        for raw in _TOKEN.findall(line):
-            first = raw[0]
-            if first in _STOPS:
-                start, number = True, False
-                continue
-            word = raw.lower()
-            values.append(word)
-            if first.isdecimal():
-                tokens.append("<number>")
-                start, number = False, True
-                continue
-            if number and word in UNITS:
-                tokens.append("<unit>")
-            elif not start and not capitals and first.isupper():
-                tokens.append("<name>")
-            else:
-                tokens.append(word)
-            start = number = False
-    return tokens, values
-
-
-def _hash(window: list[str]) -> int:
-    return xxhash.xxh3_64_intdigest("\x1f".join(window)) - (1 << 63)
-
-
-def windows(tokens: list[str], width: int = WIDTH, literals: int = LITERALS, known: frozenset[str] | None = None, values: list[str] | None = None) -> list[tuple[int, int]]:
-    """(hash, position) of the windows with enough plain tokens. With ``known``,
-    windows that hold another token, which can match nothing, are left out. With
-    ``values``, a window whose first token is a name is also given with the word
-    itself there: it may be an item's first word in running text."""
-    if not tokens:
-        return []
-    width, out, run = min(width, len(tokens)), [], 0
-    for i, token in enumerate(tokens):
-        run = run + 1 if known is None or token in known else 0
-        p = i - width + 1
-        if p < 0 or run < width - 1:
-            continue
-        named = values is not None and tokens[p] == "<name>" and (known is None or values[p] in known)
-        if run >= width or named:
-            window = tokens[p : i + 1]
-            plain = sum(t[0] != "<" for t in window)
-            if run >= width and plain >= literals:
-                out.append((_hash(window), p))
-            if named and plain + 1 >= literals:
-                out.append((_hash([values[p], *window[1:]]), p))
-    return out
-
-
-class _WordHashes(dict):
-    """Hashes of words, kept for the words to come; up to a million of them."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def exact_windows(values: list[str], width: int, hashes: _WordHashes) -> np.ndarray:
-    """Hash of every window of ``width`` lower-cased tokens, by position."""
-    return rolled(np.fromiter(map(hashes.__getitem__, values), np.uint64, len(values)), width).view(np.int64)
+PLAIN, NUMBER, UNIT, NAME = range(4)
+MARKS = ("", "<number>", "<unit>", "<name>")
+_MARK_HASHES = np.array([xxhash.xxh3_64_intdigest(m) for m in MARKS], np.uint64)
+_STOP, _LINE, _NUMERIC, _CAPITAL, _UNIT, _UPPER, _LOWER = (1 << i for i in range(7))
+
+
+class Tokens(dict):
+    """Numbers of raw tokens, with what is known of each; emptied between texts
+    where a million of them are held."""
+
+    def __init__(self) -> None:
+        self.words: list[str] = []
+        self.hashes, self.flags = array("Q"), array("B")
+
+    def __missing__(self, raw: str) -> int:
+        word, flag = raw.lower(), 0
+        if raw in _STOPS:
+            flag = _STOP | (_LINE if raw == "\n" else 0)
+        elif raw[0].isdecimal() or word in NUMBER_WORDS:
+            flag = _NUMERIC
+        elif raw[0].isupper():
+            flag = _CAPITAL
+        flag |= (_UNIT if word in UNITS else 0) | (_UPPER if raw.isupper() else _LOWER if word != raw.upper() else 0)
+        self[raw] = i = len(self.words)
+        self.words.append(word)
+        self.hashes.append(xxhash.xxh3_64_intdigest(word))
+        self.flags.append(flag)
+        return i
+
+    def trimmed(self) -> Tokens:
+        return self if len(self.words) < 1_000_000 else Tokens()
+
+
+class Template(NamedTuple):
+    words: list[str]  # every token, lower-cased
+    word_hash: np.ndarray
+    kind: np.ndarray  # of each template token
+    at: np.ndarray  # first word of each template token; one more than tokens
+
+    def value(self, i: int) -> str:
+        return " ".join(self.words[self.at[i] : self.at[i + 1]])
+
+    def marks(self) -> list[str]:
+        """Template tokens as text."""
+        return [MARKS[k] or self.words[i] for k, i in zip(self.kind.tolist(), self.at.tolist())]
+
+
+def template(text: str | None, known: Tokens | None = None) -> Template:
+    """Tokens of a text, and its template."""
+    known = Tokens() if known is None else known
+    raw = _TOKEN.findall(text or "")
+    ids = np.fromiter(map(known.__getitem__, raw), np.int64, len(raw))
+    flag = np.frombuffer(known.flags, np.uint8)[ids] if len(raw) else np.empty(0, np.uint8)
+    stop = flag & _STOP > 0
+    line = np.cumsum(flag & _LINE > 0)
+    lines = int(line[-1]) + 1 if len(raw) else 1
+    capitals = (np.bincount(line[flag & _UPPER > 0], minlength=lines) > 0) & (np.bincount(line[flag & _LOWER > 0], minlength=lines) == 0)
+    start, after = np.ones(len(raw), bool), np.zeros(len(raw), bool)
+    start[1:] = stop[:-1]
+    after[1:] = flag[:-1] & _NUMERIC > 0
+    kind = np.where((flag & _CAPITAL > 0) & ~start & ~capitals[line], NAME, PLAIN)
+    kind[after & (flag & _UNIT > 0)] = UNIT
+    kind[flag & _NUMERIC > 0] = NUMBER
+    ids, kind = ids[~stop], kind[~stop]
+    first = np.ones(len(ids), bool)  # names in a row are one
+    first[1:] = (kind[1:] != NAME) | (kind[:-1] != NAME)
+    at = np.append(np.flatnonzero(first), len(ids))
+    hashes = np.frombuffer(known.hashes, np.uint64)[ids] if len(ids) else np.empty(0, np.uint64)
+    return Template([known.words[i] for i in ids.tolist()], hashes, kind[first], at)
+
+
+class Windows(NamedTuple):
+    lo: np.ndarray  # template tokens of the window
+    hi: np.ndarray
+    form: np.ndarray  # 0 as it is; 1, 2: the first name's first word as it is
+    hash: np.ndarray  # signed
+
+
+def windows(t: Template, width: int = WIDTH, literals: int = LITERALS, running: bool = False) -> Windows:
+    """Template windows; with ``running`` also those that begin within a name."""
+    n = len(t.kind)
+    p, q = powers(n + 3)
+    first = t.word_hash[t.at[:-1]]
+    token = mix(np.where(t.kind == PLAIN, first, _MARK_HASHES[t.kind]))
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(token * p[:n], out=total[1:])
+    plain = t.kind == PLAIN
+    at = np.append(np.flatnonzero(plain), [n] * (literals + 1))  # places of plain tokens; beyond the last, the end
+    before = np.cumsum(plain) - plain
+    out = []
+    forms = [(0, np.arange(n))]
+    if running:
+        names = np.flatnonzero(t.kind == NAME)
+        lone = np.diff(t.at)[names] == 1
+        forms += [(1, names[lone]), (2, names[~lone])]
+    for form, lo in forms:
+        hi = np.maximum(lo + width - (form == 2), at[before[lo] + literals - 1 - (form > 0)] + 1)
+        ok = hi <= n
+        lo, hi = lo[ok], hi[ok]
+        size = (hi - lo + (form == 2)).astype(np.uint64)
+        if form == 0:
+            h = (total[hi] - total[lo]) * q[lo]
+        else:
+            tail = (total[hi] - total[lo + 1]) * q[lo + 1]
+            h = mix(first[lo]) + (tail * p[1] if form == 1 else mix(_MARK_HASHES[NAME : NAME + 1]) * p[1] + tail * p[2])
+        out.append((lo, hi, np.full(len(lo), form), mix(h + size, width).view(np.int64)))
+    return Windows(*(np.concatenate(x) for x in zip(*out, strict=True)))
+
+
+def filled(t: Template, lo: int, hi: int, form: int = 0) -> list[tuple[int, str]]:
+    """Word number and value of the slots of a window."""
+    rest = [(int(t.at[i]), t.value(i)) for i in range(lo + (form > 0), hi) if t.kind[i] != PLAIN]
+    return [(int(t.at[lo]) + 1, " ".join(t.words[t.at[lo] + 1 : t.at[lo + 1]])), *rest] if form == 2 else rest
+
+
+def exact_windows(t: Template, width: int, literals: int = LITERALS) -> np.ndarray:
+    """Hash of every window of ``width`` lower-cased tokens, by position; a text
+    of fewer than ``literals`` tokens is one window, for width 0."""
+    if width:
+        return mix(rolled(t.word_hash, width), 100 + width).view(np.int64)
+    whole = np.array([0]) if 0 < len(t.words) < literals else np.empty(0, np.int64)
+    return spans_hash(t.word_hash, whole, whole + len(t.words), 7).view(np.int64)
 
 
 def slots_agree(pairs: list[tuple[str, str]]) -> float:
@@ -198,25 +263,30 @@ def best_alignment(places: Places, least: int, consistent: float) -> tuple[int,
 
 
 def item_windows(items: DataFrame, width: int = WIDTH, literals: int = LITERALS) -> DataFrame:
-    """item_id, h, pos, n_windows, n_exact, and the values of the window. ``exact``
-    rows are windows of lower-cased tokens, the others of template tokens."""
+    """item_id, h, pos, exact, width, n_windows, n_exact, slots (at, a).
+    ``exact`` rows are windows of lower-cased tokens, the others of template
+    tokens; pos counts words."""
 
     def cut_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Tokens()
         for b in batches:
-            rows, hashes = [], _WordHashes()
+            rows = []
             for i, text in zip(b["item_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                tokens, values = template(text)
-                found = windows(tokens, width, literals)
-                k = min(width, len(tokens))
-                exact = exact_windows(values, k, hashes).tolist() if len(values) >= literals else []
-                every = [(h, p, False) for h, p in found] + [(h, p, True) for p, h in enumerate(exact)]
-                rows += [(i, h, p, x, len(found), len(exact), k, tokens[p : p + k], values[p : p + k]) for h, p, x in every]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["item_id", "h", "pos", "exact", "n_windows", "n_exact", "width", "tokens", "values"])
+                t = template(text, known)
+                if len(t.words) >= literals:
+                    k = min(width, len(t.kind))
+                    w = windows(t, k, literals)
+                    typed = [(h, int(t.at[lo]), False, k, filled(t, lo, hi)) for lo, hi, _, h in zip(*(x.tolist() for x in w), strict=True)]
+                    k = min(width, len(t.words))
+                else:
+                    typed, k = [], 0
+                slots = filled(t, 0, len(t.kind))
+                exact = [(h, p, True, k, [s for s in slots if p <= s[0] < p + k]) for p, h in enumerate(exact_windows(t, k, literals).tolist())]
+                rows += [(i, h, p, x, k, len(typed), len(exact), [{"at": at, "a": a} for at, a in f]) for h, p, x, k, f in typed + exact]
+            yield _batch(rows, list(_ITEM_KINDS), _ITEM_KINDS)
 
     return items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(
-        cut_items, "item_id long, h long, pos int, exact boolean, n_windows int, n_exact int, width int, tokens array<string>, values array<string>")
+        cut_items, "item_id long, h long, pos int, exact boolean, width int, n_windows int, n_exact int, slots array<struct<at:int,a:string>>")
 
 
 def _among(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -226,96 +296,115 @@ def _among(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
 
 
-def match_windows(docs: DataFrame, items: DataFrame, width: int = WIDTH, literals: int = LITERALS, max_broadcast: int = 500_000) -> DataFrame:
-    """doc_id, item_id and the matched windows of both with their values."""
+def document_windows(t: Template, widths: list[tuple[bool, int]], literals: int, keys: np.ndarray | None, valued: bool) -> list[tuple]:
+    """(h, word position, slot values) of the windows of a document, those with
+    a hash in ``keys``. Values are null for exact windows, or unless ``valued``."""
+    out = []
+    for exact, k in widths:
+        if exact:
+            h = exact_windows(t, k, literals)
+            at = np.arange(len(h)) if keys is None else np.flatnonzero(_among(h, keys))
+            out += [(x, p, None) for x, p in zip(h[at].tolist(), at.tolist(), strict=True)]
+        elif len(t.kind) >= k:
+            w = windows(t, k, literals, running=True)
+            hit = np.arange(len(w.lo)) if keys is None else np.flatnonzero(_among(w.hash, keys))
+            out += [(h, int(t.at[lo]), [v for _, v in filled(t, lo, hi, form)] if valued else None) for lo, hi, form, h in zip(*(x[hit].tolist() for x in w), strict=True)]
+    return out
+
+
+def match_windows(docs: DataFrame, items: DataFrame, width: int = WIDTH, literals: int = LITERALS, max_broadcast: int = 32_000_000) -> DataFrame:
+    """doc_id, text_hash, item_id and the matched windows of both with the values
+    of their slots."""
     known = cut(item_windows(items, width, literals), "benchmark")
-    widths = sorted(r["width"] for r in known.select("width").distinct().collect())  # at most ``width`` of them
-    small = known.count() <= max_broadcast
-    keys = frozenset(r["h"] for r in known.where("not exact").select("h").distinct().collect()) if small else None
-    exact_keys = np.array(sorted(r["h"] for r in known.where("exact").select("h").distinct().collect()), np.int64) if small else None
-    vocabulary = frozenset(r["t"] for r in known.where("not exact").select(F.explode("tokens").alias("t")).distinct().collect()) if small else None
+    widths = sorted((r["exact"], r["width"]) for r in known.select("exact", "width").distinct().collect())  # at most 2 * width + 1 of them
+    size = known.agg(F.sum(48 + F.aggregate("slots", F.lit(0), lambda n, x: n + 12 + F.octet_length(x["a"])))).first()[0] or 0
+    small = size <= max_broadcast
+    keys = np.array(sorted(r["h"] for r in known.select("h").distinct().collect()), np.int64) if small else None
 
     # beyond the bound only hashes move; the values of matched windows are cut afterwards
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    text_hash = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("text_hash"), "text")
 
     def cut_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
+        seen = Tokens()
         for b in batches:
-            out = []
+            out, seen = [], seen.trimmed()
             for d, x, text in zip(b["doc_id"].to_pylist(), b["text_hash"].to_pylist(), b["text"].to_pylist(), strict=True):
-                tokens, values = template(text)
-                for k in widths:
-                    if len(tokens) >= k:
-                        out += [(d, x, h, p, values[p : p + k] if small else None) for h, p in windows(tokens, k, literals, vocabulary, values) if keys is None or h in keys]
-                        exact = exact_windows(values, k, hashes)
-                        at = np.arange(len(exact)) if exact_keys is None else np.flatnonzero(_among(exact, exact_keys))
-                        out += [(d, x, h, p, values[p : p + k] if small else None) for h, p in zip(exact[at].tolist(), at.tolist(), strict=True)]
-            yield _batch(out, ["doc_id", "text_hash", "h", "doc_pos", "doc_values"])
-
-    found = rows.mapInArrow(cut_docs, f"{_KEY}, h long, doc_pos int, doc_values array<string>")
+                out += [(d, x, *w) for w in document_windows(template(text, seen), widths, literals, keys, small)]
+            yield _batch(out, list(_KINDS), _KINDS)
+
+    found = rows.mapInArrow(cut_docs, _SCHEMA)
     if small:
         return found.join(F.broadcast(known), "h")
-    hits = cut(found.join(known.select("h", "width").distinct(), "h").select("doc_id", "text_hash", "h", "doc_pos", "width"), "hits")
-    asked = hits.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("h", "doc_pos", "width")).alias("at"))
+    hits = cut(found.join(known.select("h").distinct(), "h").select("doc_id", "text_hash", "h", "doc_pos"), "hits")
+    asked = hits.groupBy("doc_id", "text_hash").agg(F.collect_set("h").alias("hs"))
 
     def cut_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Tokens()
         for b in batches:
-            out = []
-            for d, x, text, at in zip(b["doc_id"].to_pylist(), b["text_hash"].to_pylist(), b["text"].to_pylist(), b["at"].to_pylist(), strict=True):
-                _, values = template(text)
-                out += [(d, x, w["h"], w["doc_pos"], values[w["doc_pos"] : w["doc_pos"] + w["width"]]) for w in at]
-            yield _batch(out, ["doc_id", "text_hash", "h", "doc_pos", "doc_values"])
+            out, seen = [], seen.trimmed()
+            for d, x, text, hs in zip(b["doc_id"].to_pylist(), b["text_hash"].to_pylist(), b["text"].to_pylist(), b["hs"].to_pylist(), strict=True):
+                out += [(d, x, *w) for w in document_windows(template(text, seen), widths, literals, np.array(sorted(hs), np.int64), True)]
+            yield _batch(out, list(_KINDS), _KINDS)
 
-    again = rows.alias("r").join(asked.alias("a"), F.col("r.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("r.text_hash") == F.col("a.text_hash"))).select("r.doc_id", "r.text_hash", "r.text", "a.at")
-    return again.mapInArrow(cut_hits, f"{_KEY}, h long, doc_pos int, doc_values array<string>").join(known, "h")
+    one = rows.dropDuplicates(["doc_id", "text_hash"])  # rows equal in both have the same windows
+    again = one.alias("r").join(asked.alias("a"), F.col("r.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("r.text_hash") == F.col("a.text_hash"))).select("r.doc_id", "r.text_hash", "r.text", "a.hs")
+    return again.mapInArrow(cut_hits, _SCHEMA).join(known, "h")
 
 
-_KEY = "doc_id long, text_hash long"
-_KINDS = {"doc_id": pa.int64(), "text_hash": pa.int64(), "h": pa.int64(), "doc_pos": pa.int32(), "doc_values": pa.list_(pa.string())}
+_SCHEMA = "doc_id long, text_hash struct<a:bigint,b:bigint>, h long, doc_pos int, b array<string>"
+_KINDS = {"doc_id": pa.int64(), "text_hash": pa.struct([("a", pa.int64()), ("b", pa.int64())]), "h": pa.int64(), "doc_pos": pa.int32(), "b": pa.list_(pa.string())}
+_ITEM_KINDS = {"item_id": pa.int64(), "h": pa.int64(), "pos": pa.int32(), "exact": pa.bool_(), "width": pa.int32(), "n_windows": pa.int32(), "n_exact": pa.int32(), "slots": pa.list_(pa.struct([("at", pa.int32()), ("a", pa.string())]))}
+_PAIR_KINDS = {"doc_id": pa.int64(), "item_id": pa.int64(), "n_matched": pa.int64(), "n_windows": pa.int32(), "slot_agreement": pa.float64()}
 
 
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+def _batch(rows: list[tuple], names: list[str], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(list(c), _KINDS[n]) for c, n in zip(columns, names, strict=True)], names)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[n]) for c, n in zip(columns, names, strict=True)], names)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, literals: int = LITERALS, cover: float = COVER, consistent: float = CONSISTENT, max_broadcast: int = 500_000) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, literals: int = LITERALS, cover: float = COVER, consistent: float = CONSISTENT, max_broadcast: int = 32_000_000, by_text: bool = False) -> DataFrame:
     """doc_id, item_id, n_matched, n_windows, coverage, slot_agreement of the
-    pairs that are reported."""
+    pairs that are reported; with ``by_text`` doc_id and text_hash of the
+    documents that are."""
     hits = match_windows(docs, items, width, literals, max_broadcast)
-    # every place of every window of an item, with the slots it fills
-    zipped = F.arrays_zip(F.col("tokens").alias("t"), F.col("values").alias("a"), F.col("doc_values").alias("b"))
-    slots = F.filter(F.transform(zipped, lambda x, i: F.struct((F.col("pos") + i).alias("at"), x["t"].alias("t"), x["a"].alias("a"), x["b"].alias("b"))), lambda x: x["t"].startswith("<"))
+    # every place of every window of an item, with the slots it fills; an exact window fills them alike
+    slots = F.transform("slots", lambda s, i: F.struct(s["at"].alias("at"), s["a"].alias("a"), F.coalesce(F.get("b", i), s["a"]).alias("b")))
     pairs = hits.groupBy("doc_id", "text_hash", "item_id").agg(
-        F.max("n_windows").alias("n_windows"), F.max("n_exact").alias("n_exact"), F.collect_list(F.struct("pos", "doc_pos", "exact", slots.alias("slots"))).alias("hits"),
+        F.max("n_windows").alias("n_windows"), F.max("n_exact").alias("n_exact"), F.collect_set(F.struct("pos", "doc_pos", "exact", slots.alias("slots"))).alias("hits"),
     )
     typed = F.filter("hits", lambda x: ~x["exact"])
     enough = (F.size(F.array_distinct(typed["pos"])) >= F.greatest(F.ceil(F.lit(cover) * F.col("n_windows")), F.lit(1))) | (F.size(F.array_distinct(F.col("hits.pos"))) >= F.ceil(F.lit(cover) * F.col("n_exact")))
     pairs = pairs.where(enough)
+    names = ["doc_id", *(["text_hash"] if by_text else []), *list(_PAIR_KINDS)[1:]]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for d, i, n, n_exact, found in zip(*[b[c].to_pylist() for c in ("doc_id", "item_id", "n_windows", "n_exact", "hits")], strict=True):
+            for d, x, i, n, n_exact, found in zip(*[b[c].to_pylist() for c in ("doc_id", "text_hash", "item_id", "n_windows", "n_exact", "hits")], strict=True):
                 best = best_alignment(_places([x for x in found if not x["exact"]]), ceil(cover * n), consistent)
                 if best is None:  # template windows don't tell: all windows of the item
                     n, best = n_exact, best_alignment(_places(found), ceil(cover * n_exact), consistent)
                 if best:
-                    rows.append((d, i, best[0], n, best[1]))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "n_matched", "n_windows", "slot_agreement"])
+                    rows.append((d, *([x] if by_text else []), i, best[0], n, best[1]))
+            yield _batch(rows, names, _PAIR_KINDS | _KINDS)
 
-    checked = pairs.mapInArrow(check, "doc_id long, item_id long, n_matched long, n_windows int, slot_agreement double")
+    key = "text_hash struct<a:bigint,b:bigint>, " if by_text else ""
+    checked = pairs.mapInArrow(check, f"doc_id long, {key}item_id long, n_matched long, n_windows int, slot_agreement double")
+    if by_text:
+        return checked.select("doc_id", "text_hash").distinct()
     coverage = F.col("n_matched") / F.col("n_windows")
     best = checked.groupBy("doc_id", "item_id").agg(F.max(F.struct(coverage.alias("coverage"), "slot_agreement", "n_matched", "n_windows")).alias("b"))
     return best.select("doc_id", "item_id", "b.n_matched", "b.n_windows", "b.slot_agreement", "b.coverage")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents of reported pairs; a null id stays."""
-    bad = contaminated(docs, items, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    """``docs`` without the documents of reported pairs, each judged by its own
+    text, whatever its id."""
+    bad = contaminated(docs, items, by_text=True, **options).select("text_hash").distinct()
+    text_hash = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    key = next(k for k in ("_key", "_key_", "_key__") if k not in docs.columns)
+    return docs.withColumn(key, text_hash).join(bad.withColumnRenamed("text_hash", key), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

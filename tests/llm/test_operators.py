@@ -291,28 +291,63 @@ def test_traversal_is_by_rising_sum():
 
 
 def test_template_slots():
-    tokens, values = decontamination.template("Anna has 12 kg of apples. She gives Ben 3.5 kg.")
-    assert tokens == ["anna", "has", "<number>", "<unit>", "of", "apples", "she", "gives", "<name>", "<number>", "<unit>"]
-    assert values[2] == "12" and values[9] == "3.5"
+    t = decontamination.template("Anna has 12 kg of apples. She gives Ben Lee 3.5 kg, and two miles.")
+    assert t.marks() == ["anna", "has", "<number>", "<unit>", "of", "apples", "she", "gives", "<name>", "<number>", "<unit>", "and", "<number>", "<unit>"]
+    assert decontamination.filled(t, 0, 14) == [(2, "12"), (3, "kg"), (8, "ben lee"), (10, "3.5"), (11, "kg"), (13, "two"), (14, "miles")]
     assert decontamination.slots_agree([("a", "x"), ("a", "x"), ("b", "y")]) == 1
     assert decontamination.slots_agree([("a", "x"), ("b", "x")]) == 0.5 and decontamination.slots_agree([]) == 1
 
 
-def brute_leaks(docs, items, width=8, literals=5, cover=0.5):
-    def grams(text):
-        t, _ = decontamination.template(text)
-        k = min(width, len(t))
-        return {(i, tuple(t[i : i + k])) for i in range(len(t) - k + 1) if k and sum(x[0] != "<" for x in t[i : i + k]) >= literals}
+def brute_template(text):
+    """Tokens with their values, token by token: (mark or word, value)."""
+    out = []
+    for line in (text or "").split("\n"):
+        start, number, named = True, False, False
+        capitals = any(c.isupper() for c in line) and not any(c.islower() for c in line)
+        for m in re.finditer(r"\d+(?:[.,]\d+)*|[^\W\d_]+|\w+|[.!?:;]", line):
+            raw, word = m.group(), m.group().lower()
+            if raw in ".!?:;":
+                start, number, named = True, False, False
+                continue
+            mark = "<number>" if raw[0].isdecimal() or word in decontamination.NUMBER_WORDS else "<unit>" if number and word in decontamination.UNITS else "<name>" if raw[0].isupper() and not start and not capitals else word
+            if mark == "<name>" and named:
+                out[-1] = (mark, out[-1][1] + " " + word)
+            else:
+                out.append((mark, word))
+            start, number, named = False, mark == "<number>", mark == "<name>"
+    return out
+
 
+def brute_leaks(docs, items, width=8, literals=5, cover=0.5, consistent=0.8):
+    """Pairs by template windows, every diagonal tried, and whole verbatim items."""
     out = set()
     for d, text in docs:
-        t, _ = decontamination.template(text)
+        t = brute_template(text)
         for i, item in items:
-            asked = grams(item)
-            k = len(next(iter(asked))[1]) if asked else 0
-            have = {tuple(t[j : j + k]) for j in range(len(t) - k + 1)}
-            if asked and sum(g in have for _, g in asked) >= math.ceil(cover * len(asked)):
+            q = brute_template(item)
+            asked, have = (" ".join(["", *(v for _, v in x), ""]) for x in (q, t))
+            if len(q) >= literals and asked in have:
                 out.add((d, i))
+            if len(q) < literals:
+                continue
+            ends = {}
+            for p in range(len(q)):
+                plain, e = 0, p
+                while e < len(q) and (e - p < min(width, len(q)) or plain < literals):
+                    plain, e = plain + (q[e][0][0] != "<"), e + 1
+                if e - p >= min(width, len(q)) and plain >= literals:
+                    ends[p] = e
+            for shift in range(-len(q), len(t)):
+                good = [p for p, e in ends.items() if 0 <= p + shift and [x for x, _ in q[p:e]] == [x for x, _ in t[p + shift : e + shift]]]
+                fills = {(at, q[at][1], t[at + shift][1]) for p in good for at in range(p, ends[p]) if q[at][0][0] == "<"}
+                if ends and len(good) >= math.ceil(cover * len(ends)):
+                    there = Counter((a, b) for _, a, b in fills)
+                    used, agree = {}, 0
+                    for (a, b), n in sorted(there.items(), key=lambda x: -x[1]):
+                        if a not in used and b not in used.values():
+                            used[a], agree = b, agree + n
+                    if agree >= consistent * len(fills):
+                        out.add((d, i))
     return out
 
 
@@ -326,7 +361,7 @@ def test_leaks_against_brute_force(spark, most):
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, bench, max_broadcast=most).collect()}
     n = len(texts)
     assert (n - 2, 94) in got and (n - 1, 94) not in got  # 3 became 7 throughout; 3 became both 3 and 9
-    assert got == brute_leaks(list(enumerate(texts)), items) - {(n - 1, 94)}
+    assert got == brute_leaks(list(enumerate(texts)), items)
     kept = decontamination.drop_contaminated(docs, bench, max_broadcast=most)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(range(n)) - {d for d, _ in got}
 
@@ -350,7 +385,21 @@ def test_leaks_whatever_the_case(spark, most):
     items = ["Who Wrote The Famous Novel About War And Peace In Russia", "What is the capital city of Peru", "Ada 3 Bob 4 Carl 5 Dora 6 Emil 7 Fred 8", "A train covers 60 km in 3 hours and then it stops", "too short"]
     texts = ["See: " + items[0] + "?", items[0].lower(), "1) What is the capital city of Peru", "so, What is the capital city of Chile", "WHAT IS THE CAPITAL CITY OF PERU", "x " + items[2], "A TRAIN COVERS 75 KM IN 4 HOURS AND THEN IT STOPS", "too short", "Who Wrote The Famous Novel"]
     got = leaks_of(spark, texts, items, max_broadcast=most)
-    assert set(got) == {(0, 0), (1, 0), (2, 1), (3, 1), (4, 1), (5, 2), (6, 3)}
+    assert set(got) == {(0, 0), (1, 0), (2, 1), (3, 1), (4, 1), (5, 2), (6, 3), (7, 4)}
+
+
+def test_leaks_of_short_and_slot_rich_items_and_of_shared_ids(spark):
+    items = ["What is 12 plus 7 times 3", "too short", "Add 3 4 5 6 7 8 9 then say 4 5 6 the sum of it all aloud please", "Ann Lee paid forty miles of two pounds to Bob for the green house by a lake today"]
+    texts = ["so, What is 12 plus 7 times 3?", "Too short!", "not too short", "Add 9 8 7 6 5 4 3 then say 8 7 6 the sum of it all aloud please", "then Eva Maria Roe paid sixty miles of nine pounds to Carl Doe for the green house by a lake today", "nothing"]
+    assert set(leaks_of(spark, texts, items)) == {(0, 0), (1, 1), (3, 2), (4, 3)}
+    item = "The old miller sold nine bags of grain to his two sons and kept the rest of it for a long and cold winter at home"
+    w = item.split()
+    halves = [" ".join(w[:11]), " ".join(w[11:])]
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    for ids in ([1, 1, 2], [None, None, 2]):
+        docs = spark.createDataFrame(list(zip(ids, [*halves, item])), "doc_id long, text string").withColumn("_key", F.lit("mine"))
+        assert [r["doc_id"] for r in decontamination.contaminated(docs, bench).collect()] == [2]
+        assert [r["doc_id"] for r in decontamination.drop_contaminated(docs, bench).collect()] == ids[:2] and decontamination.drop_contaminated(docs, bench).columns == docs.columns
 
 
 def test_leaks_empty(spark):
