@@ -8,12 +8,16 @@ document's n-grams of the difference of ranks, or of the profile length where
 the language lacks the n-gram. The nearest language wins; ties go to the
 language name that sorts first.
 
-Profiles are learned from at most about ``max_docs`` documents of each language,
-chosen by a hash of the id; the bound is a parameter. The whole of each text is
-counted. Languages are few: more than ``max_languages`` are an error.
+An n-gram is one number, made of the code points of its letters, so that letters
+of every script count. Profiles are kept sparse, as (n-gram, language, rank).
+
+Profiles are learned from at most about ``max_docs`` documents of each of the
+``max_languages`` languages with most labelled documents, chosen by a hash of the
+id; both bounds are parameters. The whole of each text is counted.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
-so is every text when nothing could be learned. Repeated rows get equal results.
+so is every text when nothing could be learned. A null id is never held out.
+Repeated rows get equal results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,21 +27,21 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import documents_of, held_out
 
 PROFILE = 400
-#: Letters with an own code; the rest share the last one.
-LETTERS = 94
-_CODES = 96
+#: Bits of a code point; a space stands for what is no letter.
+_BITS, _SPACE = 21, 32
 
 
 class Profiles(NamedTuple):
-    alphabet: np.ndarray  # code points of the LETTERS most frequent letters
     languages: list[str]
-    ranks: np.ndarray  # language x n-gram code: rank, PROFILE where absent
+    grams: np.ndarray  # sorted, one entry for each language that has the n-gram
+    language: np.ndarray
+    rank: np.ndarray
 
 
 _IS_LETTER: list[np.ndarray] = []
@@ -50,114 +54,78 @@ def _letters() -> np.ndarray:
     return _IS_LETTER[0]
 
 
-def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+def coded(text: str) -> np.ndarray:
+    """Code points of the lower-cased letters; one space for a run of other
+    characters, and one at each end."""
+    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = np.concatenate([[_SPACE], np.where(_letters()[c], c, _SPACE), [_SPACE]]).astype(np.int64)
+    return c[np.concatenate([[True], (c[1:] != _SPACE) | (c[:-1] != _SPACE)])]
 
 
-def ngram_counts(codes: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
-    """Counts of one-, two- and three-letter n-grams over codes (0: a break).
-    n-grams that are breaks only, or have a break inside, are not counted."""
-    out = counts if counts is not None else np.zeros(_CODES + _CODES**2 + _CODES**3, np.int64)
-    a = codes.astype(np.int64)
-    out[:_CODES] += np.bincount(a, minlength=_CODES)
-    if len(a) > 1:
-        two = a[:-1] * _CODES + a[1:]
-        out[_CODES : _CODES + _CODES**2] += np.bincount(two, minlength=_CODES**2)
-        if len(a) > 2:
-            three = (two[:-1] * _CODES + a[2:])[a[1:-1] > 0]
-            k, n = np.unique(three, return_counts=True)
-            out[_CODES + _CODES**2 + k] += n
-    out[0] = out[_CODES] = 0
-    return out
+def ngrams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of one to three characters, by number, and their counts.
+    n-grams that are spaces only, or have a space inside, are not counted."""
+    two = (codes[:-1] << _BITS) | codes[1:]
+    three = ((two[:-1] << _BITS) | codes[2:])[codes[1:-1] != _SPACE]
+    g = np.concatenate([codes[codes != _SPACE], two, three])
+    g.sort()
+    at = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.empty(0, np.int64)
+    keys, n = g[at], np.diff(np.append(at, len(g)))
+    real = keys != (_SPACE << _BITS | _SPACE)
+    return keys[real], n[real]
 
 
 def profile(codes: np.ndarray) -> np.ndarray:
-    """N-gram codes by falling count, ties by code; at most PROFILE."""
-    a = codes.astype(np.int32)
-    grams = [a]
-    if len(a) > 1:
-        two = a[:-1] * _CODES + a[1:]
-        grams.append(two + _CODES)
-        if len(a) > 2:
-            grams.append((two[:-1] * _CODES + a[2:])[a[1:-1] > 0] + (_CODES + _CODES**2))
-    g = np.concatenate(grams)
-    if len(g) > 150_000:
-        c = np.bincount(g, minlength=_CODES + _CODES**2 + _CODES**3)
-        keys = np.flatnonzero(c)
-        n = c[keys]
-    else:
-        g.sort()
-        at = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        keys, n = g[at], np.diff(np.append(at, len(g)))
-    real = (keys != 0) & (keys != _CODES)
-    keys, n = keys[real], n[real]
+    """n-grams by falling count, ties by number; at most PROFILE."""
+    keys, n = ngrams(codes)
     return keys[np.argsort(-n, kind="stable")[:PROFILE]]
 
 
-def coded(text: str, alphabet: np.ndarray, lookup: np.ndarray | None = None) -> np.ndarray:
-    """Codes of a text: 0 for runs of other characters, one at each end."""
-    table = lookup if lookup is not None else code_table(alphabet)
-    c = table[_points(text)]
-    c = np.concatenate([[0], c, [0]]).astype(np.uint8)
-    return c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])]
-
-
-def code_table(alphabet: np.ndarray) -> np.ndarray:
-    table = np.where(_letters(), np.uint8(_CODES - 1), np.uint8(0))
-    table[alphabet] = np.arange(1, len(alphabet) + 1, dtype=np.uint8)
-    return table
-
-
-def fit_profiles(docs: DataFrame, max_docs: int = 3_000, max_languages: int = 2_000) -> Profiles:
+def fit_profiles(docs: DataFrame, max_docs: int = 3_000, max_languages: int = 10_000) -> Profiles:
     """``docs``: (doc_id, text, lang), labelled rows only."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()
-    if len(counts) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
     scale = 1 << 30
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(scale, scale * max_docs // r["n"])))]) if counts else F.lit(None).cast("map<string,bigint>")
-    sample = known.where(F.pmod(F.xxhash64(F.lit(17), F.col("doc_id")), F.lit(scale)) < F.try_element_at(share, F.col("lang"))).select("text", "lang")
+    drawn = F.pmod(F.xxhash64(F.lit(17), F.col("doc_id")), F.lit(scale)) < F.least(F.lit(scale), F.lit(scale * max_docs) / F.col("n"))
+    # max_languages bounds this broadcast
+    sample = known.join(F.broadcast(counts), "lang").where(drawn).select("text", "lang")
 
-    def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0x110000, np.int64)
-        for b in batches:
-            for t in b["text"].to_pylist():
-                p = _points(t)
-                k, n = np.unique(p[_letters()[p]], return_counts=True)
-                total[k] += n
-        k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(total[k])], ["point", "n"])
-
-    top = sample.mapInArrow(letters, "point long, n long").groupBy("point").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "point").limit(LETTERS).collect()
-    alphabet = np.array([r["point"] for r in top], dtype=np.int64)
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, total = code_table(alphabet), {}
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t, lang in zip(b["text"].to_pylist(), b["lang"].to_pylist(), strict=True):
-                total[lang] = ngram_counts(coded(t, alphabet, table), total.get(lang))
-        for lang, c in total.items():
-            k = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.astype(np.int32)), pa.array(c[k])], ["lang", "gram", "n"])
-
-    totals = sample.mapInArrow(grams, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # the alphabet bounds the n-grams of a language, so this group is bounded too
-    best = totals.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "gram"))), 1, PROFILE).alias("best")).collect()
-    best.sort(key=lambda r: r["lang"].encode())
-    ranks = np.full((len(best), _CODES + _CODES**2 + _CODES**3), PROFILE, np.int16)
-    for i, r in enumerate(best):
-        ranks[i, [g["gram"] for g in r["best"]]] = np.arange(len(r["best"]))
-    return Profiles(alphabet, [r["lang"] for r in best], ranks)
-
-
-def predict(text: str | None, model: Profiles, table: np.ndarray) -> tuple[str, float]:
+            langs = b["lang"].to_pylist()
+            by_lang: dict[str, list[np.ndarray]] = {}
+            for t, lang in zip(b["text"].to_pylist(), langs, strict=True):
+                by_lang.setdefault(lang, []).append(coded(t))
+            for lang, codes in by_lang.items():
+                keys, n = ngrams(np.concatenate(codes))  # texts end and begin with a space
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n)], ["lang", "gram", "n"])
+
+    totals = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1
+    # at most max_languages times PROFILE rows, the whole model
+    best = totals.withColumn("rank", rank).where(F.col("rank") < PROFILE).select("lang", "gram", "rank").collect()
+    languages = sorted({r["lang"] for r in best}, key=str.encode)
+    number = {name: i for i, name in enumerate(languages)}
+    rows = np.array(sorted((r["gram"], number[r["lang"]], r["rank"]) for r in best), np.int64).reshape(-1, 3)
+    return Profiles(languages, rows[:, 0].copy(), rows[:, 1].astype(np.int32), rows[:, 2].astype(np.int16))
+
+
+def distances(mine: np.ndarray, model: Profiles) -> np.ndarray:
+    """Out-of-place distance of a profile to each language's."""
+    lo, hi = np.searchsorted(model.grams, mine), np.searchsorted(model.grams, mine, side="right")
+    n = hi - lo
+    at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    nearer = PROFILE - np.abs(model.rank[at] - np.repeat(np.arange(len(mine)), n))
+    return PROFILE * len(mine) - np.bincount(model.language[at], nearer, len(model.languages)).astype(np.int64)
+
+
+def predict(text: str | None, model: Profiles) -> tuple[str, float]:
     if not text or not model.languages:
         return "und", 0.0
-    mine = profile(coded(text, model.alphabet, table))
+    mine = profile(coded(text))
     if not len(mine):
         return "und", 0.0
-    far = model.ranks[:, mine]
-    apart = np.where(far == PROFILE, PROFILE, np.abs(far - np.arange(len(mine), dtype=np.int16))).sum(axis=1, dtype=np.int64)
+    apart = distances(mine, model)
     best = int(np.argmin(apart))
     return model.languages[best], float(1 - apart[best] / (PROFILE * len(mine)))
 
@@ -166,9 +134,8 @@ def identify(docs: DataFrame, model: Profiles) -> DataFrame:
     """doc_id, lang_pred, score per row of (doc_id, text)."""
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = code_table(model.alphabet)
         for b in batches:
-            got = [predict(t, model, table) for t in b["text"].to_pylist()]
+            got = [predict(t, model) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(label, "doc_id long, lang_pred string, score double")
