@@ -4,25 +4,27 @@ Grades are ordered (0 none, 1 some, 2 strong). P(grade > k) = sigmoid(w.x - t_k)
 with one weight vector for all thresholds t_0 <= t_1; the score is the expected
 grade, the sum of these probabilities.
 
-The labels hold toxic 0/1 only. A toxic document's grade comes from how much of
-it is made of terms that mark toxic documents: the upper half of labelled toxic
-documents by that count is grade 2, the rest grade 1.
-
-Features are words and word starts of five letters (lower case, runs of ``\\w``)
-that mark toxic documents in the labelled sample, each with weight 1 + ln(count);
-the whole text is read. The sample is bounded by
-``max_labelled`` rows and chosen by a hash of the id, the vocabulary by
-``max_terms``.
+The labels hold toxic 0/1 and quality 0/1. A toxic document of low quality is
+grade 2, another toxic one grade 1: the grade comes from the labels, not from the
+features that predict it. Labels without any grade 2 leave the second threshold
+where the prior of ``fit_ordinal`` holds it.
+
+Features are words and word starts of five letters (lower case, runs of ``\\w``),
+all of them, hashed to ``DIMENSION`` places, each with the value 1 + ln(count) times
+the place's shrunk log-odds of toxic against other documents in the sample: places
+that tell nothing have a value near zero. The whole text is read. The sample of
+labelled documents is bounded by ``max_labelled`` and chosen by a hash of the id;
+nothing else is.
 
 Defined cases: a null or empty text has no feature and gets the base score;
 repeated rows get equal scores; with no labelled toxic document nothing is
-toxic. Extra columns of the input are kept by ``drop_toxic`` and ignored by
+toxic; of repeated labels of an id the worst counts, null ids and labels are
+ignored. Extra columns of the input are kept by ``drop_toxic`` and ignored by
 ``score_toxicity``.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,69 +32,57 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import bounded_sample, cut, documents_of
+from linkloom.llm.common import bounded_sample, cut, discard, documents_of
 
 _TOKEN = re.compile(r"\w+")
+DIMENSION = 1 << 20
 SCORE_SCHEMA = "expected_grade double, p_toxic double, grade int"
 
 
 class OrdinalModel(NamedTuple):
-    terms: dict[str, int]
-    weights: np.ndarray
+    weights: np.ndarray  # of each place, with its log-odds multiplied in
     thresholds: np.ndarray
 
-    def margins(self, text: str | None) -> np.ndarray:
-        x = 0.0
-        for i, n in features(text, self.terms).items():
-            x += self.weights[i] * (1 + math.log(n))
+    def margins(self, text: str | None, hashes: _Places) -> np.ndarray:
+        """P(grade > k) for each k."""
+        place, n = features(text, hashes)
+        x = float((self.weights[place].astype(float) * (1 + np.log(n))).sum()) if len(place) else 0.0
         return 1 / (1 + np.exp(-np.clip(x - self.thresholds, -50, 50)))
 
 
-def features(text: str | None, terms: dict[str, int]) -> Counter:
-    """Counts of the known terms in a whole text."""
-    found: Counter = Counter()
-    if text:
-        for word, n in Counter(_TOKEN.findall(text.lower())).items():
-            if (i := terms.get(word)) is not None:
-                found[i] += n
-            if len(word) > 5 and (i := terms.get("^" + word[:5])) is not None:
-                found[i] += n
-    return found
-
+class _Places(dict):
+    """Places of terms, kept for the texts to come; up to a million of them."""
 
-def _terms(text: str | None) -> set[str]:
-    words = set(_TOKEN.findall((text or "").lower()))
-    return words | {"^" + w[:5] for w in words if len(w) > 5}
+    def __missing__(self, term: str) -> int:
+        if len(self) >= 1_000_000:
+            self.clear()
+        self[term] = i = xxhash.xxh3_64_intdigest(term) % DIMENSION
+        return i
 
 
-def pick_terms(sample: DataFrame, max_terms: int, least: int = 3) -> list[str]:
-    """Terms by smoothed log-odds of toxic against other documents."""
+def features(text: str | None, places: _Places) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a whole text's terms, sorted, and how often each occurs."""
+    words = Counter(_TOKEN.findall(text.lower())) if text else Counter()
+    terms = [*words.items(), *(("^" + w[:5], n) for w, n in words.items() if len(w) > 5)]
+    place, back = np.unique(np.fromiter((places[t] for t, _ in terms), np.int64, len(terms)), return_inverse=True)
+    return place, np.bincount(back, np.fromiter((n for _, n in terms), np.int64, len(terms)), len(place))
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bad, good = Counter(), Counter()
-            for text, y in zip(b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True):
-                (bad if y else good).update(_terms(text))
-            names = list(bad | good)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([bad[w] for w in names], pa.int64()), pa.array([good[w] for w in names], pa.int64())], ["term", "bad", "good"])
 
-    counts = sample.mapInArrow(split, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(F.col("bad") >= least)
-    n = sample.agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good")).first()
-    odds = F.log((F.col("bad") + 0.5) / (n["bad"] + 1.0)) - F.log((F.col("good") + 0.5) / (n["good"] + 1.0))
-    ranked = counts.withColumn("odds", odds).where(F.col("odds") > 1.5).orderBy(F.col("odds").desc(), F.col("bad").desc(), "term")
-    return [r["term"] for r in ranked.select("term").limit(max_terms).collect()]
+def log_odds(bad: np.ndarray, good: np.ndarray, n_bad: int, n_good: int, prior: float = 10.0) -> np.ndarray:
+    """Log-odds of the documents that hold a feature, against the base rate;
+    shrunk to zero by ``prior`` documents of the base rate."""
+    share = n_bad / (n_bad + n_good)
+    return np.log((bad + prior * share) / (good + prior * (1 - share))) - np.log(n_bad / n_good)
 
 
-def fit_ordinal(rows: list[tuple[list[tuple[int, float]], int]], n_terms: int, grades: int = 3, l2: float = 1.0, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(who: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray, n_terms: int, grades: int = 3, l2: float = 1.0, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by gradient descent with Adam steps on the
-    penalised likelihood of the cumulative-link model."""
-    who = np.array([i for i, (x, _) in enumerate(rows) for _ in x], dtype=np.int64)
-    col = np.array([j for x, _ in rows for j, _ in x], dtype=np.int64)
-    val = np.array([v for x, _ in rows for _, v in x])
-    y = np.array([g for _, g in rows], dtype=np.int64)
+    penalised likelihood of the cumulative-link model. ``l2`` is the precision of
+    the weights' prior, and of the logs of the gaps between thresholds."""
     n = len(y)
     w, base, gap = np.zeros(n_terms), np.array([1.0]), np.zeros(grades - 2)
     params = np.concatenate([w, base, gap])
@@ -115,35 +105,53 @@ def fit_ordinal(rows: list[tuple[list[tuple[int, float]], int]], n_terms: int, g
             g_t[k] = (slope[:, k + 1] / p * ((y == k + 1).astype(float) - (y == k).astype(float))).sum()
         grad = np.concatenate([np.bincount(col, val * g_eta[who], n_terms) if len(col) else np.zeros(n_terms), [g_t.sum()], [np.exp(params[n_terms + 1 + k]) * g_t[k + 1 :].sum() for k in range(grades - 2)]])
         grad[:n_terms] += l2 * w
+        grad[n_terms + 1 :] += l2 * params[n_terms + 1 :]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         params = params - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return params[:n_terms], np.concatenate([[params[n_terms]], params[n_terms] + np.cumsum(np.exp(params[n_terms + 1 :]))])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_terms: int = 2048) -> OrdinalModel:
-    """``docs``: (doc_id, text), ``labels``: (doc_id, toxic). At most about
-    ``max_labelled`` labelled rows are read, of which only the counts of known
-    terms reach the driver."""
-    marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def grades_of(labels: DataFrame) -> DataFrame:
+    """doc_id, grade: 2 for toxic documents of low quality, 1 for other toxic
+    ones, 0 for the rest; the worst of repeated labels."""
+    quality = F.col("quality") if "quality" in labels.columns else F.lit(None)
+    grade = F.when((F.col("toxic") == 1) & (quality == 0), 2).otherwise(F.col("toxic")).cast("int")
+    return labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(grade).alias("grade"))
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 6_000) -> OrdinalModel:
+    """``docs``: (doc_id, text), ``labels``: (doc_id, toxic, quality). At most about
+    ``max_labelled`` labelled rows are read, whose counts reach the driver."""
+    marks = cut(grades_of(labels), "grades")
     n = marks.count()
-    marks = bounded_sample(marks, "doc_id", max_labelled, n)
     # the bound holds for the labels' side, which is broadcast; texts are not shuffled
-    sample = cut(bounded_sample(docs.select("doc_id", "text"), "doc_id", max_labelled, n).join(F.broadcast(marks), "doc_id"), "sample")
-    terms = {t: i for i, t in enumerate(pick_terms(sample, max_terms))}
-    if not terms:
-        return OrdinalModel({}, np.zeros(0), np.array([20.0, 40.0]))
+    drawn = bounded_sample(marks, "doc_id", max_labelled, n)
+    sample = bounded_sample(docs.select("doc_id", "text"), "doc_id", max_labelled, n).join(F.broadcast(drawn), "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = _Places()
         for b in batches:
-            found = [sorted(features(t, terms).items()) for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["toxic"], pa.array([[i for i, _ in x] for x in found], pa.list_(pa.int32())), pa.array([[n for _, n in x] for x in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "i", "n"])
-
-    got = sample.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(count, "doc_id long, toxic int, i array<int>, n array<int>").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["i"], r["n"]))
-    hits = sorted(sum(r["n"]) for r in got if r["toxic"])
-    strong = hits[len(hits) // 2] if hits else 1
-    rows = [([(i, 1 + math.log(n)) for i, n in zip(r["i"], r["n"], strict=True)], (2 if sum(r["n"]) > strong else 1) if r["toxic"] else 0) for r in got]
-    return OrdinalModel(terms, *fit_ordinal(rows, len(terms)))
+            found = [features(t, places) for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["grade"], pa.array([i for i, _ in found], pa.list_(pa.int32())), pa.array([1 + np.log(n) for _, n in found], pa.list_(pa.float32()))], ["doc_id", "grade", "i", "x"])
+
+    got = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "grade", "text").mapInArrow(count, "doc_id long, grade int, i array<int>, x array<float>").toArrow()
+    discard(marks)
+    rows = [tuple(got[c].combine_chunks().to_numpy(zero_copy_only=False)) for c in ("doc_id", "grade", "i", "x")]
+    order = sorted(range(got.num_rows), key=lambda r: (rows[0][r], rows[2][r].tobytes(), rows[3][r].tobytes()))
+    grade = np.array([rows[1][r] for r in order], np.int64)
+    if not (grade > 0).any() or not (grade == 0).any():
+        return OrdinalModel(np.zeros(DIMENSION, np.float32), np.array([20.0, 40.0]))
+    place = [rows[2][r] for r in order]
+    who = np.repeat(np.arange(len(order)), [len(p) for p in place])
+    place = np.concatenate(place)
+    bad, good = (np.bincount(place[keep], minlength=DIMENSION) for keep in ((grade > 0)[who], (grade == 0)[who]))
+    odds = log_odds(bad, good, int((grade > 0).sum()), int((grade == 0).sum()))
+    seen, col = np.unique(place, return_inverse=True)
+    value = np.concatenate([rows[3][r] for r in order]) * odds[place]
+    w, thresholds = fit_ordinal(who, col, value, grade, len(seen))
+    weights = np.zeros(DIMENSION, np.float32)
+    weights[seen] = w * odds[seen]
+    return OrdinalModel(weights, thresholds)
 
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel, keep: list[str]) -> DataFrame:
@@ -152,8 +160,9 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, keep: list[str]) -> Dat
     source = docs.select(*keep, F.col("text").alias("_text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = _Places()
         for b in batches:
-            p = np.array([model.margins(t) for t in b["_text"].to_pylist()]).reshape(len(b), -1)
+            p = np.array([model.margins(t, places) for t in b["_text"].to_pylist()]).reshape(len(b), -1)
             out = [pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array((p >= 0.5).sum(axis=1).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([b[k] for k in keep] + out, [*keep, "expected_grade", "p_toxic", "grade"])
 
