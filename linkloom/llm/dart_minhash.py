@@ -15,8 +15,8 @@ darts, not ``k`` hashes.
 Bands of ``rows`` coordinates are joined; candidate links are verified on the
 whole texts by the Jaccard similarity of their sets of shingles.
 
-Documents of equal text are one node, by a hash of 64 bits, and are compared
-once. The nodes of a band's bucket are compared with the bucket's least node;
+Documents of equal text are one node, by a hash of 128 bits, numbered once in a
+written table, and are compared once. The nodes of a band's bucket are compared with the bucket's least node;
 where verified links do not connect a bucket, its other parts are compared with
 its largest part through one node each. What is still apart is compared whole:
 small buckets pair by pair, large ones in clusters of buckets that share nodes,
@@ -26,8 +26,9 @@ group of near copies costs about one row a node.
 
 Defined cases: a text of one to four words is one shingle; null and empty texts
 have no shingle, link with nothing and are each their own class. Repeated rows
-are separate rows of one class. Extra columns are ignored by ``near_classes``
-and kept by ``keep_first``.
+are separate rows of one class; of rows equal in id and text ``keep_first`` keeps
+the least by all columns. Extra columns are ignored by ``near_classes`` and kept
+by ``keep_first``.
 """
 
 from __future__ import annotations
@@ -39,10 +40,10 @@ from math import exp, factorial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import components, cut, documents_of
+from linkloom.llm.common import components, cut, discard, documents_of
 from linkloom.llm.words import Words, mix, rolled, slices, spans_hash, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -138,12 +139,13 @@ def _throw(h: np.ndarray, weight: np.ndarray, layer: int, low: float, high: floa
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    """id (never null), node (a hash of the exact text), text."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("node"), "text")
+    """id (never null), hash (128 bits of the exact text), text."""
+    both = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), both.alias("hash"), "text")
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE) -> DataFrame:
-    """id, node, keys (one a band; null without words) of each row."""
+    """id, hash, keys (one a band; null without words) of each row."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -157,9 +159,9 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int =
                 keys = mix(keys + np.arange(bands, dtype=np.uint64)[None, :], 60)
                 none = np.diff(w.first) == 0
                 lists = pa.array([None if e else k for e, k in zip(none, keys.view(np.int64), strict=True)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b["id"].slice(i, j - i), b["node"].slice(i, j - i), lists], ["id", "node", "keys"])
+                yield pa.RecordBatch.from_arrays([b["id"].slice(i, j - i), b["hash"].slice(i, j - i), lists], ["id", "hash", "keys"])
 
-    return _identified(docs).mapInArrow(sketch, "id long, node long, keys array<long>")
+    return _identified(docs).mapInArrow(sketch, "id long, hash struct<a:bigint,b:bigint>, keys array<long>")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE) -> DataFrame:
@@ -261,6 +263,7 @@ def linked_nodes(buckets: DataFrame, texts: DataFrame, threshold: float = THRESH
     """node, part of the nodes that share a bucket (key, node) with another."""
     lead = cut(buckets.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead"), "leads")
     held = cut(buckets.join(lead, "key"), "buckets")
+    discard(lead)
     nodes = cut(held.select("node").distinct(), "nodes")
     near = cut(texts.join(nodes, "node").dropDuplicates(["node"]), "texts")
     # every node with the least node of each of its buckets
@@ -272,7 +275,9 @@ def linked_nodes(buckets: DataFrame, texts: DataFrame, threshold: float = THRESH
         part = cut(_parts(nodes, links), "parts")
         now = held.select("key", "node").join(part, "node")
         split = cut(now.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key"), "split")
-        return part, cut(now.join(split, "key"), "open")
+        rows = cut(now.join(split, "key"), "open")
+        discard(split)
+        return part, rows
 
     # every other part of a bucket with its largest part, through one node of each
     part, rows = unsettled()
@@ -283,6 +288,7 @@ def linked_nodes(buckets: DataFrame, texts: DataFrame, threshold: float = THRESH
     fresh = cut(pairs.join(asked, ["src", "dst"], "left_anti"), "fresh")
     asked, links = asked.union(fresh), links.union(cut(similar(fresh, near, threshold, width), "found"))
     # what is still apart, whole: small buckets pair by pair, large ones in blocks
+    discard(part, rows, main)
     part, rows = unsettled()
     if rows.isEmpty():
         return part
@@ -306,26 +312,31 @@ def near_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshol
     its near-duplicate class) of every row of (doc_id, text)."""
     sketch = cut(sketches(docs, bands, rows, width), "sketches")
     worded = sketch.where("keys is not null")
-    classes = cut(worded.groupBy("node").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")), "classes")
-    first = classes.select("node", "rep")
-    texts = _identified(docs).withColumnRenamed("id", "rep").join(first, ["node", "rep"], "left_semi").select("node", "text")
-    part = cut(first.join(linked_nodes(classes.select("node", F.explode("keys").alias("key")), texts, threshold, width, small), "node", "left").select("node", "rep", F.coalesce("part", "node").alias("part")), "part")
+    kinds = worded.groupBy("hash").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"))
+    classes = cut(kinds.select(F.monotonically_increasing_id().alias("node"), "hash", "rep", "keys"), "classes")
+    first = classes.select("node", "hash", "rep")
+    texts = _identified(docs).withColumnRenamed("id", "rep").join(first, ["hash", "rep"]).select("node", "text")
+    linked = linked_nodes(classes.select("node", F.explode("keys").alias("key")), texts, threshold, width, small)
+    part = cut(first.join(linked, "node", "left").select("hash", "rep", F.coalesce("part", "node").alias("part")), "part")
     least = cut(part.groupBy("part").agg(F.min("rep").alias("class_id")), "least")
-    named = cut(part.join(least, "part").select("node", F.col("rep").alias("copy_of"), "class_id"), "named")
-    found = worded.select("id", "node").join(named, "node").select("id", "copy_of", "class_id")
+    named = cut(part.join(least, "part").select("hash", F.col("rep").alias("copy_of"), "class_id"), "named")
+    discard(classes, part, least)
+    found = worded.select("id", "hash").join(named, "hash").select("id", "copy_of", "class_id")
     alone = sketch.where("keys is null").select("id", F.col("id").alias("copy_of"), F.col("id").alias("class_id"))
     return found.union(alone).select(*[F.nullif(F.col(c), F.lit(NO_ID)).alias(n) for c, n in (("id", "doc_id"), ("copy_of", "copy_of"), ("class_id", "class_id"))])
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs``, with all columns: of each near-duplicate class only the
-    document of least id, and of rows equal in id and text only one. Rows
-    without words, and those with a null id, stay."""
+    document of least id, and of rows equal in id and text only one, the least by
+    all columns. Rows without words, and those with a null id, stay."""
     classes = cut(near_classes(docs, **options), "near")
     gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
     if not classes.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty():
-        first = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))
-        docs = docs.withColumn("_first", first).where(F.col("doc_id").isNull() | (F.col("_first") == 1)).drop("_first")
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        named = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), row.alias("_row"))
+        one = named.groupBy("_id", "_text").agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+        docs = docs.where(F.col("doc_id").isNull()).union(one)
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 

@@ -136,45 +136,78 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in language.identify(docs, empty).collect()} == {"und"}
 
 
-def test_out_of_place_distance_by_hand():
-    alphabet = np.array([ord(c) for c in "abc"])
-    text = "abca"
+def brute_profile(texts):
     grams = Counter()
-    padded = " abca "
-    for n in (1, 2, 3):
-        grams.update(g for g in (padded[i : i + n] for i in range(len(padded) - n + 1)) if g.strip() and " " not in g[1:-1])
-    codes = {" ": 0, "a": 1, "b": 2, "c": 3}
-    size = [0, 96, 96 + 96**2]
+    for text in texts:
+        padded = " " + re.sub(r"[\W\d_]+", " ", text.lower()).strip() + " "
+        for n in (1, 2, 3):
+            grams.update(g for g in (padded[i : i + n] for i in range(len(padded) - n + 1)) if g.strip() and " " not in g[1:-1])
+    return sorted(grams, key=lambda g: (-grams[g], len(g), g))[: language.PROFILE]
 
-    def code(g):
-        return size[len(g) - 1] + sum(codes[c] * 96 ** (len(g) - 1 - i) for i, c in enumerate(g))
 
-    want = [code(g) for g, _ in sorted(grams.items(), key=lambda x: (-x[1], code(x[0])))]
-    assert language.profile(language.coded(text, alphabet)).tolist() == want
+def test_out_of_place_distance_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    scripts = {"la": range(97, 123), "el": range(0x3B1, 0x3C9), "zh": range(0x4E00, 0x4E00 + 500), "ja": range(0x4E00 + 250, 0x4E00 + 700)}
+
+    def write(name, n):
+        letters = list(scripts[name])
+        p = np.random.default_rng(len(name) + ord(name[0])).dirichlet(np.ones(len(letters)) * 0.3)
+        return " ".join("".join(chr(letters[c]) for c in rng.choice(len(letters), int(rng.integers(1, 7)), p=p)) for _ in range(n)) + ", 7"
+
+    learned = [(lang, write(lang, 60)) for lang in scripts for _ in range(6)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(learned)], "doc_id long, text string, lang string")
+    model = language.fit_profiles(docs)
+    known = {lang: brute_profile([t for x, t in learned if x == lang]) for lang in scripts}
+    for lang in scripts:
+        for n in (1, 3, 40):
+            text = write(lang, n)
+            mine = brute_profile([text])
+            want = {x: sum(abs(known[x].index(g) - i) if g in known[x] else language.PROFILE for i, g in enumerate(mine)) for x in scripts}
+            assert dict(zip(model.languages, language.distances(language.profile(language.coded(text)), model).tolist(), strict=True)) == want
+            best = min(sorted(want), key=lambda x: want[x])
+            assert language.predict(text, model) == (best, pytest.approx(1 - want[best] / language.PROFILE / len(mine))) and (best == lang or n < 40)
+
+
+def test_language_bounds_and_null_ids(spark):
+    docs = spark.createDataFrame([(None, "der hund", "de")] * 2 + [(1, "der hund", "de"), (2, "the dog", "en")], "doc_id long, text string, lang string")
+    assert language.fit_profiles(docs, max_languages=1).languages == ["de"]
+    assert docs.select(language.held_out("doc_id", 4, 2).alias("h")).where("h is null").count() == 0
 
 
-def test_toxicity_separates(spark):
-    rows = joined(spark, "/root/testdata/sf0.01", "op4_ordinal_toxicity", "labels")
-    docs = [(r["expected_grade"], r["p_toxic"]) for r in rows]
-    assert all(0 <= p <= 1 and p <= e <= 2 for e, p in docs)
-    flagged = [r for r in registry.QUERIES["op4_ordinal_toxicity"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").withColumnRenamed("toxic", "y"), "doc_id").collect()]
-    assert sum(r["toxic"] for r in flagged if r["y"] == 1) >= 0.9 * sum(r["y"] for r in flagged)
-    assert not any(r["toxic"] for r in flagged if r["y"] == 0)
+def test_toxicity_separates_unseen_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = toxicity.fit_toxicity(docs, labels.where("doc_id % 3 <> 0"))
+    rows = toxicity.score_toxicity(docs.join(labels.where("doc_id % 3 = 0"), "doc_id").select("doc_id", "text", F.col("toxic").alias("y")), model, ["doc_id", "y"]).collect()
+    assert all(0 <= r["p_toxic"] <= 1 and r["p_toxic"] <= r["expected_grade"] <= 2 for r in rows)
+    assert sum(r["p_toxic"] >= 0.5 for r in rows if r["y"] == 1) >= 0.88 * sum(r["y"] for r in rows)  # about 300 toxic documents to learn from
+    assert sum(r["p_toxic"] >= 0.5 for r in rows if r["y"] == 0) <= 0.002 * len(rows)
 
 
-def test_ordinal_fit_is_monotone():
+def test_grades_come_from_labels(spark):
+    labels = spark.createDataFrame([(1, 0, 1), (2, 1, 1), (3, 1, 0), (4, 0, 1), (4, 1, 0), (5, 1, None), (None, 1, 0), (6, None, 0), (7, 3, 0)], "doc_id long, toxic int, quality int")
+    assert {r["doc_id"]: r["grade"] for r in toxicity.grades_of(labels).collect()} == {1: 0, 2: 1, 3: 2, 4: 2, 5: 1}
+
+
+def test_ordinal_fit_maximises_the_likelihood():
     rng = np.random.default_rng(0)
-    rows = []
-    for _ in range(600):
-        x = float(rng.integers(0, 6))
-        y = int(x + rng.normal() > 2) + int(x + rng.normal() > 4)
-        rows.append(([(0, x)] if x else [], y))
-    w, t = toxicity.fit_ordinal(rows, 1)
-    assert w[0] > 0.5 and t[0] < t[1] and 1 < t[0] / w[0] < 3 and 3 < t[1] / w[0] < 5
+    x = rng.integers(0, 6, 600).astype(float)
+    y = ((x + rng.normal(size=600) > 2).astype(int) + (x + rng.normal(size=600) > 4)).clip(0, 2)
+    y = np.where(x == 0, 0, y)
+    w, t = toxicity.fit_ordinal(np.arange(600), np.zeros(600, np.int64), x, y, 1, steps=2000)
+
+    def loss(w, a, b):  # the penalised likelihood, written out
+        above = [np.ones(600), 1 / (1 + np.exp(a - w * x)), 1 / (1 + np.exp(b - w * x)), np.zeros(600)]
+        return -sum(math.log(above[k][i] - above[k + 1][i]) for i, k in enumerate(y)) + 0.5 * w * w + 0.5 * math.log(b - a) ** 2
+
+    best = loss(w[0], *t)
+    for step in itertools.product((-0.03, 0, 0.03), repeat=3):
+        assert best <= loss(w[0] + step[0], t[0] + step[1], t[1] + step[2]) + 1e-3
+    assert w[0] > 0.5 and t[0] < t[1]
 
 
 def test_toxicity_edges(spark):
-    docs = docs_of(spark, EDGES).withColumn("toxic", F.lit("clash")).withColumn("p_toxic", F.lit(9))
+    docs = docs_of(spark, EDGES).withColumn("toxic", F.lit("clash")).withColumn("p_toxic", F.lit(9)).withColumn("_text", F.lit("clash"))
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.drop_toxic(docs, none).columns == docs.columns
     assert sorted(toxicity.drop_toxic(docs, none).collect(), key=str) == sorted(docs.collect(), key=str)
@@ -182,6 +215,10 @@ def test_toxicity_edges(spark):
     docs = docs_of(spark, [f"calm words number {i % 7}" if i < 20 else f"nasty words number {i % 7}" for i in range(40)])
     assert sorted(r["doc_id"] for r in toxicity.drop_toxic(docs, labels).collect()) == list(range(20))
     assert toxicity.drop_toxic(docs.limit(0), labels).count() == 0
+    model = toxicity.fit_toxicity(docs, labels)
+    texts = {"calm": "calm words " * 50_000, "nasty": "nasty words " * 50_000}
+    got = {r["doc_id"]: r["p_toxic"] for r in toxicity.score_toxicity(docs_of(spark, [*texts.values(), "calm words", "calm words"]).withColumn("score", F.lit("clash")), model, ["doc_id"]).collect()}
+    assert got[0] < 0.5 < got[1] and got[2] == got[3]
 
 
 def test_quality_held_out(spark):
@@ -475,6 +512,8 @@ def test_near_repeated_and_null_ids(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "q r s t u v"), (None, None), (3, "q r s t u v")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(str(r["doc_id"]) for r in dart_minhash.keep_first(docs).collect()) == ["1", "3", "None", "None"]
+    extra = spark.createDataFrame([(1, "a b c d e f", x) for x in (3, 2, 5)], "doc_id long, text string, n int")
+    assert [r["n"] for r in dart_minhash.keep_first(extra).collect()] == [2]
     got = dart_minhash.near_classes(docs)
     assert got.count() == 6 and {r["class_id"] for r in got.where("doc_id in (1, 2)").collect()} == {1}
     assert dart_minhash.near_classes(docs.limit(0)).count() == 0
