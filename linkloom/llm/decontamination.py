@@ -57,7 +57,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import cut, documents_of
-from linkloom.llm.words import mix, powers, rolled, spans_hash
+from linkloom.llm.words import mix, powers, rolled, slices, spans_hash
 
 #: Units that follow a number.
 UNITS = frozenset(
@@ -105,25 +105,36 @@ class Tokens(dict):
 
 
 class Template(NamedTuple):
-    words: list[str]  # every token, lower-cased
+    """Tokens and template tokens of one text after another."""
+
+    known: Tokens
+    ids: np.ndarray  # of every token
     word_hash: np.ndarray
     kind: np.ndarray  # of each template token
     at: np.ndarray  # first word of each template token; one more than tokens
+    words: np.ndarray  # first word of each text; one more than texts
+    tokens: np.ndarray  # first template token of each text
+
+    def text(self, lo: int, hi: int) -> str:
+        return " ".join([self.known.words[i] for i in self.ids[lo:hi].tolist()])
 
     def value(self, i: int) -> str:
-        return " ".join(self.words[self.at[i] : self.at[i + 1]])
+        return self.text(self.at[i], self.at[i + 1])
 
     def marks(self) -> list[str]:
         """Template tokens as text."""
-        return [MARKS[k] or self.words[i] for k, i in zip(self.kind.tolist(), self.at.tolist())]
+        return [MARKS[k] or self.text(i, i + 1) for k, i in zip(self.kind.tolist(), self.at.tolist())]
 
 
-def template(text: str | None, known: Tokens | None = None) -> Template:
-    """Tokens of a text, and its template."""
-    known = Tokens() if known is None else known
-    raw = _TOKEN.findall(text or "")
+def templates(texts: list[str | None], known: Tokens) -> Template:
+    raw: list[str] = []
+    ends = [0]
+    for text in texts:
+        raw += _TOKEN.findall(text or "")
+        raw.append("\n")  # a text begins as a line does
+        ends.append(len(raw))
     ids = np.fromiter(map(known.__getitem__, raw), np.int64, len(raw))
-    flag = np.frombuffer(known.flags, np.uint8)[ids] if len(raw) else np.empty(0, np.uint8)
+    flag = np.frombuffer(known.flags, np.uint8)[ids]
     stop = flag & _STOP > 0
     line = np.cumsum(flag & _LINE > 0)
     lines = int(line[-1]) + 1 if len(raw) else 1
@@ -134,12 +145,18 @@ def template(text: str | None, known: Tokens | None = None) -> Template:
     kind = np.where((flag & _CAPITAL > 0) & ~start & ~capitals[line], NAME, PLAIN)
     kind[after & (flag & _UNIT > 0)] = UNIT
     kind[flag & _NUMERIC > 0] = NUMBER
+    words = np.concatenate([[0], np.cumsum(~stop)])[ends]
     ids, kind = ids[~stop], kind[~stop]
     first = np.ones(len(ids), bool)  # names in a row are one
     first[1:] = (kind[1:] != NAME) | (kind[:-1] != NAME)
+    first[words[words < len(ids)]] = True
     at = np.append(np.flatnonzero(first), len(ids))
-    hashes = np.frombuffer(known.hashes, np.uint64)[ids] if len(ids) else np.empty(0, np.uint64)
-    return Template([known.words[i] for i in ids.tolist()], hashes, kind[first], at)
+    return Template(known, ids, np.frombuffer(known.hashes, np.uint64)[ids], kind[first], at, words, np.searchsorted(at, words))
+
+
+def template(text: str | None) -> Template:
+    """Tokens of a text, and its template."""
+    return templates([text], Tokens())
 
 
 class Windows(NamedTuple):
@@ -150,8 +167,10 @@ class Windows(NamedTuple):
 
 
 def windows(t: Template, width: int = WIDTH, literals: int = LITERALS, running: bool = False) -> Windows:
-    """Template windows; with ``running`` also those that begin within a name."""
+    """Template windows, each within one text; with ``running`` also those that
+    begin within a name."""
     n = len(t.kind)
+    limit = np.repeat(t.tokens[1:], np.diff(t.tokens))
     p, q = powers(n + 3)
     first = t.word_hash[t.at[:-1]]
     token = mix(np.where(t.kind == PLAIN, first, _MARK_HASHES[t.kind]))
@@ -168,7 +187,7 @@ def windows(t: Template, width: int = WIDTH, literals: int = LITERALS, running:
         forms += [(1, names[lone]), (2, names[~lone])]
     for form, lo in forms:
         hi = np.maximum(lo + width - (form == 2), at[before[lo] + literals - 1 - (form > 0)] + 1)
-        ok = hi <= n
+        ok = hi <= limit[lo]
         lo, hi = lo[ok], hi[ok]
         size = (hi - lo + (form == 2)).astype(np.uint64)
         if form == 0:
@@ -183,16 +202,20 @@ def windows(t: Template, width: int = WIDTH, literals: int = LITERALS, running:
 def filled(t: Template, lo: int, hi: int, form: int = 0) -> list[tuple[int, str]]:
     """Word number and value of the slots of a window."""
     rest = [(int(t.at[i]), t.value(i)) for i in range(lo + (form > 0), hi) if t.kind[i] != PLAIN]
-    return [(int(t.at[lo]) + 1, " ".join(t.words[t.at[lo] + 1 : t.at[lo + 1]])), *rest] if form == 2 else rest
+    return [(int(t.at[lo]) + 1, t.text(t.at[lo] + 1, t.at[lo + 1])), *rest] if form == 2 else rest
 
 
-def exact_windows(t: Template, width: int, literals: int = LITERALS) -> np.ndarray:
-    """Hash of every window of ``width`` lower-cased tokens, by position; a text
+def exact_windows(t: Template, width: int, literals: int = LITERALS) -> tuple[np.ndarray, np.ndarray]:
+    """First word and hash of every window of ``width`` lower-cased tokens; a text
     of fewer than ``literals`` tokens is one window, for width 0."""
     if width:
-        return mix(rolled(t.word_hash, width), 100 + width).view(np.int64)
-    whole = np.array([0]) if 0 < len(t.words) < literals else np.empty(0, np.int64)
-    return spans_hash(t.word_hash, whole, whole + len(t.words), 7).view(np.int64)
+        limit = np.repeat(t.words[1:], np.diff(t.words))
+        lo = np.flatnonzero(np.arange(len(limit)) + width <= limit)
+        return lo, mix(rolled(t.word_hash, width), 100 + width)[lo].view(np.int64)
+    size = np.diff(t.words)
+    short = np.flatnonzero((size > 0) & (size < literals))
+    lo, hi = t.words[short], t.words[short + 1]
+    return lo, spans_hash(t.word_hash, lo, hi, 7).view(np.int64)
 
 
 def slots_agree(pairs: list[tuple[str, str]]) -> float:
@@ -272,16 +295,14 @@ def item_windows(items: DataFrame, width: int = WIDTH, literals: int = LITERALS)
         for b in batches:
             rows = []
             for i, text in zip(b["item_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                t = template(text, known)
-                if len(t.words) >= literals:
+                t, typed, k = templates([text], known), [], 0
+                if len(t.ids) >= literals:
                     k = min(width, len(t.kind))
                     w = windows(t, k, literals)
                     typed = [(h, int(t.at[lo]), False, k, filled(t, lo, hi)) for lo, hi, _, h in zip(*(x.tolist() for x in w), strict=True)]
-                    k = min(width, len(t.words))
-                else:
-                    typed, k = [], 0
+                    k = min(width, len(t.ids))
                 slots = filled(t, 0, len(t.kind))
-                exact = [(h, p, True, k, [s for s in slots if p <= s[0] < p + k]) for p, h in enumerate(exact_windows(t, k, literals).tolist())]
+                exact = [(h, p, True, k, [s for s in slots if p <= s[0] < p + k]) for p, h in zip(*(x.tolist() for x in exact_windows(t, k, literals)), strict=True)]
                 rows += [(i, h, p, x, k, len(typed), len(exact), [{"at": at, "a": a} for at, a in f]) for h, p, x, k, f in typed + exact]
             yield _batch(rows, list(_ITEM_KINDS), _ITEM_KINDS)
 
@@ -289,26 +310,38 @@ def item_windows(items: DataFrame, width: int = WIDTH, literals: int = LITERALS)
         cut_items, "item_id long, h long, pos int, exact boolean, width int, n_windows int, n_exact int, slots array<struct<at:int,a:string>>")
 
 
-def _among(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which of ``h`` are in the sorted ``keys``."""
-    if not len(keys):
-        return np.zeros(len(h), bool)
-    return keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
+class Keys:
+    """A set of hashes: a table of their last bits, then a search."""
 
+    def __init__(self, hashes: list[int]) -> None:
+        self.sorted = np.array(sorted(hashes), np.int64)
+        self.mask = (1 << (16 * len(hashes) + 1024).bit_length()) - 1
+        self.table = np.zeros(self.mask + 1, bool)
+        self.table[self.sorted & self.mask] = True
 
-def document_windows(t: Template, widths: list[tuple[bool, int]], literals: int, keys: np.ndarray | None, valued: bool) -> list[tuple]:
-    """(h, word position, slot values) of the windows of a document, those with
-    a hash in ``keys``. Values are null for exact windows, or unless ``valued``."""
+    def among(self, h: np.ndarray) -> np.ndarray:
+        """Places of ``h`` that are in the set."""
+        at = np.flatnonzero(self.table[h & self.mask])
+        found = np.minimum(np.searchsorted(self.sorted, h[at]), max(len(self.sorted) - 1, 0))
+        return at[self.sorted[found] == h[at]] if len(at) else at
+
+
+def document_windows(t: Template, widths: list[tuple[bool, int]], literals: int, keys: Keys | None, valued: bool) -> list[tuple]:
+    """(text, h, word position in it, slot values) of the windows of texts, those
+    with a hash in ``keys``. Values are null for exact windows, or unless ``valued``."""
     out = []
     for exact, k in widths:
         if exact:
-            h = exact_windows(t, k, literals)
-            at = np.arange(len(h)) if keys is None else np.flatnonzero(_among(h, keys))
-            out += [(x, p, None) for x, p in zip(h[at].tolist(), at.tolist(), strict=True)]
-        elif len(t.kind) >= k:
+            at, h = exact_windows(t, k, literals)
+            hit = np.arange(len(h)) if keys is None else keys.among(h)
+            at, values, h = at[hit], [None] * len(hit), h[hit]
+        else:
             w = windows(t, k, literals, running=True)
-            hit = np.arange(len(w.lo)) if keys is None else np.flatnonzero(_among(w.hash, keys))
-            out += [(h, int(t.at[lo]), [v for _, v in filled(t, lo, hi, form)] if valued else None) for lo, hi, form, h in zip(*(x[hit].tolist() for x in w), strict=True)]
+            hit = np.arange(len(w.lo)) if keys is None else keys.among(w.hash)
+            at, h = t.at[w.lo[hit]], w.hash[hit]
+            values = [[v for _, v in filled(t, *x)] if valued else None for x in zip(*(x[hit].tolist() for x in (w.lo, w.hi, w.form)), strict=True)]
+        text = np.searchsorted(t.words, at, side="right") - 1
+        out += zip(text.tolist(), h.tolist(), (at - t.words[text]).tolist(), values, strict=True)
     return out
 
 
@@ -319,7 +352,7 @@ def match_windows(docs: DataFrame, items: DataFrame, width: int = WIDTH, literal
     widths = sorted((r["exact"], r["width"]) for r in known.select("exact", "width").distinct().collect())  # at most 2 * width + 1 of them
     size = known.agg(F.sum(48 + F.aggregate("slots", F.lit(0), lambda n, x: n + 12 + F.octet_length(x["a"])))).first()[0] or 0
     small = size <= max_broadcast
-    keys = np.array(sorted(r["h"] for r in known.select("h").distinct().collect()), np.int64) if small else None
+    keys = Keys([r["h"] for r in known.select("h").distinct().collect()]) if small else None
 
     # beyond the bound only hashes move; the values of matched windows are cut afterwards
     text_hash = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
@@ -328,10 +361,11 @@ def match_windows(docs: DataFrame, items: DataFrame, width: int = WIDTH, literal
     def cut_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Tokens()
         for b in batches:
-            out, seen = [], seen.trimmed()
-            for d, x, text in zip(b["doc_id"].to_pylist(), b["text_hash"].to_pylist(), b["text"].to_pylist(), strict=True):
-                out += [(d, x, *w) for w in document_windows(template(text, seen), widths, literals, keys, small)]
-            yield _batch(out, list(_KINDS), _KINDS)
+            for lo, hi in slices(b["text"]):
+                seen = seen.trimmed()
+                found = document_windows(templates(b["text"].slice(lo, hi - lo).to_pylist(), seen), widths, literals, keys, small)
+                ids, hashes = (b[c].slice(lo, hi - lo).to_pylist() for c in ("doc_id", "text_hash"))
+                yield _batch([(ids[i], hashes[i], *w) for i, *w in found], list(_KINDS), _KINDS)
 
     found = rows.mapInArrow(cut_docs, _SCHEMA)
     if small:
@@ -343,8 +377,8 @@ def match_windows(docs: DataFrame, items: DataFrame, width: int = WIDTH, literal
         seen = Tokens()
         for b in batches:
             out, seen = [], seen.trimmed()
-            for d, x, text, hs in zip(b["doc_id"].to_pylist(), b["text_hash"].to_pylist(), b["text"].to_pylist(), b["hs"].to_pylist(), strict=True):
-                out += [(d, x, *w) for w in document_windows(template(text, seen), widths, literals, np.array(sorted(hs), np.int64), True)]
+            for d, x, text, hs in zip(*(b[c].to_pylist() for c in ("doc_id", "text_hash", "text", "hs")), strict=True):
+                out += [(d, x, *w) for _, *w in document_windows(templates([text], seen), widths, literals, Keys(hs), True)]
             yield _batch(out, list(_KINDS), _KINDS)
 
     one = rows.dropDuplicates(["doc_id", "text_hash"])  # rows equal in both have the same windows
