@@ -71,15 +71,18 @@ def token_candidates(queries: DataFrame, index: DataFrame, budget: int | None =
     pairs = asked.join(terms, "token").groupBy("q_id", "idx").agg(F.count("*").alias("overlap"), F.first("n_q").alias("n_q"), F.first("n_c").alias("n_c"), F.max(F.col("token") == F.col("brand")).alias("branded"))
     pairs = pairs.withColumn("bucket", F.when(F.coalesce("branded", F.lit(False)), 0).otherwise(1)).withColumn("fast_jaccard", F.col("overlap") / (F.col("n_q") + F.col("n_c") - F.col("overlap")))
     own = Window.partitionBy("q_id").orderBy("bucket", F.when(F.col("bucket") == 1, -F.col("fast_jaccard")).otherwise(0.0), "idx")
-    ranked = pairs if budget is None else pairs.withColumn("_rn", F.row_number().over(own)).where(F.col("_rn") <= budget)
-    counted = pairs.groupBy("q_id").agg(F.count("*").alias("candidate_count"))
-    return ranked.join(counted, "q_id").select("q_id", "idx", "bucket", "overlap", "fast_jaccard", "candidate_count")
+    # ranked and counted in one pass over the pairs of a query
+    counted = pairs.withColumn("candidate_count", F.count("*").over(Window.partitionBy("q_id")))
+    ranked = counted if budget is None else counted.withColumn("_rn", F.row_number().over(own)).where(F.col("_rn") <= budget)
+    return ranked.select("q_id", "idx", "bucket", "overlap", "fast_jaccard", "candidate_count")
 
 
 def scored(candidates: DataFrame, queries: DataFrame, index: DataFrame, w_jaccard: float = 0.7, w_sequence: float = 0.3) -> DataFrame:
     """``candidates`` with the fields of the pair score."""
-    full = candidates.join(queries.select("q_id", "q_name"), "q_id").join(index.select("idx", "normalized"), "idx")
-    return full.withColumn("_s", s.score_pairs(w_jaccard, w_sequence)("q_name", "normalized")).select("*", "_s.*").drop("_s")
+    asked = queries.select("q_id", "q_name", s.name_facts(F.col("q_name")).alias("_qf"))
+    known = index.select("idx", "normalized", s.name_facts(F.col("normalized")).alias("_cf"))
+    full = candidates.join(asked, "q_id").join(known, "idx")
+    return s.with_score(full, F.col("_qf"), F.col("_cf"), w_jaccard, w_sequence).drop("_qf", "_cf")
 
 
 def top_candidates(pairs: DataFrame, k: int = 5, by: tuple[str, ...] = ("q_id",)) -> DataFrame:

@@ -1,5 +1,7 @@
 """Table tests of the functions, in one projection each."""
 
+from difflib import SequenceMatcher
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,25 +95,37 @@ def test_bilingual_titles(spark):
     assert [(g["ar"], g["en"]) for g in got] == [("بنادول", "Panadol"), ("بنادول", "Panadol Extra"), (None, "x")]
 
 
-def test_pair_score_rules():
-    same = s.pair_score("panadol 500 mg tab", "panadol 500 mg tab")
-    assert same[0] == 1.0 and same[3] == ["panadol", "500", "mg", "tab"]
-    assert s.pair_score("", "x")[0] == 0 and s.pair_score(None, None)[0] == 0
-    dose = s.pair_score("panadol 500 mg tab", "panadol 250 mg tab")[0]
-    pack = s.pair_score("panadol 500 mg 20 tab", "panadol 500 mg 30 tab")[0]
-    plus = s.pair_score("panadol tab", "panadol plus tab")[0]
-    brand = s.pair_score("panadol tab", "brufen tab")[0]
-    assert brand < dose < pack < 1 and plus < 0.9
+def scores(spark, *pairs):
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, q string, c string")
+    return s.with_score(df, s.name_facts(F.col("q")), s.name_facts(F.col("c"))).orderBy("i").collect()
+
+
+def test_pair_score_rules(spark):
+    got = scores(
+        spark, ("panadol 500 mg tab", "panadol 500 mg tab"), ("", "x"), (None, None), ("panadol 500 mg tab", "panadol 250 mg tab"), ("panadol 500 mg 20 tab", "panadol 500 mg 30 tab"),
+        ("panadol tab", "panadol plus tab"), ("panadol tab", "brufen tab"), ("panadol x9", "panadol 500"), ("aspirin 5/10 mg", "aspirin 10 mg"),
+    )
+    same, empty, none, dose, pack, plus, brand, rest, lists = got
+    assert same["score"] == 1.0 and same["matched"] == ["panadol", "500", "mg", "tab"]
+    assert empty["score"] == none["score"] == 0 and empty["unmatched_catalog"] == ["x"]
+    assert brand["score"] < dose["score"] < pack["score"] < 1 and plus["score"] < 0.9 and lists["score"] > dose["score"]
+    assert (rest["matched"], rest["unmatched_query"], rest["unmatched_catalog"]) == (["panadol"], ["x9"], ["500"])
+    # by hand: weights 3 and 1, both matched; no rest; ratio 1; covered 1.1 stops at 1
+    assert scores(spark, ("alpha beta", "alpha beta"))[0]["jaccard"] == 1.0
+    # 3 of 3 + 1 (gamma left over) + 1 (beta of the entry): 3 / 5; "alpha gamma" and "alpha beta" share 7 + 1 of 21 characters at most
+    one = scores(spark, ("alpha gamma", "alpha beta"))[0]
+    assert one["jaccard"] == 0.6 and one["score"] == pytest.approx(0.7 * 0.6 + 0.3 * SequenceMatcher(None, "alpha gamma", "alpha beta").ratio())
+    assert s.assignment(["a", "a", "bb"], ["a", "c", "a"]) == ([0, 2, -1], [1.0, 1.0, 0.0])
     assert s.token_similarity("panadol", "panadols") == 0.9 and s.token_similarity("1", "120") == 0 and s.token_similarity("a", "a") == 1
 
 
 def test_scores_are_shares(spark):
     df = spark.createDataFrame([("a b c", "b c d"), ("x", "y"), ("", "")], "a string, b string")
-    rows = df.select(s.jaccard(t.tokens(F.col("a")), t.tokens(F.col("b"))).alias("j"), s.sequence_ratio("a", "b").alias("r"), s.score_pairs()("a", "b").alias("s")).collect()
-    assert [r["j"] for r in rows] == [0.5, 0, 0] and all(0 <= r["s"]["score"] <= 1 for r in rows) and rows[0]["r"] == pytest.approx(0.6)
+    rows = df.select(s.jaccard(t.tokens(F.col("a")), t.tokens(F.col("b"))).alias("j"), s.sequence_ratio("a", "b").alias("r")).collect()
+    assert [r["j"] for r in rows] == [0.5, 0, 0] and rows[0]["r"] == pytest.approx(0.6)
+    assert all(0 <= r["score"] <= 1 for r in scores(spark, ("a b c", "b c d"), ("x", "y"), ("1 2 3", "1 2 mg")))
     s.register(spark)
-    assert spark.sql("SELECT seq_ratio('abc', 'abc') r, match_score('panadol', 'panadol').score m").first()[:] == (1.0, 1.0)
-    assert [r["kind"] for r in spark.sql("SELECT * FROM explain_match('panadol x9', 'panadol 500')").collect()] == ["matched", "unmatched_query", "unmatched_catalog"]
+    assert spark.sql("SELECT seq_ratio('abc', 'abc') r, token_assignment('panadol', 'panadol').taken t").first()[:] == (1.0, [0])
 
 
 def test_classification(spark):
