@@ -96,8 +96,9 @@ def first_word_pairs(df: DataFrame, left: str, right: str, order: str) -> DataFr
 
 
 def ambiguous_pairs(df: DataFrame, left: str, right: str) -> DataFrame:
-    """Values of ``left`` with more than one value of ``right``."""
-    g = df.where(F.col(left).isNotNull() & F.col(right).isNotNull()).groupBy(left).agg(F.collect_set(right).alias("_s"))
+    """Values of ``left`` with more than one value of ``right``; distinct pairs are
+    made first, so a group holds distinct values only."""
+    g = df.select(left, right).distinct().where(F.col(left).isNotNull() & F.col(right).isNotNull()).groupBy(left).agg(F.collect_set(right).alias("_s"))
     return g.select(left, F.size("_s").alias("n"), F.array_join(F.array_sort("_s"), "|").alias("values")).where("n > 1")
 
 

@@ -43,7 +43,7 @@ def shaped(products: DataFrame, images: str = "images", variants: str = "variant
 
 def with_gallery(products: DataFrame, enriched: DataFrame, key: str = "id", image: str = "image") -> DataFrame:
     """``gallery``: the enriched images by key, else the product's image, else none."""
-    found = enriched.groupBy(F.col(key).alias("_k")).agg(F.first("images").alias("_images"))
+    found = enriched.groupBy(F.col(key).alias("_k")).agg(F.min_by("images", F.to_json("images")).alias("_images"))
     one = F.when(F.coalesce(F.col(image), F.lit("")) != "", F.array(F.col(image)))
     return products.join(found, F.col(key) == F.col("_k"), "left").withColumn("gallery", F.coalesce("_images", one, F.array().cast("array<string>"))).drop("_k", "_images")
 
@@ -65,11 +65,12 @@ def product_of_file(files: DataFrame, products: DataFrame, image: str, key: str,
 
 
 def reuse(new: DataFrame, cached: DataFrame, key: str, detail: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """``new`` with the details of a former crawl, and what is still to fetch."""
-    old = cached.dropDuplicates([key]).select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in detail])
-    j = new.join(old, F.col(key) == F.col("_k"), "left")
-    have = j.select(*[F.col(f"`{c}`") for c in new.columns], *[F.col(f"_{c}").alias(c) for c in detail])
-    return have.where(F.col(detail[0]).isNotNull()), new.join(cached.select(key).distinct(), key, "left_anti")
+    """``new`` with the details of a former crawl, and what is still to fetch. Of
+    repeated cached keys the least details are taken, whether null or not."""
+    row = F.struct(*[F.col(c) for c in detail])
+    old = cached.groupBy(F.col(key).alias("_k")).agg(F.min_by(row, F.to_json(row)).alias("_row"))
+    have = new.join(old, F.col(key) == F.col("_k")).select(*[F.col(f"`{c}`") for c in new.columns], *[F.col("_row")[c].alias(c) for c in detail])
+    return have, new.join(cached.select(key).distinct(), key, "left_anti")
 
 
 def nested_localized(en: DataFrame, ar: DataFrame, key: str, children: str) -> DataFrame:
