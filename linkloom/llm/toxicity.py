@@ -26,7 +26,6 @@ ignored. Extra columns of the input are kept by ``drop_toxic`` and ignored by
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -37,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import bounded_sample, cut, discard, documents_of
+from linkloom.llm.words import slices
 
 _TOKEN = re.compile(r"\w+")
 DIMENSION = 1 << 20
@@ -47,29 +47,41 @@ class OrdinalModel(NamedTuple):
     weights: np.ndarray  # of each place, with its log-odds multiplied in
     thresholds: np.ndarray
 
-    def margins(self, text: str | None, hashes: _Places) -> np.ndarray:
-        """P(grade > k) for each k."""
-        place, n = features(text, hashes)
-        x = float((self.weights[place].astype(float) * (1 + np.log(n))).sum()) if len(place) else 0.0
-        return 1 / (1 + np.exp(-np.clip(x - self.thresholds, -50, 50)))
+    def chances(self, texts: list[str | None], places: _Places) -> np.ndarray:
+        """P(grade > k) of each text, for each k."""
+        doc, place, n = features(texts, places)
+        x = np.bincount(doc, self.weights[place].astype(float) * (1 + np.log(n)), len(texts))
+        return 1 / (1 + np.exp(-np.clip(x[:, None] - self.thresholds[None, :], -50, 50)))
 
 
 class _Places(dict):
-    """Places of terms, kept for the texts to come; up to a million of them."""
+    """Places of words, kept for the texts to come, up to a million of them: the
+    word's place, its start's place, and whether it has one, in one number."""
 
-    def __missing__(self, term: str) -> int:
+    def __missing__(self, word: str) -> int:
         if len(self) >= 1_000_000:
             self.clear()
-        self[term] = i = xxhash.xxh3_64_intdigest(term) % DIMENSION
+        start = (xxhash.xxh3_64_intdigest("^" + word[:5]) % DIMENSION + DIMENSION) * DIMENSION if len(word) > 5 else 0
+        self[word] = i = xxhash.xxh3_64_intdigest(word) % DIMENSION + start
         return i
 
 
-def features(text: str | None, places: _Places) -> tuple[np.ndarray, np.ndarray]:
-    """Places of a whole text's terms, sorted, and how often each occurs."""
-    words = Counter(_TOKEN.findall(text.lower())) if text else Counter()
-    terms = [*words.items(), *(("^" + w[:5], n) for w, n in words.items() if len(w) > 5)]
-    place, back = np.unique(np.fromiter((places[t] for t, _ in terms), np.int64, len(terms)), return_inverse=True)
-    return place, np.bincount(back, np.fromiter((n for _, n in terms), np.int64, len(terms)), len(place))
+def features(texts: list[str | None], places: _Places) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the text, place and count of every term of whole texts, by text
+    and place."""
+    words: list[str] = []
+    ends = [0]
+    for text in texts:
+        if text:
+            words += _TOKEN.findall(text.lower())
+        ends.append(len(words))
+    ids = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+    base = np.repeat(np.arange(len(texts)), np.diff(ends)) * DIMENSION
+    long = ids >= DIMENSION
+    key = np.concatenate([base + ids % DIMENSION, base[long] + ids[long] // DIMENSION - DIMENSION])
+    key.sort()
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    return key[at] // DIMENSION, key[at] % DIMENSION, np.diff(np.append(at, len(key)))
 
 
 def log_odds(bad: np.ndarray, good: np.ndarray, n_bad: int, n_good: int, prior: float = 10.0) -> np.ndarray:
@@ -131,8 +143,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 6_000)
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = _Places()
         for b in batches:
-            found = [features(t, places) for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["grade"], pa.array([i for i, _ in found], pa.list_(pa.int32())), pa.array([1 + np.log(n) for _, n in found], pa.list_(pa.float32()))], ["doc_id", "grade", "i", "x"])
+            for lo, hi in slices(b["text"]):
+                part = b.slice(lo, hi - lo)
+                doc, place, n = features(part["text"].to_pylist(), places)
+                ends = pa.array(np.searchsorted(doc, np.arange(len(part) + 1)).astype(np.int32))
+                i, x = (pa.ListArray.from_arrays(ends, pa.array(v)) for v in (place.astype(np.int32), (1 + np.log(n)).astype(np.float32)))
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["grade"], i, x], ["doc_id", "grade", "i", "x"])
 
     got = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "grade", "text").mapInArrow(count, "doc_id long, grade int, i array<int>, x array<float>").toArrow()
     discard(marks)
@@ -162,9 +178,11 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, keep: list[str]) -> Dat
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = _Places()
         for b in batches:
-            p = np.array([model.margins(t, places) for t in b["_text"].to_pylist()]).reshape(len(b), -1)
-            out = [pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array((p >= 0.5).sum(axis=1).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([b[k] for k in keep] + out, [*keep, "expected_grade", "p_toxic", "grade"])
+            for lo, hi in slices(b["_text"]):
+                part = b.slice(lo, hi - lo)
+                p = model.chances(part["_text"].to_pylist(), places)
+                out = [pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array((p >= 0.5).sum(axis=1).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([part[k] for k in keep] + out, [*keep, "expected_grade", "p_toxic", "grade"])
 
     return source.mapInArrow(score, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [SCORE_SCHEMA]))
 
