@@ -52,17 +52,17 @@ def status_edits(results: DataFrame, decisions: DataFrame, column: str, key: str
 
 def best_source(hits: DataFrame, query: str, score: str, order: list[str], found: float = 0.60, review: float = 0.40) -> DataFrame:
     """One hit a query: the first by ``order`` that scores ``found`` or more, else
-    the best, of equals the first. With the ten best as ``candidates``."""
+    the best, of equals the first. ``n_candidates``: how many there are, ten at most."""
     place = F.struct(*[F.col(c) for c in order])
     all_ = F.struct(*[F.col(c) for c in hits.columns])
     g = hits.groupBy(query).agg(
         F.min_by(all_, F.when(F.col(score) >= found, place)).alias("_found"),
         F.min_by(all_, F.struct((-F.col(score)).alias("s"), place.alias("o"))).alias("_best"),
-        F.slice(F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), place.alias("o")))), 1, 10).alias("candidates"),
+        F.least(F.count("*"), F.lit(10)).cast("int").alias("n_candidates"),
         F.max(score).alias("_top"),
     )
     pick = F.when(F.col("_top") >= found, F.col("_found")).otherwise(F.col("_best"))
-    return g.withColumn("_p", pick).select(query, *[F.col("_p")[c].alias(c) for c in hits.columns if c != query], s.status_of(F.col("_p")[score], found, review, ("found", "review", "not_found")).alias("discovery_status"), F.size("candidates").alias("n_candidates"))
+    return g.withColumn("_p", pick).select(query, *[F.col("_p")[c].alias(c) for c in hits.columns if c != query], s.status_of(F.col("_p")[score], found, review, ("found", "review", "not_found")).alias("discovery_status"), "n_candidates")
 
 
 def discovered_products(found: DataFrame, domain: str, title: str) -> DataFrame:

@@ -67,9 +67,11 @@ def _csv(spark: SparkSession, path: str | list[str], sep: str) -> DataFrame:
     return spark.read.schema(schema).options(header=True, sep=sep, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD).csv(path)
 
 
-def bad_rows(sheet: DataFrame) -> DataFrame:
-    """expected, found, record of the rows that do not fit the header."""
-    return sheet.where(F.col(BAD).isNotNull()).select(F.lit(len(sheet.columns) - 1).alias("expected"), F.size(F.split(BAD, "[,\t;|]")).alias("found"), F.col(BAD).alias("record"))
+def bad_rows(sheet: DataFrame, sep: str = ",") -> DataFrame:
+    """expected, found, record of the rows that do not fit the header. Fields are
+    counted at the sheet's own delimiter, outside quotes."""
+    bare = F.regexp_replace(BAD, r'"(?:[^"]|"")*"', "")
+    return sheet.where(F.col(BAD).isNotNull()).select(F.lit(len(sheet.columns) - 1).alias("expected"), F.size(F.split(bare, "\\Q" + sep + "\\E", -1)).alias("found"), F.col(BAD).alias("record"))
 
 
 def header_role(columns: Sequence[str], candidates: Sequence[str]) -> str | None:
