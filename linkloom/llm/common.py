@@ -66,10 +66,10 @@ def bounded_sample(df: DataFrame, key: str, bound: int, n_rows: int) -> DataFram
 
 
 def _is_forest_of_stars(e: DataFrame) -> bool:
-    """Whether every u has one v and no v is a u."""
-    if not e.groupBy("u").count().where("count > 1").isEmpty():
-        return False
-    return e.select("v").distinct().join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+    """Whether every u has one v and no v is a u; one pass over the ends of ``e``."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("as_u"), F.lit(0).alias("as_v")).union(e.select("v", F.lit(0), F.lit(1)))
+    held = ends.groupBy("x").agg(F.sum("as_u").alias("n"), F.max("as_v").alias("low"))
+    return held.where((F.col("n") > 1) | ((F.col("n") > 0) & (F.col("low") > 0))).isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -85,9 +85,10 @@ def components(edges: DataFrame) -> DataFrame:
     e = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges")
     while not _is_forest_of_stars(e):
         # large star: every larger neighbour of u is linked to the least of u and its neighbours
+        # (one row an edge, equal rows included: the small star makes them distinct)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
         # small star: u and its smaller neighbours are linked to the least of these
         least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()

@@ -252,11 +252,16 @@ def block_links(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD
     return member.union(asker.select(member.columns)).groupBy("cluster", "mi", "qi").applyInArrow(compare, "src long, dst long").where("src <> dst")
 
 
-def _main_parts(parted: DataFrame, group: str) -> DataFrame:
-    """The largest part of each group, with one of its nodes."""
-    sizes = cut(parted.groupBy(group, "part").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64(F.lit(1), F.col("node"))).alias("rep")), "sizes")
+def _part_sizes(parted: DataFrame, group: str) -> DataFrame:
+    """group, part, n, rep: the nodes of each part of a group, and one of them."""
+    return parted.groupBy(group, "part").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64(F.lit(1), F.col("node"))).alias("rep"))
+
+
+def _main_parts(sizes: DataFrame, group: str) -> DataFrame:
+    """group, main, to, size: the largest part of each group with its node, and
+    the nodes of the whole group."""
     best = sizes.groupBy(group).agg(F.max(F.struct("n", "part", "rep")).alias("b"), F.sum("n").alias("size"))
-    return cut(sizes.join(cut(best, "best"), group).select(group, "part", "rep", F.col("b.part").alias("main"), F.col("b.rep").alias("to"), "size"), "main")
+    return best.select(group, F.col("b.part").alias("main"), F.col("b.rep").alias("to"), "size")
 
 
 def linked_nodes(buckets: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, small: int = 32) -> DataFrame:
@@ -283,16 +288,17 @@ def linked_nodes(buckets: DataFrame, texts: DataFrame, threshold: float = THRESH
     part, rows = unsettled()
     if rows.isEmpty():
         return part
-    main = _main_parts(rows, "key")
-    pairs = main.where("part <> main").select(F.least("rep", "to").alias("src"), F.greatest("rep", "to").alias("dst")).distinct()
+    sizes = cut(_part_sizes(rows, "key"), "sizes")
+    main = cut(_main_parts(sizes, "key"), "main")
+    pairs = sizes.join(main, "key").where("part <> main").select(F.least("rep", "to").alias("src"), F.greatest("rep", "to").alias("dst")).distinct()
     fresh = cut(pairs.join(asked, ["src", "dst"], "left_anti"), "fresh")
     asked, links = asked.union(fresh), links.union(cut(similar(fresh, near, threshold, width), "found"))
     # what is still apart, whole: small buckets pair by pair, large ones in blocks
-    discard(part, rows, main)
+    discard(part, rows, sizes, main)
     part, rows = unsettled()
     if rows.isEmpty():
         return part
-    main = cut(_main_parts(rows, "key").select("key", "main", "size").distinct(), "mains")
+    main = cut(_main_parts(_part_sizes(rows, "key"), "key").select("key", "main", "size"), "mains")
     rows = cut(rows.join(main, "key"), "rows")
     few = rows.where(F.col("size") <= small)
     pairs = few.where("part <> main").select("key", F.col("node").alias("x"), F.col("part").alias("of_x")).join(few, "key").where("of_x <> part").select(F.least("x", "node").alias("src"), F.greatest("x", "node").alias("dst")).distinct()
@@ -302,7 +308,7 @@ def linked_nodes(buckets: DataFrame, texts: DataFrame, threshold: float = THRESH
     if not many.isEmpty():
         hub = cut(many.groupBy("key").agg(F.min("node").alias("hub")), "hubs")
         cluster = cut(components(many.join(hub, "key").select(F.col("node").alias("src"), F.col("hub").alias("dst"))).join(part, "node").select(F.col("component").alias("cluster"), "node", "part"), "clusters")
-        largest = cut(_main_parts(cluster, "cluster").select("cluster", "main").distinct(), "largest")
+        largest = cut(_main_parts(_part_sizes(cluster, "cluster"), "cluster").select("cluster", "main"), "largest")
         links = links.union(cut(block_links(cluster.join(largest, "cluster").select("cluster", "node", "part", (F.col("part") != F.col("main")).alias("asks")), near, threshold, width), "blocks"))
     return _parts(nodes, links)
 
