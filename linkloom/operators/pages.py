@@ -15,6 +15,13 @@ from linkloom.functions import text as t
 _LD = r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"
 _OFFER = "struct<price:string,priceCurrency:string,gtin13:string,gtin:string>"
 _PRODUCT = f"struct<`@type`:string,name:string,image:string,sku:string,gtin13:string,gtin14:string,gtin12:string,gtin8:string,gtin:string,mpn:string,brand:string,offers:{_OFFER}>"
+# Labels of table rows by role, texts of brand links that name no brand.
+LABELS = {
+    "title_en": ("الاسم التجاري", "trade name", "product name", "name"), "title_ar": ("الاسم العربي", "arabic name"),
+    "price": ("السعر الحالي الجديد", "current price", "new price", "price"), "brand": ("الشركة المنتجة", "manufacturer", "brand", "company"),
+    "barcode": ("رمز الباركود", "barcode", "ean", "gtin"),
+}
+NO_BRANDS = ("brand", "brands", "all brands", "جميع البرندات")
 _BAD_IMAGE = r"(?i)logo|placeholder|sprite|icon|pixel|blank|\.svg|data:"
 
 
@@ -62,43 +69,22 @@ def ld_gtins(product: Column) -> Column:
     return F.filter(F.array(*[product[k] for k in ("gtin13", "gtin14", "gtin12", "gtin8", "gtin", "sku", "mpn")], offers["gtin13"], offers["gtin"]), lambda x: x.isNotNull())
 
 
-def tables_of(pages: DataFrame) -> DataFrame:
-    """page_id, label, value: two-cell rows of HTML tables, by a real parser."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, a, b) for i, h in zip(pdf["page_id"], pdf["html"]) for a, b in _table_rows(h or "")]
-            yield pd.DataFrame(rows, columns=["page_id", "label", "value"])
-
-    return pages.select("page_id", "html").where(F.col("html").contains("<t")).mapInPandas(parse, "page_id long, label string, value string")
-
-
-class _Rows(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__()
-        self.rows: list[list[str]] = []
-        self.cell: list[str] | None = None
+def table_rows(html: Column) -> Column:
+    """array of struct(label, value): the first two cells of every table row."""
+    rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>.*?</tr>"), F.lit(0))
+    cells = F.transform(rows, lambda r: F.regexp_extract_all(r, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)))
+    return F.transform(F.filter(cells, lambda c: F.size(c) >= 2), lambda c: F.struct(plain(F.get(c, 0)).alias("label"), plain(F.get(c, 1)).alias("value")))
 
-    def handle_starttag(self, tag, attrs):
-        if tag == "tr":
-            self.rows.append([])
-        elif tag in ("td", "th") and self.rows:
-            self.cell = []
-
-    def handle_endtag(self, tag):
-        if tag in ("td", "th") and self.cell is not None and self.rows:
-            self.rows[-1].append(" ".join("".join(self.cell).split()))
-            self.cell = None
 
-    def handle_data(self, data):
-        if self.cell is not None:
-            self.cell.append(data)
+def tables_of(pages: DataFrame) -> DataFrame:
+    """page_id, label, value: the first two cells of every table row."""
+    return pages.where(F.col("html").contains("<t")).select("page_id", F.explode(table_rows(F.col("html"))).alias("r")).select("page_id", "r.label", "r.value")
 
 
-def _table_rows(html: str) -> list[tuple[str, str]]:
-    p = _Rows()
-    p.feed(html)
-    return [(r[0], r[1]) for r in p.rows if len(r) >= 2]
+def table_value(rows: Column, role: str) -> Column:
+    """Value of the first row whose label holds one of the role's labels."""
+    hit = F.filter(rows, lambda r: F.lower(r["label"]).rlike("|".join(LABELS[role])))
+    return t.present(F.get(hit, 0)["value"])
 
 
 def anchors(pages: DataFrame) -> DataFrame:
@@ -136,24 +122,47 @@ def images(html: Column, product: Column | None = None) -> Column:
     return F.array_distinct(F.filter(found, lambda u: ~u.rlike(_BAD_IMAGE)))
 
 
+def shown_price(html: Column) -> Column:
+    """Price beside a currency sign in the page's text."""
+    return t.page_price(F.regexp_extract(plain(html), r"(?i)(?:EGP|USD|EUR|LE|\$|€)\s*(\d[\d,]*(?:\.\d+)?)", 1))
+
+
 def price(html: Column) -> Column:
     """Price by meta tag, itemprop, then a currency text."""
-    shown = F.regexp_extract(plain(html), r"(?i)(?:EGP|USD|EUR|LE|\$|€)\s*(\d[\d,]*(?:\.\d+)?)", 1)
-    return F.coalesce(t.page_price(meta(html, "product:price:amount")), t.page_price(itemprop(html, "price")), t.page_price(shown))
+    return F.coalesce(*[t.page_price(meta(html, f"{x}:price:amount")) for x in ("product", "og")], t.page_price(itemprop(html, "price")), shown_price(html))
+
+
+def _brand_link(html: Column) -> Column:
+    texts = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*href=[\"'][^\"']*brand[^\"']*[\"'][^>]*>(.*?)</a>"), F.lit(1)), plain)
+    return F.get(F.filter(texts, lambda x: (x != "") & ~F.lower(x).isin(*NO_BRANDS)), 0)
 
 
 def page_products(pages: DataFrame, site: str = "") -> DataFrame:
-    """One row a page: titles, price, image, brand and barcode by their chains."""
+    """One row a page, each field by its chain, the first that is present.
+
+    title: table, heading that is no site title, ``og:title``, linked data, the
+    page's title; a title of two languages is split. price: meta tags, itemprop,
+    linked data, table, currency text. image: meta tags, linked data, the first good
+    image. brand: table, linked data, itemprop, brand link. barcode: the first valid
+    of table, linked data and itemprop. Meta tags and marked elements are cut out of
+    the page once, and the chains read these."""
     ld = ld_products(pages).groupBy("page_id").agg(F.min_by("product", "ord").alias("ld"))
-    j = pages.join(ld, "page_id", "left")
-    html, ldc = F.col("html"), F.col("ld")
-    title = t.clean_title(t.first_present(tag_text(html, "h1"), tag_text(html, "h2"), meta(html, "og:title"), ldc["name"], tag_text(html, "title")), site)
-    two = t.bilingual(title)
-    gtin = F.get(F.filter(ld_gtins(ldc), lambda g: t.valid_gtin(g)), 0)
+    every = lambda pattern: F.concat_ws("\n", F.regexp_extract_all("html", F.lit(pattern), F.lit(0)))
+    j = pages.join(ld, "page_id", "left").withColumn("_meta", every(r"(?is)<meta\b[^>]*>")).withColumn("_marked", every(r"(?is)<[a-z][^>]*\bitemprop=[^>]*>[^<]*<"))
+    j = j.withColumn("_rows", table_rows(F.col("html"))).withColumn("_h1", t.clean_title(tag_text(F.col("html"), "h1"), site)).withColumn("_h2", t.clean_title(tag_text(F.col("html"), "h2"), site))
+    html, ldc, metas, marked, rows, h1, h2 = (F.col(c) for c in ("html", "ld", "_meta", "_marked", "_rows", "_h1", "_h2"))
+    og, head = meta(metas, "og:title"), F.when(~t.site_title(h1), h1)
+    title = t.clean_title(t.first_present(table_value(rows, "title_en"), head, h2, og, ldc["name"], h1, tag_text(html, "title")), site)
+    j = j.withColumn("_title", title)
+    two, prices = t.bilingual(F.col("_title")), [t.page_price(meta(metas, f"{x}:price:amount")) for x in ("product", "og")]
+    arabic = [table_value(rows, "title_ar"), F.when(t.has_arabic(h2), h2), two["ar"], t.bilingual(og)["ar"], F.when(t.has_arabic(ldc["name"]), ldc["name"])]
+    codes = F.concat(F.array(table_value(rows, "barcode")), F.coalesce(ld_gtins(ldc), F.array().cast("array<string>")), F.array(itemprop(marked, "gtin13"), itemprop(marked, "sku")))
+    pictures = [*[t.present(meta(metas, x)) for x in ("og:image:secure_url", "og:image", "twitter:image")], t.present(ldc["image"])]
     return j.select(
-        "page_id", "url", t.domain_of(F.col("url")).alias("domain"), title.alias("title"), t.first_present(two["en"], title).alias("title_en"), two["ar"].alias("title_ar"),
-        F.coalesce(t.page_price(ldc["offers"]["price"]), price(html)).alias("price"), F.coalesce(t.present(meta(html, "og:image")), t.present(ldc["image"]), F.get(images(html), 0)).alias("image"),
-        t.first_present(ldc["brand"], itemprop(html, "brand")).alias("brand"), F.coalesce(gtin, t.first_valid_gtin(itemprop(html, "gtin13"), itemprop(html, "sku"))).alias("barcode"),
+        "page_id", "url", t.domain_of(F.col("url")).alias("domain"), F.col("_title").alias("title"), t.first_present(two["en"], F.col("_title")).alias("title_en"), t.first_present(*arabic).alias("title_ar"),
+        F.coalesce(*prices, t.page_price(itemprop(marked, "price")), t.page_price(ldc["offers"]["price"]), t.page_price(table_value(rows, "price")), shown_price(html)).alias("price"),
+        F.coalesce(*[F.when(~x.rlike(_BAD_IMAGE), x) for x in pictures], F.get(images(html), 0)).alias("image"),
+        t.first_present(table_value(rows, "brand"), ldc["brand"], itemprop(marked, "brand"), _brand_link(html)).alias("brand"), F.trim(F.get(F.filter(codes, t.valid_gtin), 0)).alias("barcode"),
         platform(html, F.col("url")).alias("platform"),
     )
 
