@@ -69,9 +69,11 @@ def _csv(spark: SparkSession, path: str | list[str], sep: str) -> DataFrame:
 
 def bad_rows(sheet: DataFrame, sep: str = ",") -> DataFrame:
     """expected, found, record of the rows that do not fit the header. Fields are
-    counted at the sheet's own delimiter, outside quotes."""
+    counted at the sheet's own delimiter, outside quotes. A field is read beside the
+    record, as Spark parses no file for the bad record alone."""
+    parsed = F.length(F.concat_ws("", f"`{sheet.columns[0]}`")) >= 0
     bare = F.regexp_replace(BAD, r'"(?:[^"]|"")*"', "")
-    return sheet.where(F.col(BAD).isNotNull()).select(F.lit(len(sheet.columns) - 1).alias("expected"), F.size(F.split(bare, "\\Q" + sep + "\\E", -1)).alias("found"), F.col(BAD).alias("record"))
+    return sheet.where(F.col(BAD).isNotNull() & parsed).select(F.lit(len(sheet.columns) - 1).alias("expected"), F.size(F.split(bare, "\\Q" + sep + "\\E", -1)).alias("found"), F.col(BAD).alias("record"))
 
 
 def header_role(columns: Sequence[str], candidates: Sequence[str]) -> str | None:
