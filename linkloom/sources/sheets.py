@@ -62,9 +62,10 @@ def read_sheet_files(spark: SparkSession, path: str, sep: str) -> DataFrame:
 
 
 def _csv(spark: SparkSession, path: str | list[str], sep: str) -> DataFrame:
+    # rows are parsed whole, whatever is selected: else a bad one may pass for good
     header = spark.read.option("header", True).option("sep", sep).csv(path).columns
     schema = ", ".join(f"`{c}` string" for c in [*header, BAD])
-    return spark.read.schema(schema).options(header=True, sep=sep, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD).csv(path)
+    return spark.read.schema(schema).options(header=True, sep=sep, mode="PERMISSIVE", columnPruning=False, columnNameOfCorruptRecord=BAD).csv(path)
 
 
 def bad_rows(sheet: DataFrame, sep: str = ",") -> DataFrame:
