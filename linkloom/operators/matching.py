@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from linkloom.functions import dictionaries as d
 from linkloom.functions import similarity as s
 from linkloom.functions import text as t
+from linkloom.sources.shared import written
 
 BUDGET = 200
 
@@ -91,10 +92,28 @@ def top_candidates(pairs: DataFrame, k: int = 5, by: tuple[str, ...] = ("q_id",)
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def best_scored(candidates: DataFrame, queries: DataFrame, index: DataFrame, k: int = 5) -> DataFrame:
+    """The best k of each query with the fields of the score; the same rows as
+    ``top_candidates(scored(...))``. A bound of every pair's score comes from columns.
+    The k pairs of the highest bound are scored first; of the others only those
+    whose bound reaches the least of these scores go through Python."""
+    asked = queries.select("q_id", s.name_facts(F.col("q_name")).alias("_qf"))
+    known = index.select("idx", s.name_facts(F.col("normalized")).alias("_cf"))
+    pairs = candidates.join(asked, "q_id").join(known, "idx")
+    bounded = s.with_bound(pairs, F.col("_qf"), F.col("_cf")).drop("_qf", "_cf")
+    first = Window.partitionBy("q_id").orderBy(F.desc("bound"), "idx")
+    bounded = written(bounded.withColumn("_first", F.row_number().over(first) <= k), "bounded")
+    seeds = written(scored(bounded.where("_first"), queries, index), "seeds")
+    least = seeds.groupBy("q_id").agg(F.min("score").alias("_least"))
+    rest = bounded.where(~F.col("_first")).join(least, "q_id").where(F.col("bound") >= F.col("_least") - 1e-6).drop("_least")
+    return top_candidates(seeds.unionByName(scored(rest, queries, index)), k).drop("bound", "_first")
+
+
 def fuzzy_matches(names: DataFrame, index: DataFrame, k: int = 5, matched: float = 0.60, review: float = 0.40, budget: int = BUDGET, max_share: float = 1.0) -> DataFrame:
     """name, matches (best first) of every distinct name; each is matched once."""
     queries = names.select("name").where("name is not null").distinct().withColumn("q_id", F.xxhash64("name")).withColumn("q_name", F.col("name")).withColumn("q_tokens", t.tokens(F.col("name"))).where((F.size("q_tokens") > 0) & ~skipped(F.col("name")))
-    best = top_candidates(scored(token_candidates(queries, index, budget, max_share), queries, index), k)
+    queries = written(queries, "queries")  # read four times below
+    best = best_scored(token_candidates(queries, index, budget, max_share), queries, index, k)
     match = F.struct("rank", "score", s.status_of(F.col("score"), matched, review).alias("status"), "idx", "normalized", "jaccard", "sequence", "matched", "unmatched_query", "unmatched_catalog", "candidate_count")
     return best.groupBy("q_name").agg(F.array_sort(F.collect_list(match)).alias("matches")).withColumnRenamed("q_name", "name")
 

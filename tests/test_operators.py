@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from linkloom.functions import similarity
 from linkloom.operators import enrichment, matching, pages, results, tables
 from linkloom.plans import linking
 from linkloom.sources import catalog, sheets
@@ -165,3 +166,16 @@ def test_search_forms_beyond_the_first(spark):
     ]
     got = {r["domain"]: r["template"] for r in pages.search_forms(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {"a.example": "http://a.example/search?lang=en&Q={query}", "b.example": "http://b.example/shop?search={query}", "e.example": "http://s.example/shop?text={query}"}
+
+
+def test_bound_holds_and_the_best_are_the_same(spark):
+    words = ["panadol", "panadole", "pandol", "extra", "plus", "co", "tab", "tabs", "500", "50", "mg", "gel", "gell", "cream", "a", "ab", "qqqq"]
+    rows = spark.range(400).select(F.col("id").alias("q_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.col("id") % 5), lambda i: F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(F.xxhash64(F.col("id"), i), F.lit(len(words))) + 1).cast("int"))), " ").alias("q_name"))
+    queries = rows.withColumn("q_tokens", F.split("q_name", " "))
+    index = matching.catalog_index(rows.select(F.concat_ws(" ", "q_name", F.lit("mg")).alias("name"), F.col("q_id").alias("key")), "name", "key")
+    candidates = matching.token_candidates(queries, index, 60)
+    facts = matching.scored(candidates, queries, index)
+    bounded = similarity.with_bound(facts, similarity.name_facts(F.col("q_name")), similarity.name_facts(F.col("normalized")))
+    assert bounded.count() > 10_000 and bounded.where("bound < score - 1e-9").count() == 0
+    plain, best = matching.top_candidates(matching.scored(candidates, queries, index), 5), matching.best_scored(candidates, queries, index, 5)
+    assert best.select(plain.columns).exceptAll(plain).isEmpty() and plain.exceptAll(best.select(plain.columns)).isEmpty()
