@@ -531,7 +531,10 @@ def page_products(spark: SparkSession, sf: str) -> DataFrame:
     return pages.page_products(table(spark, sf, "pages"))
 
 
-@query()
+@query(r"""
+WITH t AS (SELECT unnest(['h1', 'h2', 'title', 'article', 'nav', 'footer', 'p', 'li', 'a', 'img', 'table', 'form']) AS tag),
+e AS (SELECT regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\.', '') AS domain, tag, len(regexp_extract_all(html, '(?i)<' || tag || '\b')) AS k FROM pages, t)
+SELECT domain, tag, count(*) AS pages, sum(k)::BIGINT AS n FROM e WHERE k > 0 GROUP BY 1, 2""")
 def page_elements(spark: SparkSession, sf: str) -> DataFrame:
     return pages.element_profile(table(spark, sf, "pages"))
 
