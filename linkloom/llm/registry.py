@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from linkloom.llm import dart_minhash, decontamination, host_reputation, language, mixing, passages, personal_data, quality, toxicity, vectors
+from linkloom.llm import (
+    byte_bpe, dart_minhash, decontamination, hard_negatives, host_reputation, language, mixing, passages, periodic_runs, personal_data, quality, toxicity, vectors,
+)
 
 QUERIES = {
     "op1_entropy_mix": mixing.op1_entropy_mix,
@@ -15,6 +17,9 @@ QUERIES = {
     "op8_dart_minhash": dart_minhash.op8_dart_minhash,
     "op9_phrase_automata": passages.op9_phrase_automata,
     "op10_weak_supervision": personal_data.op10_weak_supervision,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_byte_bpe": byte_bpe.op12_byte_bpe,
+    "op13_anchor_tree_negatives": hard_negatives.op13_anchor_tree_negatives,
 }
 
 ORACLE_SQL = {
@@ -22,4 +27,5 @@ ORACLE_SQL = {
     "op5_multi_index": vectors.ORACLE_SQL,
     "op8_dart_minhash": dart_minhash.ORACLE_SQL,
     "op9_phrase_automata": passages.ORACLE_SQL,
+    "op13_anchor_tree_negatives": hard_negatives.ORACLE_SQL,
 }

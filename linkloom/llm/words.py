@@ -69,6 +69,14 @@ def spans_hash(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, salt: int = 0) ->
     return mix((total[hi] - total[lo]) * q[lo] + (hi - lo).astype(np.uint64), salt)
 
 
+def bytes_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of data[starts:ends] for each pair."""
+    p, q = powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_TABLE[data] * p[: len(data)], out=total[1:])
+    return mix((total[ends] - total[starts]) * q[starts] + (ends - starts).astype(np.uint64))
+
+
 def slices(column: pa.Array) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column of about SLICE_BYTES each."""
     off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
@@ -105,8 +113,4 @@ def words_of(column: pa.Array, hashed: bool = True) -> Words:
     doc = np.repeat(np.arange(n), np.diff(first))
     if not hashed:
         return Words(data, starts, ends, doc, first, np.empty(0, np.uint64))
-    p, q = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * p[: len(data)], out=total[1:])
-    h = mix((total[ends] - total[starts]) * q[starts] + (ends - starts).astype(np.uint64))
-    return Words(data, starts, ends, doc, first, h)
+    return Words(data, starts, ends, doc, first, bytes_hash(data, starts, ends))
