@@ -50,8 +50,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 22, 5
 #: The first layer of ranks is [0, 2**FIRST).
 FIRST = -3
-#: Stands for a null id, after all others.
-NO_ID = 1 << 62
+#: An id that orders and joins like any other: null ids come after all others.
+ID = "struct<none:boolean,id:bigint>"
 
 
 def shingles(w: Words, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +141,8 @@ def _throw(h: np.ndarray, weight: np.ndarray, layer: int, low: float, high: floa
 def _identified(docs: DataFrame) -> DataFrame:
     """id (never null), hash (128 bits of the exact text), text."""
     both = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), both.alias("hash"), "text")
+    own = F.col("doc_id").cast("long")
+    return docs.select(F.struct(own.isNull().alias("none"), F.coalesce(own, F.lit(0)).alias("id")).alias("id"), both.alias("hash"), "text")
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE) -> DataFrame:
@@ -161,7 +162,7 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int =
                 lists = pa.array([None if e else k for e, k in zip(none, keys.view(np.int64), strict=True)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([b["id"].slice(i, j - i), b["hash"].slice(i, j - i), lists], ["id", "hash", "keys"])
 
-    return _identified(docs).mapInArrow(sketch, "id long, hash struct<a:bigint,b:bigint>, keys array<long>")
+    return _identified(docs).mapInArrow(sketch, f"id {ID}, hash struct<a:bigint,b:bigint>, keys array<long>")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE) -> DataFrame:
@@ -329,7 +330,7 @@ def near_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshol
     discard(classes, part, least)
     found = worded.select("id", "hash").join(named, "hash").select("id", "copy_of", "class_id")
     alone = sketch.where("keys is null").select("id", F.col("id").alias("copy_of"), F.col("id").alias("class_id"))
-    return found.union(alone).select(*[F.nullif(F.col(c), F.lit(NO_ID)).alias(n) for c, n in (("id", "doc_id"), ("copy_of", "copy_of"), ("class_id", "class_id"))])
+    return found.union(alone).select(*[F.when(~F.col(c)["none"], F.col(c)["id"]).alias(n) for c, n in (("id", "doc_id"), ("copy_of", "copy_of"), ("class_id", "class_id"))])
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:

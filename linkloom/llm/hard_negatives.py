@@ -134,6 +134,8 @@ def _clip(values: list) -> np.ndarray:
 def top_same_label(anchors: pd.DataFrame, rows: pd.DataFrame, k: int, scale: int) -> pd.DataFrame:
     """row, vec_id, other, score: the k best other rows of each anchor's label."""
     out: list[tuple] = []
+    if anchors.empty or rows.empty:
+        return pd.DataFrame({c: np.empty(0, np.int64) for c in ("row", "vec_id", "other", "score")})
     a, x = scaled(anchors["v"], scale), scaled(rows["v"], scale)
     # one label's candidates after the other; its anchors have a tree of their own
     for label in anchors["label"].unique():
@@ -159,6 +161,8 @@ def top_in_windows(anchors: pd.DataFrame, rows: pd.DataFrame, k: int, scale: int
     """row, nth, other, score: the k best rows of another label in the window of each
     positive of each anchor. ``anchors`` has the positives' scores as lists."""
     out: list[tuple] = []
+    if anchors.empty or rows.empty:
+        return pd.DataFrame({c: np.empty(0, np.int64) for c in ("row", "nth", "other", "score")})
     label_a, label_x = anchors["label"].to_numpy(), rows["label"].to_numpy()
     row_a, id_x, asked = anchors["row"].to_numpy(), rows["vec_id"].to_numpy(), anchors["scores"].to_list()
     scores = _Scores(scaled(anchors["v"], scale), scaled(rows["v"], scale))

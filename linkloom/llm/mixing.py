@@ -132,7 +132,9 @@ def planned(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CA
     """size, source_size, target, rate, converged, copies of every row of
     ``docs`` (doc_id, source, text), with ``keep`` as column ``row``."""
     key = _key_of(F.col("source").cast("string"))
-    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), size_of(F.col("text")).alias("size"), (F.lit(True) if keep is None else keep).alias("row")), "sized")
+    # rows of one id are told apart by what they hold, so that reruns deal copies to the same rows
+    own = F.xxhash64("text") if keep is None else F.xxhash64(F.to_json(keep, {"ignoreNullFields": "false"}))
+    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), own.alias("own"), key.alias("key"), size_of(F.col("text")).alias("size"), (F.lit(True) if keep is None else keep).alias("row")), "sized")
     hist = cut(sized.groupBy("key", "size").agg(F.count("*").alias("n")), "sizes")
     fitted = newton_multipliers(hist, with_targets(sources_of(hist, weights, cap), cap), cap)
     # the count of parts of copies owed by all longer sizes of the source; a row a size, not a document
@@ -143,11 +145,11 @@ def planned(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CA
     plan = plan.withColumn("owed", F.coalesce(F.sum(F.col("n") * F.col("part")).over(longer), F.lit(0))).withColumn("deals", F.ceil(F.col("n") / part_rows).cast("int"))
     plan = cut(plan.select("key", "size", "source_size", "target", "rate", "converged", "part", "owed", "deals"), "plan")
     # parts of one source and size, each with the number of documents in those before it
-    joined = sized.join(plan, ["key", "size"]).withColumn("deal", F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), F.col("deals")))
+    joined = sized.join(plan, ["key", "size"]).withColumn("deal", F.pmod(F.xxhash64(F.lit(5), F.col("doc_id"), F.col("own")), F.col("deals")))
     deals = joined.where("deals > 1").groupBy("key", "size", "deal").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("key", "size").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1))
     offsets = cut(deals.select("key", "size", "deal", F.coalesce(before, F.lit(0)).alias("before")), "deals")
-    number = F.row_number().over(Window.partitionBy("key", "size", "deal").orderBy(F.xxhash64(F.lit(6), F.col("doc_id")), "doc_id")).cast("long")
+    number = F.row_number().over(Window.partitionBy("key", "size", "deal").orderBy(F.xxhash64(F.lit(6), F.col("doc_id")), "doc_id", "own")).cast("long")
     counted = joined.join(offsets, ["key", "size", "deal"], "left").withColumn("number", F.coalesce("before", F.lit(0)) + number)
     more = F.expr(f"({PARTS // 2} + owed + number * part) div {PARTS} - ({PARTS // 2} + owed + (number - 1) * part) div {PARTS}")
     copies = F.when(F.col("size") == 0, 1).otherwise(F.floor("rate") + more).cast("long")

@@ -91,6 +91,14 @@ def test_mix_edges(spark):
     assert {r["doc_id"]: r["n"] for r in got if r["n"]} == {r["doc_id"]: r["count"] for r in mixing.take_mix(docs).groupBy("doc_id").count().collect()}
 
 
+def test_mix_reruns_agree_for_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    rows = [(None if i % 3 else 7, " ".join(f"w{rng.integers(50)}" for _ in range(6)), f"s{i % 3}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, other = (sorted(map(str, mixing.take_mix(docs.repartition(n, F.xxhash64("text", F.lit(n)))).collect())) for n in (2, 7))
+    assert one == other
+
+
 # urls
 
 
@@ -514,6 +522,11 @@ def test_near_repeated_and_null_ids(spark):
     assert sorted(str(r["doc_id"]) for r in dart_minhash.keep_first(docs).collect()) == ["1", "3", "None", "None"]
     extra = spark.createDataFrame([(1, "a b c d e f", x) for x in (3, 2, 5)], "doc_id long, text string, n int")
     assert [r["n"] for r in dart_minhash.keep_first(extra).collect()] == [2]
+    top = 1 << 62  # as large as ids get, with and without a copy of no id
+    large = spark.createDataFrame([(top, "a b c d e f"), (top + 5, "q r s t u v"), (None, "q r s t u v"), (top + 9, "a b c d e f")], "doc_id long, text string")
+    found = sorted(((r["doc_id"], r["copy_of"], r["class_id"]) for r in dart_minhash.near_classes(large).collect()), key=str)
+    assert found == [(top, top, top), (top + 5, top + 5, top + 5), (top + 9, top, top), (None, top + 5, top + 5)]
+    assert sorted(str(r["doc_id"]) for r in dart_minhash.keep_first(large).collect()) == [str(top), str(top + 5), "None"]
     got = dart_minhash.near_classes(docs)
     assert got.count() == 6 and {r["class_id"] for r in got.where("doc_id in (1, 2)").collect()} == {1}
     assert dart_minhash.near_classes(docs.limit(0)).count() == 0
