@@ -54,13 +54,17 @@ STOP_WORDS = ("مضاد", "حيوي", "مسكن", "للالام", "خافض", "
 
 # Tokens of low weight in scores, and queries that are not matched.
 LOW_WEIGHT = (
-    "protect plus slim film coated 48h 72h deodorant slow release sustained extra long thick soft gentle daily care advanced ultra pro max fragrance free natural "
-    "active total original cotton cottony breathable sensitive growth nourishing caffeine anti dandruff fresh cool dry skin essentials travel size random color "
-    "choice value pack protection intensive instant granules in topical flavor mouthwash toothpaste advance stage prefilled fridge powder oral sugar delayed "
-    "prolonged infantile action double paint wet wipes liquid syrup suspension solution injectable cream gel ointment drops spray sachet lotion suppository supp "
-    "eff mg mcg ml gm iu kg for and with the of to a an antispasmodic abdominal pain discomfort cramps relief thrombosis prevent dizziness circulatory disorders "
-    "allergies antibiotic infusion analgesic antipyretic antihistamine antiinflammatory antibacterial antifungal antiviral treatment therapy formula professional "
-    "medical acute chronic forte sr xr er lp od ds comp ha ec fl iv im sc"
-).split()
+    "protect", "plus", "slim", "film", "coated", "48h", "72h", "deodorant", "slow", "release", "sustained", "extra", "long", "thick", "soft",
+    "gentle", "daily", "care", "advanced", "ultra", "pro", "max", "fragrance", "free", "natural", "active", "total", "original", "cotton", "cottony",
+    "breathable", "sensitive", "growth", "nourishing", "caffeine", "anti", "dandruff", "fresh", "cool", "dry", "skin", "essentials", "travel",
+    "size", "random", "color", "choice", "value", "pack", "protection", "intensive", "instant", "granules", "in", "topical", "flavor", "mouthwash",
+    "toothpaste", "advance", "stage", "prefilled", "fridge", "powder", "oral", "sugar", "delayed", "prolonged", "infantile", "action", "double",
+    "paint", "wet", "wipes", "liquid", "syrup", "suspension", "solution", "injectable", "cream", "gel", "ointment", "drops", "spray", "sachet",
+    "lotion", "suppository", "supp", "eff", "mg", "mcg", "ml", "gm", "iu", "kg", "for", "and", "with", "the", "of", "to", "a", "an", "antispasmodic",
+    "abdominal", "pain", "discomfort", "cramps", "relief", "thrombosis", "prevent", "dizziness", "circulatory", "disorders", "allergies",
+    "antibiotic", "infusion", "analgesic", "antipyretic", "antihistamine", "antiinflammatory", "antibacterial", "antifungal", "antiviral",
+    "treatment", "therapy", "formula", "professional", "medical", "acute", "chronic", "forte", "sr", "xr", "er", "lp", "od", "ds", "comp", "ha",
+    "ec", "fl", "iv", "im", "sc",
+)
 SKIP = ("razor", "blade", "shaving brush", "makeup brush", "makeup set", "comb", "hair brush", "eyelash", "nail clipper", "scissors", "tweezers", "glass cleaner", "handle", "loofah", "socks")
 COMBINATION = ("plus", "co", "comp", "extra")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from linkloom.functions import dictionaries as d
 from linkloom.functions import similarity as s
 from linkloom.functions import text as t
+from linkloom.operators import prefix_index, similar_words
 from linkloom.sources.shared import written
 
 BUDGET = 200
@@ -54,36 +55,36 @@ def brand_token(tokens: Column) -> Column:
     return F.get(F.filter(tokens, lambda x: x.rlike(r"[a-zA-Z؀-ۿ]") & ~x.isin(*d.LOW_WEIGHT)), 0)
 
 
-def token_candidates(queries: DataFrame, index: DataFrame, budget: int | None = BUDGET, max_share: float = 1.0) -> DataFrame:
-    """q_id, idx, bucket, overlap, fast_jaccard, candidate_count.
-
-    ``queries``: (q_id, q_tokens), one row a distinct name; ``index``: (idx,
-    tokens). Both sides are exploded to tokens and joined by equality. Entries
-    with the query's brand token come first (bucket 0, by idx), the rest of the
-    budget goes to the best by token Jaccard (bucket 1); without a budget all stay. ``max_share`` below 1
-    leaves tokens out of the join that more than this share of the entries hold,
-    unless they are the query's brand token: a hot token then makes no candidates
-    of its own, which keeps the join linear where names share filler words."""
+def all_pairs(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """q_id, idx, bucket, overlap, fast_jaccard, candidate_count of every entry that
+    shares a token with a query: the plain join on tokens, for small tables."""
     terms = index.select("idx", F.size("tokens").alias("n_c"), F.explode("tokens").alias("token"))
     asked = queries.select("q_id", F.size(F.array_distinct("q_tokens")).alias("n_q"), brand_token(F.col("q_tokens")).alias("brand"), F.explode(F.array_distinct("q_tokens")).alias("token"))
-    if max_share < 1.0:
-        common = terms.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > F.lit(max_share * index.count()))
-        asked = asked.join(common.select("token", F.lit(True).alias("hot")), "token", "left").where(F.col("hot").isNull() | (F.col("token") == F.col("brand"))).drop("hot")
     pairs = asked.join(terms, "token").groupBy("q_id", "idx").agg(F.count("*").alias("overlap"), F.first("n_q").alias("n_q"), F.first("n_c").alias("n_c"), F.max(F.col("token") == F.col("brand")).alias("branded"))
     pairs = pairs.withColumn("bucket", F.when(F.coalesce("branded", F.lit(False)), 0).otherwise(1)).withColumn("fast_jaccard", F.col("overlap") / (F.col("n_q") + F.col("n_c") - F.col("overlap")))
-    own = Window.partitionBy("q_id").orderBy("bucket", F.when(F.col("bucket") == 1, -F.col("fast_jaccard")).otherwise(0.0), "idx")
-    # ranked and counted in one pass over the pairs of a query
-    counted = pairs.withColumn("candidate_count", F.count("*").over(Window.partitionBy("q_id")))
-    ranked = counted if budget is None else counted.withColumn("_rn", F.row_number().over(own)).where(F.col("_rn") <= budget)
-    return ranked.select("q_id", "idx", "bucket", "overlap", "fast_jaccard", "candidate_count")
+    return pairs.withColumn("candidate_count", F.count("*").over(Window.partitionBy("q_id"))).select("q_id", "idx", "bucket", "overlap", "fast_jaccard", "candidate_count")
+
 
+def token_candidates(queries: DataFrame, index: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """q_id, idx, bucket, overlap, fast_jaccard, candidate_count.
+
+    ``queries``: (q_id, q_tokens), one row a distinct name; ``index``: (idx,
+    tokens). Entries with the query's brand token come first (bucket 0, by idx), the
+    rest of the budget goes to the best by token Jaccard (bucket 1). No pair is formed
+    on a common token unless it can be among these (see ``prefix_index``)."""
+    return prefix_index.top_by_tokens(queries.select("q_id", "q_tokens", brand_token(F.col("q_tokens")).alias("brand")), index, budget)
 
-def scored(candidates: DataFrame, queries: DataFrame, index: DataFrame, w_jaccard: float = 0.7, w_sequence: float = 0.3) -> DataFrame:
+
+def facts_of(queries: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Facts of the names of both sides (q_id, _q and idx, _c), worked out once."""
+    return similar_words.facts(queries.select("q_id", "q_name"), index.select("idx", "normalized"))
+
+
+def scored(candidates: DataFrame, queries: DataFrame, index: DataFrame, facts: tuple[DataFrame, DataFrame] | None = None, w_jaccard: float = 0.7, w_sequence: float = 0.3) -> DataFrame:
     """``candidates`` with the fields of the pair score."""
-    asked = queries.select("q_id", "q_name", s.name_facts(F.col("q_name")).alias("_qf"))
-    known = index.select("idx", "normalized", s.name_facts(F.col("normalized")).alias("_cf"))
-    full = candidates.join(asked, "q_id").join(known, "idx")
-    return s.with_score(full, F.col("_qf"), F.col("_cf"), w_jaccard, w_sequence).drop("_qf", "_cf")
+    asked, known = facts or facts_of(queries, index)
+    full = candidates.join(asked, "q_id").join(known, "idx").withColumn("q_name", F.col("_q.name")).withColumn("normalized", F.col("_c.name"))
+    return s.with_score(full, w_jaccard, w_sequence).drop("_q", "_c")
 
 
 def top_candidates(pairs: DataFrame, k: int = 5, by: tuple[str, ...] = ("q_id",)) -> DataFrame:
@@ -94,26 +95,35 @@ def top_candidates(pairs: DataFrame, k: int = 5, by: tuple[str, ...] = ("q_id",)
 
 def best_scored(candidates: DataFrame, queries: DataFrame, index: DataFrame, k: int = 5) -> DataFrame:
     """The best k of each query with the fields of the score; the same rows as
-    ``top_candidates(scored(...))``. A bound of every pair's score comes from columns.
-    The k pairs of the highest bound are scored first; of the others only those
-    whose bound reaches the least of these scores go through Python."""
-    asked = queries.select("q_id", s.name_facts(F.col("q_name")).alias("_qf"))
-    known = index.select("idx", s.name_facts(F.col("normalized")).alias("_cf"))
-    pairs = candidates.join(asked, "q_id").join(known, "idx")
-    bounded = s.with_bound(pairs, F.col("_qf"), F.col("_cf")).drop("_qf", "_cf")
+    ``top_candidates(scored(...))``. A cheap bound of the score is made for every pair
+    and the k pairs of the highest are scored. Of the others only those whose bound
+    reaches the least of these scores get a nearer bound, and only those that still
+    reach it are scored."""
+    facts = facts_of(queries, index)
+
+    # pairs are small rows with much work each: as many tasks as the session names, not as few as their bytes would fill
+    tasks = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def known(pairs: DataFrame) -> DataFrame:
+        return pairs.repartition(tasks, "q_id").join(facts[0], "q_id").join(facts[1], "idx")
+
     first = Window.partitionBy("q_id").orderBy(F.desc("bound"), "idx")
+    bounded = s.with_bound(known(candidates)).drop("_q", "_c")
     bounded = written(bounded.withColumn("_first", F.row_number().over(first) <= k), "bounded")
-    seeds = written(scored(bounded.where("_first"), queries, index), "seeds")
+    seeds = written(scored(bounded.where("_first").repartition(tasks, "q_id"), queries, index, facts), "seeds")
     least = seeds.groupBy("q_id").agg(F.min("score").alias("_least"))
-    rest = bounded.where(~F.col("_first")).join(least, "q_id").where(F.col("bound") >= F.col("_least") - 1e-6).drop("_least")
-    return top_candidates(seeds.unionByName(scored(rest, queries, index)), k).drop("bound", "_first")
+    reached = F.col("bound") >= F.col("_least") - 1e-6
+    rest = known(bounded.where(~F.col("_first")).join(least, "q_id").where(reached))
+    # written before the filter, which would else be worked out beneath the columns it reads
+    rest = written(s.with_nearer_bound(rest).drop("_q", "_c"), "nearer").where(reached).drop("_least")
+    return top_candidates(seeds.unionByName(scored(rest.repartition(tasks, "q_id"), queries, index, facts)), k).drop("bound", "_first")
 
 
-def fuzzy_matches(names: DataFrame, index: DataFrame, k: int = 5, matched: float = 0.60, review: float = 0.40, budget: int = BUDGET, max_share: float = 1.0) -> DataFrame:
+def fuzzy_matches(names: DataFrame, index: DataFrame, k: int = 5, matched: float = 0.60, review: float = 0.40, budget: int = BUDGET) -> DataFrame:
     """name, matches (best first) of every distinct name; each is matched once."""
     queries = names.select("name").where("name is not null").distinct().withColumn("q_id", F.xxhash64("name")).withColumn("q_name", F.col("name")).withColumn("q_tokens", t.tokens(F.col("name"))).where((F.size("q_tokens") > 0) & ~skipped(F.col("name")))
     queries = written(queries, "queries")  # read four times below
-    best = best_scored(token_candidates(queries, index, budget, max_share), queries, index, k)
+    best = best_scored(token_candidates(queries, index, budget), queries, index, k)
     match = F.struct("rank", "score", s.status_of(F.col("score"), matched, review).alias("status"), "idx", "normalized", "jaccard", "sequence", "matched", "unmatched_query", "unmatched_catalog", "candidate_count")
     return best.groupBy("q_name").agg(F.array_sort(F.collect_list(match)).alias("matches")).withColumnRenamed("q_name", "name")
 
@@ -191,7 +201,9 @@ def reinvestigate(missed: DataFrame, index: DataFrame, least: int = 2, least_sco
     column ``second`` where the index has it, is above ``least_score``. All are scored."""
     q = missed.select(F.col("name").alias("q_name")).distinct().withColumn("q_id", F.xxhash64("q_name")).withColumn("q_tokens", t.tokens(F.col("q_name")))
     names = ["normalized"] + [c for c in (second,) if c in index.columns]
-    pairs = token_candidates(q, index, budget=None).join(q, "q_id").where(F.col("overlap") >= F.when(F.size("q_tokens") <= 2, 1).otherwise(least)).join(index.select("idx", *names), "idx")
+    asked = q.where(F.size("q_tokens") > 0).withColumn("brand", brand_token(F.col("q_tokens")))
+    pairs = prefix_index.sharing(asked, index, F.when(F.size("q_tokens") <= 2, 1).otherwise(least)).withColumn("bucket", F.when(F.col("branded"), 0).otherwise(1))
+    pairs = pairs.join(q, "q_id").join(index.select("idx", *names), "idx")
     ratios = [F.coalesce(s.sequence_ratio("q_name", F.coalesce(c, F.lit(""))), F.lit(0.0)) for c in names]
     pairs = pairs.withColumn("score", F.greatest(*ratios) if len(ratios) > 1 else ratios[0]).where(F.col("score") > least_score)
     return top_candidates(pairs, k).select("q_name", "rank", "idx", "normalized", "overlap", "score")

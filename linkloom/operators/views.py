@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from linkloom.functions import similarity as s
 from linkloom.functions import text as t
 from linkloom.functions.normalize import Options, normalized
-from linkloom.operators import tables
+from linkloom.operators import similar_words, tables
 
 
 def holds(text: str, *columns: str) -> Column:
@@ -152,7 +152,7 @@ def run_totals(runs: DataFrame) -> DataFrame:
 def title_score(pairs: DataFrame, query: str, title: str, options: Options | None = None) -> DataFrame:
     """The pair score of a normalised external title."""
     clean = normalized(pairs, title, "_title", options)
-    return s.with_score(clean, s.name_facts(F.col(query)), s.name_facts(F.col("_title"))).drop("_title")
+    return similar_words.scored_names(clean, query, "_title").drop("_title")
 
 
 def merged_stats(old: Column, new: Column, keys: Sequence[str]) -> Column:

@@ -10,7 +10,7 @@ from linkloom.functions import dictionaries as d
 from linkloom.functions import similarity as s
 from linkloom.functions import text as t
 from linkloom.functions.normalize import Options, normalize_fields, normalize_missing, normalized, replace_phrases
-from linkloom.operators import analytics, enrichment, feeds, matching, pages, results, tables
+from linkloom.operators import analytics, enrichment, feeds, matching, pages, results, similar_words, tables
 from linkloom.plans.queries import query, table
 from linkloom.sources import catalog, sheets
 from linkloom.sources.shared import new_path, written
@@ -190,7 +190,7 @@ def pair_scores(spark: SparkSession, sf: str) -> DataFrame:
     dose = [F.concat(name, F.lit(" "), ((F.col("p_partkey") + i) % 9 + 1).cast("string"), F.lit(" mg")) for i in (0, 1)]
     other = F.concat(F.repeat(F.lit("q"), F.length(F.split_part(name, F.lit(" "), F.lit(1)))), F.lit(" "), F.split_part(name, F.lit(" "), F.lit(2)))
     pairs = _parts(spark, sf).select("p_partkey", F.when(k < 2, dose[0]).otherwise(name).alias("q"), F.when(k == 0, dose[0]).when(k == 1, dose[1]).when(k == 2, F.concat(name, F.lit(" plus"))).otherwise(other).alias("c"))
-    out = s.with_score(pairs, s.name_facts(F.col("q")), s.name_facts(F.col("c")))
+    out = similar_words.scored_names(pairs, "q", "c")
     return out.select("p_partkey", F.round("score", 9).alias("score"), F.concat(F.lit("["), F.array_join("unmatched_catalog", ", "), F.lit("]")).alias("unmatched"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from linkloom.functions import similarity as s
 from linkloom.functions import text as t
 from linkloom.functions.normalize import Options, normalized
-from linkloom.operators import enrichment, matching, results
+from linkloom.operators import enrichment, matching, prefix_index, results
 from linkloom.sources import sheets
 from linkloom.sources.shared import written
 
@@ -21,7 +21,8 @@ def match_sheet(sheet: DataFrame, catalog: DataFrame, catalog_name: str, catalog
         raise ValueError("no name column")
     # normalised once: both tables are read several times below
     index = written(matching.catalog_index(normalized(catalog, catalog_name, "_norm", options), "_norm", catalog_key), "index")
-    rows = written(normalized(sheet, name, "normalized_name", options), "rows")
+    tasks = int(sheet.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a sheet is small, its names are much work
+    rows = written(normalized(sheet.repartition(tasks), name, "normalized_name", options), "rows")
     return matching.match_cascade(rows, index, sheets.header_role(sheet.columns, sheets.BARCODE), sheets.header_role(sheet.columns, sheets.CODE), **match)
 
 
@@ -38,7 +39,7 @@ def coverage(catalog: DataFrame, sheet_index: DataFrame, name: str, **match) ->
     return flagged, report
 
 
-def discover(missed: DataFrame, products: DataFrame, profiles: DataFrame, k: int = 5, found: float = 0.60, review: float = 0.40, max_share: float = 1.0) -> DataFrame:
+def discover(missed: DataFrame, products: DataFrame, profiles: DataFrame, k: int = 5, found: float = 0.60, review: float = 0.40) -> DataFrame:
     """Rows without a match against extracted page products, per enabled source:
     all that share a token are scored, then one hit a row is chosen among the k best
     of each source by the sources' priority. ``missed``: (row_index, name)."""
@@ -46,7 +47,7 @@ def discover(missed: DataFrame, products: DataFrame, profiles: DataFrame, k: int
     near = products.join(site, "domain").where("title is not null").withColumn("idx", F.col("page_id"))
     index = written(matching.catalog_index(normalized(near, "title_en", "_norm"), "_norm", "page_id"), "index")
     q = missed.select(F.col("name").alias("q_name")).distinct().withColumn("q_id", F.xxhash64("q_name")).withColumn("q_tokens", t.tokens(F.col("q_name"))).where(F.size("q_tokens") > 0)
-    pairs = matching.scored(matching.token_candidates(q, index, budget=None, max_share=max_share), q, index)
+    pairs = matching.scored(prefix_index.sharing(q.withColumn("brand", matching.brand_token(F.col("q_tokens"))), index, F.lit(1)).withColumn("bucket", F.when(F.col("branded"), 0).otherwise(1)), q, index)
     placed = pairs.join(near.select("idx", "domain", "priority", "url", "title"), "idx")
     best = matching.top_candidates(placed, k, ("q_id", "domain"))
     hits = best.select("q_name", "score", "priority", "domain", "rank", "url", "title")

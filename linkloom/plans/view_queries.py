@@ -44,13 +44,13 @@ def _runs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at"), F.col("o_orderpriority").alias("filename"))
 
 
-_NAMED_RUNS = "SELECT c_custkey AS run_id, c_name AS filename, CASE c_mktsegment WHEN 'BUILDING' THEN 'completed' WHEN 'MACHINERY' THEN 'stopped' WHEN 'AUTOMOBILE' THEN 'running' ELSE 'failed' END AS status, greatest(c_acctbal, 0)::BIGINT AS no_match_count, c_nationkey::BIGINT AS applied FROM customer"
+_NAMED_RUNS = "SELECT c_custkey AS run_id, c_name AS filename, CASE c_mktsegment WHEN 'BUILDING' THEN 'completed' WHEN 'MACHINERY' THEN 'stopped' WHEN 'AUTOMOBILE' THEN 'running' ELSE 'failed' END AS status, floor(greatest(c_acctbal, 0))::BIGINT AS no_match_count, c_nationkey::BIGINT AS applied FROM customer"
 
 
 def _named_runs(spark: SparkSession, sf: str) -> DataFrame:
     segment = F.col("c_mktsegment")
     status = F.when(segment == "BUILDING", "completed").when(segment == "MACHINERY", "stopped").when(segment == "AUTOMOBILE", "running").otherwise("failed")
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("run_id"), F.col("c_name").alias("filename"), status.alias("status"), F.round(F.greatest("c_acctbal", F.lit(0.0))).cast("long").alias("no_match_count"), F.col("c_nationkey").cast("long").alias("applied"))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("run_id"), F.col("c_name").alias("filename"), status.alias("status"), F.floor(F.greatest("c_acctbal", F.lit(0.0))).cast("long").alias("no_match_count"), F.col("c_nationkey").cast("long").alias("applied"))
 
 
 @query(f"SELECT run_id, status FROM ({_NAMED_RUNS}) WHERE status IN ('completed', 'stopped') AND no_match_count > 0")

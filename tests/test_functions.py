@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import similarity as s
 from linkloom.functions import text as t
+from linkloom.operators import similar_words
 from linkloom.functions.normalize import Options, normalize_fields, normalize_missing, normalized
 
 
@@ -97,7 +98,7 @@ def test_bilingual_titles(spark):
 
 def scores(spark, *pairs):
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, q string, c string")
-    return s.with_score(df, s.name_facts(F.col("q")), s.name_facts(F.col("c"))).orderBy("i").collect()
+    return similar_words.scored_names(df, "q", "c").orderBy("i").collect()
 
 
 def test_pair_score_rules(spark):
@@ -115,7 +116,8 @@ def test_pair_score_rules(spark):
     # 3 of 3 + 1 (gamma left over) + 1 (beta of the entry): 3 / 5; "alpha gamma" and "alpha beta" share 7 + 1 of 21 characters at most
     one = scores(spark, ("alpha gamma", "alpha beta"))[0]
     assert one["jaccard"] == 0.6 and one["score"] == pytest.approx(0.7 * 0.6 + 0.3 * SequenceMatcher(None, "alpha gamma", "alpha beta").ratio())
-    assert s.assignment(["a", "a", "bb"], ["a", "c", "a"]) == ([0, 2, -1], [1.0, 1.0, 0.0])
+    twice = scores(spark, ("a a bb", "a c a"))[0]
+    assert (twice["matched"], twice["unmatched_query"], twice["unmatched_catalog"]) == (["a", "a"], ["bb"], ["c"])
     assert s.token_similarity("panadol", "panadols") == 0.9 and s.token_similarity("1", "120") == 0 and s.token_similarity("a", "a") == 1
 
 
@@ -125,7 +127,7 @@ def test_scores_are_shares(spark):
     assert [r["j"] for r in rows] == [0.5, 0, 0] and rows[0]["r"] == pytest.approx(0.6)
     assert all(0 <= r["score"] <= 1 for r in scores(spark, ("a b c", "b c d"), ("x", "y"), ("1 2 3", "1 2 mg")))
     s.register(spark)
-    assert spark.sql("SELECT seq_ratio('abc', 'abc') r, token_assignment('panadol', 'panadol').taken t").first()[:] == (1.0, [0])
+    assert spark.sql("SELECT seq_ratio('abc', 'abc') r, word_similarity('panadol', 'panadols') t").first()[:] == (1.0, 0.9)
 
 
 def test_classification(spark):
