@@ -183,6 +183,14 @@ def page_price(c: Column, divisor: int = 1) -> Column:
     return F.round(F.when((F.lit(divisor) > 1) & (v >= 100), v / divisor).otherwise(v), 2)
 
 
+def minor_price(c: Column, divisor: int = 100) -> Column:
+    """A price of store JSON: a plain number of 100 or more is in minor units; of
+    other texts the digits and points count as they are."""
+    number = F.trim(F.replace(c, F.lit(","), F.lit(""))).try_cast("double")
+    units = F.when(number >= 100, number / divisor).otherwise(number)
+    return F.coalesce(F.round(units, 2), present(F.regexp_replace(c, r"[^\d.]", "")).try_cast("double"))
+
+
 def valid_gtin(c: Column) -> Column:
     """Digits of length 8, 12, 13 or 14 with a right mod-10 check digit."""
     code = F.trim(c)

@@ -228,31 +228,76 @@ def _search_template(html: str, url: str) -> str | None:
     return None
 
 
-def store_json(html: Column) -> Column:
-    """The product JSON that a store page embeds: its analytics line, a product
-    script, or the first JSON script that holds variants; null where none does."""
-    analytics = F.regexp_extract(html, r"(?s)var\s+meta\s*=\s*(\{.*?\});", 1)
-    script = F.regexp_extract(html, r'(?is)<script[^>]*id="[^"]*product-?json[^"]*"[^>]*>(.*?)</script>', 1)
-    scripts = F.regexp_extract_all(html, F.lit(r'(?is)<script[^>]*type="application/json"[^>]*>(.*?)</script>'), F.lit(1))
-    other = F.get(F.filter(scripts, lambda x: x.contains('"variants"')), 0)
-    return F.coalesce(F.nullif(analytics, F.lit("")), F.nullif(script, F.lit("")), other)
+def store_documents(html: Column) -> Column:
+    """The JSON texts of a store page that may hold its product, in order of trust:
+    the analytics line, a product script, JSON scripts that name variants."""
+    lines = F.regexp_extract_all(html, F.lit(r"(?s)(?:ShopifyAnalytics\.meta|var\s+meta)\s*=\s*(\{.*?\});"), F.lit(1))
+    script = r"(?is)<script\b(?=[^>]*type=[\"']application/json[\"'])%s[^>]*>(.*?)</script>"
+    marked = F.regexp_extract_all(html, F.lit(script % r"(?=[^>]*product-?json)"), F.lit(1))
+    others = F.filter(F.regexp_extract_all(html, F.lit(script % ""), F.lit(1)), lambda x: x.contains("variants"))
+    return F.concat(lines, marked, others)
 
 
-STORE = "struct<product:struct<id:bigint,vendor:string,title:string,variants:array<struct<price:double,barcode:string,sku:string>>,images:array<string>>,vendor:string,title:string,variants:array<struct<price:double,barcode:string,sku:string>>,images:array<string>>"
+def store_product(html: Column) -> Column:
+    """The product of a store page as a variant value: the ``product`` object of the
+    first of its documents that has one, or a document that has variants or a title
+    itself; null where none has. Texts that are no JSON are passed over."""
+    parsed = F.transform(store_documents(html), lambda x: F.try_parse_json(x))
+    inner = F.transform(parsed, lambda v: F.coalesce(F.when(F.schema_of_variant(F.try_variant_get(v, "$.product", "variant")).startswith("OBJECT"), F.try_variant_get(v, "$.product", "variant")), v))
+    return F.get(F.filter(inner, lambda v: F.try_variant_get(v, "$.variants", "array<variant>").isNotNull() | F.try_variant_get(v, "$.title", "string").isNotNull()), 0)
 
 
-def store_products(pages: DataFrame) -> DataFrame:
-    """page_id, title, vendor, price, barcode, images of pages with store JSON: the
-    first variant's price and barcode, and the page's own title and price where
-    the JSON has none."""
-    j = pages.select("page_id", "html", F.from_json(store_json(F.col("html")), STORE).alias("j")).where("j is not null")
-    variant = F.coalesce(F.get("j.product.variants", 0), F.get("j.variants", 0))
-    return j.select(
-        "page_id", F.coalesce("j.product.title", "j.title", F.nullif(tag_text(F.col("html"), "h1"), F.lit(""))).alias("title"), F.coalesce("j.product.vendor", "j.vendor").alias("vendor"),
-        F.coalesce(variant["price"], price(F.col("html"))).alias("price"), variant["barcode"].alias("barcode"), F.coalesce("j.product.images", "j.images", F.array().cast("array<string>")).alias("images"),
+def _source(v: Column) -> Column:
+    """Address of an image that is a text or an object."""
+    named = F.coalesce(*[F.nullif(F.try_variant_get(v, f"$.{x}", "string"), F.lit("")) for x in ("url", "src", "image")])
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(named)
+
+
+def absolute(address: Column, origin: Column) -> Column:
+    return (
+        F.when(address.startswith("//"), F.concat(F.lit("https:"), address)).when(address.rlike("^https?:"), address)
+        .otherwise(F.concat(origin, F.lit("/"), F.regexp_replace(address, "^/+", "")))
     )
 
 
+def good_images(addresses: Column, origin: Column) -> Column:
+    """Distinct absolute addresses that are no logos or placeholders, in order."""
+    found = F.filter(addresses, lambda x: x.isNotNull() & (x != ""))
+    return F.array_distinct(F.filter(F.transform(found, lambda x: absolute(x, origin)), lambda x: ~x.rlike(_BAD_IMAGE)))
+
+
+def store_products(pages: DataFrame, divisor: int = 100) -> DataFrame:
+    """page_id, title, vendor, slug, price, barcode, image, images of pages with store
+    JSON or linked data. The JSON's product comes first: the first variant's price (in
+    minor units from 100 on) and barcode, its featured image, images and media, as
+    texts or objects. What it lacks comes from linked data, the page's heading and
+    ``og:image``."""
+    ld = ld_products(pages).groupBy("page_id").agg(F.min_by("product", "ord").alias("ld"))
+    j = pages.select("page_id", "url", "html").withColumn("p", store_product(F.col("html"))).join(ld, "page_id", "left").where("p IS NOT NULL OR ld IS NOT NULL")
+    p, ldc, html = F.col("p"), F.col("ld"), F.col("html")
+
+    def text(path: str) -> Column:
+        return t.present(F.try_variant_get(p, path, "string"))
+
+    def many(path: str) -> Column:
+        return F.coalesce(F.try_variant_get(p, path, "array<variant>"), F.array().cast("array<variant>"))
+
+    origin = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
+    single = F.filter(F.array(*[F.try_variant_get(p, f"$.{x}", "variant") for x in ("featured_image", "image")]), lambda v: v.isNotNull())
+    media = F.transform(many("$.media"), lambda v: F.coalesce(F.try_variant_get(v, "$.src", "string"), F.try_variant_get(v, "$.preview_image.src", "string")))
+    own = good_images(F.concat(F.transform(F.concat(single, many("$.images")), _source), media), origin)
+    linked = F.when(ldc["image"].startswith("{"), F.coalesce(F.get_json_object(ldc["image"], "$.url"), F.get_json_object(ldc["image"], "$.image"))).otherwise(ldc["image"])
+    second, third = (good_images(F.array(x), origin) for x in (linked, meta(html, "og:image")))
+    images_ = F.when(F.size(own) > 0, own).when(F.size(second) > 0, second).otherwise(third)
+    codes = F.concat(F.array(text("$.variants[0].barcode")), F.coalesce(ld_gtins(ldc), F.array().cast("array<string>")))
+    handle = t.present(F.regexp_extract("url", r"/products/([^/?#]+)", 1))
+    return j.select(
+        "page_id", t.first_present(text("$.title"), ldc["name"], tag_text(html, "h1")).alias("title"), text("$.vendor").alias("vendor"), t.first_present(text("$.handle"), handle).alias("slug"),
+        F.coalesce(t.minor_price(t.first_present(text("$.variants[0].price"), text("$.price")), divisor), t.page_price(ldc["offers"]["price"])).alias("price"),
+        F.trim(F.get(F.filter(codes, t.valid_gtin), 0)).alias("barcode"), images_.alias("images"),
+    ).withColumn("image", F.get("images", 0))
+
+
 def page_images(pages: DataFrame) -> DataFrame:
     """page_id, image: distinct image addresses anywhere in the source, entities
     and escaped slashes resolved."""
@@ -261,15 +306,55 @@ def page_images(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.explode(F.array_distinct(plain_url)).alias("image"))
 
 
+_ATTRIBUTE = r"(?is)\b%s\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute in double or single quotes, entities resolved; null if absent or empty."""
+    pattern = _ATTRIBUTE % rf"(?<![-\w]){name}"
+    return t.present(plain(F.concat(F.regexp_extract(tag, pattern, 1), F.regexp_extract(tag, pattern, 2))))
+
+
+def last_segment(href: Column) -> Column:
+    return F.element_at(F.split(F.regexp_replace(F.regexp_replace(href, "[?#].*$", ""), "^/+|/+$", ""), "/"), -1)
+
+
 def menus(pages: DataFrame) -> DataFrame:
     """page_id, pos, href, label, depth of the links of lists: depth counts the
     lists that are open before the link, so 2 is a sub-entry."""
-    parts = F.regexp_extract_all("html", F.lit(r'(?is)(<ul\b|</ul>|<a\b[^>]*href="[^"]*"[^>]*>.*?</a>)'), F.lit(1))
+    parts = F.regexp_extract_all("html", F.lit(r"(?is)(<ul\b|</ul>|<a\b[^>]*>.*?</a>)"), F.lit(1))
     each = pages.select("page_id", F.posexplode(parts).alias("pos", "part"))
     step = F.when(F.lower("part").startswith("<ul"), 1).when(F.lower("part") == "</ul>", -1).otherwise(0)
     depth = F.sum(step).over(Window.partitionBy("page_id").orderBy("pos"))
-    links = each.withColumn("depth", depth).where(F.lower("part").startswith("<a"))
-    return links.select("page_id", "pos", F.regexp_extract("part", r'(?i)href="([^"]*)"', 1).alias("href"), F.trim(F.regexp_replace("part", r"<[^>]*>", "")).alias("label"), "depth")
+    links = each.withColumn("depth", depth).where(F.lower("part").startswith("<a")).withColumn("href", attribute(F.regexp_extract("part", r"(?is)^<a\b[^>]*>", 0), "href"))
+    return links.where("href IS NOT NULL").select("page_id", "pos", "href", plain(F.col("part")).alias("label"), "depth")
+
+
+def category_tree(pages: DataFrame) -> DataFrame:
+    """page_id, pos, name, href, slug, sub_categories of the first-level links of a
+    page's lists: each link of a list in a list belongs to the first-level link that
+    was last before it. A sub-entry before any first-level link has no parent."""
+    links = menus(pages).where("depth >= 1")
+    under = F.max(F.when(F.col("depth") == 1, F.col("pos"))).over(Window.partitionBy("page_id").orderBy("pos"))
+    entry = F.struct("pos", F.col("label").alias("name"), "href", last_segment(F.col("href")).alias("slug"))
+    placed = links.withColumn("_top", under).where("_top IS NOT NULL").withColumn("_e", entry)
+    one = placed.groupBy("page_id", "_top").agg(F.min_by("_e", "pos").alias("top"), F.array_sort(F.collect_list(F.when(F.col("depth") > 1, F.col("_e")))).alias("subs"))
+    return one.select("page_id", "top.*", F.transform("subs", lambda x: x.dropFields("pos")).alias("sub_categories"))
+
+
+def brand_cards(pages: DataFrame) -> DataFrame:
+    """page_id, pos, name, href, slug, logo of the links to brands, each once at its
+    first place: the link's text, else its picture's ``alt`` without the word logo, else
+    the slug in title case; the picture's source or lazily loaded source."""
+    each = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<a\b[^>]*>.*?</a>"), F.lit(0))).alias("pos", "a"))
+    tag, picture = F.regexp_extract("a", r"(?is)^<a\b[^>]*>", 0), F.regexp_extract("a", r"(?is)<img\b[^>]*>", 0)
+    href = F.regexp_replace(attribute(tag, "href"), r"^https?://[^/?#]+", "")
+    logo = t.first_present(attribute(picture, "src"), attribute(picture, "data-src"), attribute(picture, "data-lazy"))
+    alt = F.trim(F.replace(attribute(picture, "alt"), F.lit(" logo"), F.lit("")))
+    cards = each.withColumn("href", href).where(F.col("href").contains("brand")).withColumn("slug", last_segment(F.col("href")))
+    name = t.first_present(plain(F.col("a")), alt, F.initcap(F.replace("slug", F.lit("-"), F.lit(" "))))
+    shaped = cards.select("page_id", "pos", name.alias("name"), "href", "slug", F.when(logo.startswith("//"), F.concat(F.lit("https:"), logo)).otherwise(logo).alias("logo"))
+    return shaped.groupBy("page_id", "name", "href", "slug", "logo").agg(F.min("pos").alias("pos"))
 
 
 def brand_links(links: DataFrame, pattern: str = r"/brands?/([^/?#]+)") -> DataFrame:

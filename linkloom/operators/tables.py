@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions import text as t
+from linkloom.operators import containment
 from linkloom.sources.shared import written
 
 
@@ -104,18 +105,16 @@ def resolve_by_names(df: DataFrame, text: str, entities: DataFrame, names: Seque
 
 
 def resolve_contained(df: DataFrame, text: str, names: DataFrame, name: str, order: str) -> DataFrame:
-    """``df`` with ``resolved``: the equal name, else the first name that holds the
-    text or is held by it, else the text in title case. Texts are resolved once
-    each; ``names`` is a dictionary, whose size is checked before it is sent."""
-    n = names.count()
-    if n > 100_000:
-        raise ValueError("more than 100000 names: containment needs a dictionary of bounded size")
-    texts = df.select(F.lower(F.trim(text)).alias("_text")).where("_text <> ''").distinct()
-    table = names.select(F.lower(F.trim(name)).alias("_name"), F.col(name).alias("_as"), F.col(order).alias("_ord")).where("_name <> ''")
-    exact = texts.join(table, F.col("_text") == F.col("_name")).groupBy("_text").agg(F.min_by("_as", "_ord").alias("_exact"))
-    rest = texts.join(exact, "_text", "left_anti")
-    held = rest.join(F.broadcast(table), F.col("_text").contains(F.col("_name")) | F.col("_name").contains(F.col("_text"))).groupBy("_text").agg(F.min_by("_as", "_ord").alias("_held"))
-    return df.withColumn("_text", F.lower(F.trim(text))).join(exact, "_text", "left").join(held, "_text", "left").withColumn("resolved", F.coalesce("_exact", "_held", F.initcap("_text"))).drop("_text", "_exact", "_held")
+    """``df`` with ``resolved``: the equal name, else the first name by ``order`` that
+    holds the text or is held by it, else the text in title case. Texts are resolved
+    once each; neither side needs to be small (see ``containment``)."""
+    texts = df.select(F.lower(F.trim(text)).alias("x")).where("x <> ''").distinct()
+    table = names.select(F.lower(F.trim(name)).alias("y"), F.col(name).alias("_as"), F.col(order).alias("_ord")).where("y <> ''")
+    table = table.groupBy("y").agg(F.min_by("_as", F.struct("_ord", "_as")).alias("_as"), F.min("_ord").alias("_ord"))
+    pairs = containment.holding_pairs(texts, table.select("y")).join(table, "y")
+    equal = F.col("x") == F.col("y")
+    found = pairs.groupBy("x").agg(F.min_by("_as", F.struct(F.when(equal, 0).otherwise(1), "_ord", "_as")).alias("_held"))
+    return df.withColumn("_text", F.lower(F.trim(text))).join(found, F.col("_text") == F.col("x"), "left").withColumn("resolved", F.coalesce("_held", F.initcap("_text"))).drop("_text", "_held", "x")
 
 
 def numbered(df: DataFrame, order: Sequence[str | Column], out: str = "rn", slices: int | None = None) -> DataFrame:

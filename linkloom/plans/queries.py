@@ -379,13 +379,19 @@ def resolve_entities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT DISTINCT lower(p_name) x FROM part), n AS (SELECT DISTINCT r_regionkey o, lower(substr(r_name, 1, 1)) y, substr(r_name, 1, 1) AS shown FROM region),
-h AS (SELECT x, min_by(shown, o) r FROM t JOIN n ON contains(x, y) OR contains(y, x) GROUP BY x)
-SELECT p_partkey, r AS resolved FROM part JOIN h ON x = lower(p_name)""")
+WITH t AS (SELECT DISTINCT lower(p_name) x FROM part),
+n AS (SELECT r_regionkey::BIGINT o, substr(r_name, 1, 1) AS shown FROM region UNION ALL SELECT 100 + min(p_partkey), split_part(p_name, ' ', 2) FROM part GROUP BY 2
+  UNION ALL SELECT 1000000 + min(p_partkey), 'The ' || p_name || ' ' || lower(p_type) FROM part WHERE p_partkey % 3 = 0 GROUP BY 2),
+h AS (SELECT x, min_by(shown, o) r FROM t JOIN n ON contains(x, lower(shown)) OR contains(lower(shown), x) GROUP BY x)
+SELECT p_partkey, coalesce(r, array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ')) AS resolved FROM part LEFT JOIN h ON x = lower(p_name)""")
 def resolve_contained(spark: SparkSession, sf: str) -> DataFrame:
-    names = table(spark, sf, "region").select(F.substring("r_name", 1, 1).alias("n"), F.col("r_regionkey").alias("ord"))
-    out = tables.resolve_contained(table(spark, sf, "part"), "p_name", names, "n", "ord")
-    return out.where(F.length("resolved") == 1).select("p_partkey", "resolved")
+    """Every part's name against names of one letter, of a word and of more words than
+    the part's; those that nothing holds stay in title case."""
+    part = table(spark, sf, "part")
+    letters = table(spark, sf, "region").select(F.substring("r_name", 1, 1).alias("n"), F.col("r_regionkey").cast("long").alias("ord"))
+    words = part.groupBy(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("n")).agg((F.min("p_partkey") + 100).alias("ord"))
+    longer = part.where("p_partkey % 3 = 0").groupBy(F.concat(F.lit("The "), "p_name", F.lit(" "), F.lower("p_type")).alias("n")).agg((F.min("p_partkey") + 1_000_000).alias("ord"))
+    return tables.resolve_contained(part, "p_name", letters.union(words).union(longer), "n", "ord").select("p_partkey", "resolved")
 
 
 @query("""

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from linkloom.plans import queries
-from linkloom.plans import function_queries, view_queries  # noqa: F401
+from linkloom.plans import function_queries, page_queries, view_queries  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
