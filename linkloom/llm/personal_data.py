@@ -2,7 +2,12 @@
 
 Spans come from patterns: the base patterns, whose valid matches always stay,
 and looser ones (spelled-out mail addresses, phone numbers without a plus, cards
-and addresses written with other signs), which are candidates. Five labelers
+and addresses written with other signs), which are candidates. Cards and phone
+numbers in their usual groups are candidates too: a base match that runs on into the
+digits after it (a number, then a network address) fails and is not tried again, so
+what it swallowed is found here. Candidates that repeat a base span, and numbers that
+fail the checksum, add no span but teach the labelers' reliabilities what a
+candidate's votes are worth. Five labelers
 vote yes, no or abstain on every span: form, checksum, gazetteer, context before
 it, and edges. Counts of vote patterns, a table of at most 3**5 rows a kind, go
 to the driver, where expectation-maximisation (Dawid and Skene, 1979) estimates
@@ -46,8 +51,8 @@ BASE = {
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z0-9-]{2,63}+)+",
     "ip": r"(?<![0-9])[0-9]{1,3}+(?:\[\.\]|\x20\.\x20)[0-9]{1,3}+(?:\[\.\]|\x20\.\x20)[0-9]{1,3}+(?:\[\.\]|\x20\.\x20)[0-9]{1,3}+",
-    "card": r"(?<![0-9])[0-9]{4}[./_][0-9]{4}[./_][0-9]{4}[./_][0-9]{4}(?![0-9])",
-    "phone": r"(?<![0-9+])(?:\([0-9]{2,5}\)\x20?|[0-9]{2,5}[\x20./-])[0-9]{2,5}[\x20./-][0-9]{2,5}(?:[\x20./-][0-9]{2,5})?(?![0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{4}(?<sign>[\x20./_-]?)[0-9]{4}\k<sign>[0-9]{4}\k<sign>[0-9]{4}|3[0-9]{3}(?<mark>[\x20./_-]?)[0-9]{6}\k<mark>[0-9]{5})(?![0-9])",
+    "phone": r"\+[0-9]{1,3}+[\x20.-]?\(?[0-9]{2,4}+\)?[\x20.-]?[0-9]{3,4}+[\x20.-]?[0-9]{3,4}+(?![0-9])|(?<![0-9+])(?:\([0-9]{2,5}\)\x20?|[0-9]{2,5}[\x20./-])[0-9]{2,5}[\x20./-][0-9]{2,5}(?:[\x20./-][0-9]{2,5})?(?![0-9])",
 }
 
 #: Fixed values of the gazetteer and context labelers.

@@ -645,6 +645,32 @@ def test_method_adds_spans_and_redacts(spark):
     assert out[65 + 10] == "a@b [EMAIL]. 😀 é [EMAIL]"
 
 
+def with_check_digit(digits):
+    total = sum(int(c) if i % 2 else (2 * int(c)) // 10 + (2 * int(c)) % 10 for i, c in enumerate(reversed(digits)))
+    return digits + str(-total % 10)
+
+
+def test_swallowed_numbers_are_added(spark):
+    """A number that runs on into the next one fails the base pattern as a whole; the
+    method adds it, and no number that fails the checksum."""
+    rng = np.random.default_rng(3)
+    cards = [with_check_digit("4" + "".join(map(str, rng.integers(0, 10, 14)))) for _ in range(40)]
+    wrong = [c[:-1] + str((int(c[-1]) + 5) % 10) for c in cards]
+    phones = [f"+1 ({rng.integers(200, 999)}) 555-{rng.integers(1000, 9999)}" for _ in range(40)]
+    texts = [f"seen {c} or {p} there" for c, p in zip(cards, phones)] + [f"seen {w} or none there" for w in wrong]
+    n = len(texts)
+    texts += [f"Des {p} 190.137.223.{i} du" for i, p in enumerate(phones[:10])] + [f"au {w} {c} si" for w, c in zip(wrong[:10], cards[:10])]
+    got = {r["doc_id"]: set(r["spans"].split(",")) - {""} for r in personal_data.find_personal_data(docs_of(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        base = {f"{list(BASE)[k]}:{s}:{e}" for s, k, e in brute_spans(text)}
+        added = set()
+        if n <= i < n + 10:
+            added = {f"phone:4:{4 + len(phones[i - n])}"}
+        elif i >= n + 10:
+            added = {"card:20:36"}
+        assert got[i] == base | added, text
+
+
 def plain_redaction(text, spans):
     names, at, out = list(BASE), 0, []
     for start, kind, end in spans:
