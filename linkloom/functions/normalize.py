@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import dictionaries as d
 from linkloom.functions import text as t
+from linkloom.functions.phrases import replaced
 
 Step = Callable[[Column], Column]
 
@@ -48,54 +48,23 @@ def _steps(o: Options) -> tuple[list[Step], list[Step]]:
     return before, [*after, t.collapse, F.lower, *o.extra]
 
 
-def normalized(df: DataFrame, name: str, out: str = "normalized_name", options: Options | None = None, phrases: dict[str, str] | None = None) -> DataFrame:
+def normalized(df: DataFrame, name: str, out: str = "normalized_name", options: Options | None = None, phrases: DataFrame | None = None) -> DataFrame:
     """``df`` with the normalised ``name`` in column ``out``. Steps that read a
     token list more than once are projected one by one, so that Spark keeps them
-    apart and no list is built twice. ``phrases``: a dictionary of words and
-    phrases, replaced longest first between the Arabic and the English steps."""
+    apart and no list is built twice. ``phrases``: a table of words and phrases (see
+    ``phrases.phrase_table``), replaced between the Arabic and the English steps."""
     before, after = _steps(options or Options())
     own = [c for c in df.columns if c != out]
     cur = df.withColumn("_n", F.coalesce(F.col(name), F.lit("")))
     for step in before:
         cur = cur.withColumn("_n", step(F.col("_n")))
-    if phrases:
-        cur = cur.withColumn("_n", replace_phrases(phrases)(F.col("_n")))
+    if phrases is not None:
+        cur = replaced(cur, "_n", phrases)
     for step in after:
         cur = cur.withColumn("_n", step(F.col("_n")))
     return cur.select(*[F.col(f"`{c}`") for c in own], F.col("_n").alias(out))
 
 
-def replace_phrases(phrases: dict[str, str]):
-    """An Arrow function that replaces whole phrases, the longest at each place.
-    The dictionary goes along with the tasks, so its size is checked."""
-    if len(phrases) > 200_000:
-        raise ValueError("more than 200000 phrases: join tokens with a table instead")
-    keyed = {tuple(k.split()): v for k, v in phrases.items() if k.split()}
-    longest = max((len(k) for k in keyed), default=0)
-
-    @F.pandas_udf("string")
-    def replace(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for names in batches:
-            yield names.map(one)
-
-    def one(name: str | None) -> str | None:
-        if not name:
-            return name
-        ts, out, i = name.split(), [], 0
-        while i < len(ts):
-            for n in range(min(longest, len(ts) - i), 0, -1):
-                if (hit := keyed.get(tuple(ts[i : i + n]))) is not None:
-                    out.append(hit)
-                    i += n
-                    break
-            else:
-                out.append(ts[i])
-                i += 1
-        return " ".join(x for x in out if x)
-
-    return replace
-
-
 def normalize_missing(df: DataFrame, names: Sequence[str], out: str = "normalized_name_en", options: Options | None = None) -> DataFrame:
     """Rows whose ``out`` is null or empty get the normalised first present of
     ``names``; the others stay as they are."""

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions import similarity as s
 from linkloom.functions import text as t
+from linkloom.operators import quantiles
 from linkloom.operators.tables import numbered
 
 
@@ -72,14 +73,47 @@ def token_frequency(df: DataFrame, column: str, separator: str = ",", k: int = 1
     return df.select(F.explode(F.split(column, separator)).alias("token")).select(F.trim("token").alias("token")).where("token <> ''").groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(k)
 
 
-def cooccurrence(pairs: DataFrame, left: str, right: str, doc: str, distinct: bool = True) -> DataFrame:
-    """a, b, co, n_a, n_b of token lists of the same documents."""
+#: A word that a great part of the documents hold is spread over this many tasks.
+SALTS = 16
+
+
+def _weighed(rows: DataFrame, side: str, word: str, count: str, least: int) -> DataFrame:
+    """_id, words: the words of each row's list ``side`` that occur ``least`` times,
+    with how often each occurs over all rows."""
+    terms = rows.select("_id", "_m", F.explode(side).alias(word))
+    counts = terms.groupBy(word).agg(F.sum("_m").alias(count)).where(F.col(count) >= least)
+    salted = terms.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)))
+    known = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(known, [word, "_salt"]).groupBy("_id", "_m").agg(F.collect_list(F.struct(word, count)).alias(f"_{word}s"))
+
+
+def word_pairs(pairs: DataFrame, left: str, right: str, distinct: bool = True, least: int = 1, least_jaccard: float = 0.0) -> DataFrame:
+    """a, n_a, b, n_b, _m: the pairs of words of the lists of one row that can reach
+    ``least`` and ``least_jaccard``. Equal rows are taken once with their number _m.
+    With ``distinct`` words that occur less than ``least`` times go before any pair is
+    formed, as co <= min(n_a, n_b), and pairs whose counts are too far apart go before
+    they are counted, as the Jaccard similarity is at most min / max."""
     each = F.array_distinct if distinct else (lambda c: c)
-    a = pairs.select(doc, F.explode(each(F.col(left))).alias("a"))
-    both = pairs.select(F.explode(each(F.col(left))).alias("a"), each(F.col(right)).alias("_r")).select("a", F.explode("_r").alias("b"))
-    b = pairs.select(F.explode(each(F.col(right))).alias("b"))
-    co = both.groupBy("a", "b").agg(F.count("*").alias("co"))
-    return co.join(a.groupBy("a").agg(F.count("*").alias("n_a")), "a").join(b.groupBy("b").agg(F.count("*").alias("n_b")), "b")
+    rows = pairs.select(each(F.col(left)).alias("_l"), each(F.col(right)).alias("_r")).groupBy("_l", "_r").agg(F.count("*").alias("_m"))
+    rows = rows.withColumn("_id", F.sha2(F.to_json(F.struct("_l", "_r")), 256))
+    floor = least if distinct else 1
+    a, b = _weighed(rows, "_l", "a", "n_a", floor), _weighed(rows, "_r", "b", "n_b", floor).drop("_m")
+    both = a.join(b, "_id").select("_m", F.explode("_as").alias("_a"), "_bs").select("_m", "_a.*", F.explode("_bs").alias("_b")).select("a", "n_a", "_b.*", "_m")
+    if distinct and least_jaccard > 0:
+        both = both.where(F.least("n_a", "n_b") >= F.lit(least_jaccard - 1e-9) * F.greatest("n_a", "n_b"))
+    return both
+
+
+def cooccurrence(pairs: DataFrame, left: str, right: str, distinct: bool = True, least: int = 1, least_jaccard: float = 0.0) -> DataFrame:
+    """a, b, co, n_a, n_b of token lists of the same rows with a count of ``least`` or
+    more, and with ``least_jaccard`` only pairs that can reach it."""
+    return word_pairs(pairs, left, right, distinct, least, least_jaccard).groupBy("a", "b", "n_a", "n_b").agg(F.sum("_m").alias("co")).where(F.col("co") >= least).select("a", "b", "co", "n_a", "n_b")
+
+
+def word_profile(pairs: DataFrame, left: str, right: str, word: str, k: int = 15) -> DataFrame:
+    """The k words of ``right`` that occur most with one word of ``left``."""
+    held = pairs.where(F.array_contains(left, word)).select(F.explode(F.array_distinct(right)).alias("b"))
+    return held.groupBy("b").agg(F.count("*").alias("co")).orderBy(F.desc("co"), "b").limit(k)
 
 
 def mine_translations(co: DataFrame, least_support: int = 5, least_jaccard: float = 0.40, known: DataFrame | None = None) -> DataFrame:
@@ -116,9 +150,12 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def latency(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    v = F.col(value)
-    return df.groupBy(*by).agg(F.count(v).alias("n"), F.round(F.avg(v), 4).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.min(v).alias("least"), F.max(v).alias("most"), F.round(F.sum(v), 2).alias("total"))
+def latency(df: DataFrame, value: str, by: Sequence[str], shares: Mapping[str, float] | None = None) -> DataFrame:
+    """Count, mean, exact quantiles (the median unless ``shares`` names others), least,
+    most and total by group."""
+    v, wanted = F.col(value), shares or {"median": 0.5}
+    sums = df.groupBy(*by).agg(F.count(v).alias("n"), F.round(F.avg(v), 4).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"), F.round(F.sum(v), 2).alias("total"))
+    return quantiles.with_quantiles(sums, quantiles.exact_quantiles(df, value, by, wanted), by).select(*by, "n", "mean", *wanted, "least", "most", "total")
 
 
 def numeric_mismatch(df: DataFrame, left: str, right: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from linkloom.functions import dictionaries as d
 from linkloom.functions import similarity as s
 from linkloom.functions import text as t
+from linkloom.functions.phrases import phrase_table, replaced
 from linkloom.operators import prefix_index, similar_words
 from linkloom.sources.shared import written
 
@@ -177,6 +178,17 @@ def fuzzy_dictionary(tokens: DataFrame, keys: DataFrame, most: int = 2, share: f
     return ok.groupBy("token").agg(F.min(F.struct("distance", "ord", "key")).alias("b")).select("token", F.col("b.key").alias("key"), F.col("b.distance").alias("distance"))
 
 
+def map_brands(df: DataFrame, name: str, brands: DataFrame, out: str | None = None) -> DataFrame:
+    """``df`` with brands replaced in ``name``: equal phrases first, then each word
+    with an Arabic letter that is left by the brand nearest to it (``fuzzy_dictionary``).
+    ``brands``: (key, value, ord)."""
+    exact = replaced(df, name, phrase_table(brands, order="ord"), out)
+    words = exact.select(F.explode(F.array_distinct(t.tokens(F.col(f"`{out or name}`")))).alias("token")).where(t.has_arabic(F.col("token"))).distinct()
+    known = brands.groupBy("key").agg(F.min("ord").alias("ord"), F.max_by("value", "ord").alias("value"))
+    near = fuzzy_dictionary(words, known).join(known.select("key", "value"), "key")
+    return replaced(exact, out or name, phrase_table(near, "token"))
+
+
 def membership(df: DataFrame, column: str, names: DataFrame, name: str, out: str = "exact_in_destination") -> DataFrame:
     """A flag whether ``column`` is among ``names``."""
     known = names.select(F.col(name).alias("_m")).where("_m is not null").distinct().withColumn("_f", F.lit(True))

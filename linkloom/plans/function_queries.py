@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from linkloom.functions import dictionaries as d
 from linkloom.functions import similarity as s
 from linkloom.functions import text as t
-from linkloom.functions.normalize import Options, normalize_fields, normalize_missing, normalized, replace_phrases
+from linkloom.functions.normalize import Options, normalize_fields, normalize_missing, normalized
+from linkloom.functions.phrases import phrase_table, replaced
 from linkloom.operators import analytics, enrichment, feeds, matching, pages, results, similar_words, tables
+from linkloom.plans import linking
 from linkloom.plans.queries import query, table
 from linkloom.sources import catalog, sheets
 from linkloom.sources.shared import new_path, written
@@ -86,8 +88,25 @@ def token_maps(spark: SparkSession, sf: str) -> DataFrame:
 SELECT p_partkey, CASE WHEN p_name = 'cold widget' THEN 'frio' WHEN starts_with(p_name, 'cold ') THEN 'kalt ' || split_part(p_name, ' ', 2) ELSE p_name END || ' ' || p_type AS mapped FROM part""")
 def phrase_mapping(spark: SparkSession, sf: str) -> DataFrame:
     """The longest phrase at each place wins."""
-    mapped = replace_phrases({"cold": "kalt", "cold widget": "frio", "cold widget of gold": "oro"})
-    return _parts(spark, sf).select("p_partkey", mapped(F.concat_ws("  ", "p_name", "p_type")).alias("mapped"))
+    phrases = spark.createDataFrame([("cold", "kalt"), ("cold widget", "frio"), ("cold widget of gold", "oro")], "key string, value string")
+    rows = _parts(spark, sf).select("p_partkey", F.concat_ws("  ", "p_name", "p_type").alias("mapped"))
+    return replaced(rows, "mapped", phrase_table(phrases))
+
+
+@query("""
+WITH w AS (SELECT p_partkey, p_name, split_part(p_name, ' ', 1) a, split_part(p_name, ' ', 2) b FROM part), k AS (SELECT DISTINCT a AS k FROM w)
+SELECT p_partkey, p_partkey || ' ' || 'B-' || a || ' عقار ' || upper(b) || CASE WHEN p_partkey % 3 = 0 THEN ' fast' ELSE ' علاجون' END AS mapped FROM w""")
+def brand_mapping(spark: SparkSession, sf: str) -> DataFrame:
+    """Two dictionaries at once, exact phrases first, then words one letter off: one of
+    phrases taken from the parts themselves, one of Arabic brands."""
+    first, second = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
+    parts = _parts(spark, sf)
+    own = parts.select(F.concat_ws(" ", first, F.lit("دواء")).alias("key"), F.concat(F.lit("B-"), first, F.lit(" عقار")).alias("value")).union(parts.select(second, F.upper(second)))
+    brands = own.distinct().union(spark.createDataFrame([("بانادول اكسترا", "fast")], "key string, value string"))
+    brands = brands.union(spark.createDataFrame([("بانادولين", "fast")], "key string, value string")).withColumn("ord", F.xxhash64("key"))
+    tail = F.when(F.col("p_partkey") % 3 == 0, "بانادولبن").otherwise("علاجون")
+    rows = parts.select("p_partkey", F.concat_ws("  ", _text("p_partkey"), first, F.lit("دواء"), second, tail).alias("mapped"))
+    return matching.map_brands(rows, "mapped", brands)
 
 
 _NAME_FORMS = "list_filter(string_split(p_name, ' '), lambda x: x NOT IN ('large', 'small', 'medium')) AS words, list_filter(string_split(p_name, ' '), lambda x: x IN ('large', 'small', 'medium')) AS forms"
@@ -339,6 +358,18 @@ def match_overrides(spark: SparkSession, sf: str) -> DataFrame:
     return results.picked_fields(cols, picked | {"row_index": F.col("row_index")}, ["row_index", "best", "score", "status", "method", "unknown", "orig_col_0"], ["candidate_2_id"])
 
 
+@query(f"""
+WITH r AS (SELECT p_partkey, CASE WHEN {_PICKED} THEN p_partkey + 1 ELSE p_partkey END AS best, CASE WHEN {_PICKED} THEN 1.0 ELSE p_size / 50.0 END AS score FROM part)
+SELECT r.p_partkey AS row_index, best::VARCHAR AS candidate_1_id, CASE WHEN score >= 0.60 THEN coalesce(c.p_name, '') ELSE '' END AS name FROM r LEFT JOIN part c ON c.p_partkey = best""")
+def rebuilt_run(spark: SparkSession, sf: str) -> DataFrame:
+    """The final sheet of every part made again from its stored run, with decisions."""
+    path = new_path(spark, "runs")
+    decisions = _parts(spark, sf).where(_PICKED).select(F.col("p_partkey").alias("row_index"), (F.col("p_partkey") + 1).alias("idx"))
+    linking.store_run(_matched(spark, sf).withColumn("exact_idx", F.lit(None).cast("long")), path, "first")
+    out = linking.rebuilt_sheet(spark, path, "first", _parts(spark, sf), "p_partkey", {"name[en]": "p_name"}, decisions)
+    return out.select("row_index", "candidate_1_id", F.col("`name[en]`").alias("name"))
+
+
 @query(f"""
 WITH r AS (SELECT CASE WHEN {_PICKED} THEN 'matched' ELSE {_ST} END AS st FROM part)
 SELECT count(*) AS total, count(*) FILTER (st = 'matched') AS matched, count(*) FILTER (st = 'review') AS review, count(*) FILTER (st = 'no_match') AS no_match, round(count(*) FILTER (st = 'matched') / count(*) * 100, 1) AS accuracy FROM r""")

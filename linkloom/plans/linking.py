@@ -9,6 +9,7 @@ from linkloom.functions import similarity as s
 from linkloom.functions import text as t
 from linkloom.functions.normalize import Options, normalized
 from linkloom.operators import enrichment, matching, prefix_index, results
+from linkloom.sources import catalog as catalog_store
 from linkloom.sources import sheets
 from linkloom.sources.shared import written
 
@@ -64,3 +65,18 @@ def export_sheet(matched: DataFrame, catalog: DataFrame, key: str, fields: dict[
     joined = matched.withColumn("_best", F.when(F.col("top_score") >= 0.60, best)).join(renamed, F.col("_best") == F.col("_key"), "left")
     columns = results.export_projection(joined, F.col("_key").isNotNull(), {h: f"_c_{c}" for h, c in fields.items()})
     return joined.select("row_index", "matching_method", t.percent(F.col("top_score")).alias("score_pct"), *results.candidate_columns(3), *columns)
+
+
+def store_run(matched: DataFrame, path: str, run: str) -> None:
+    """Matched rows kept under ``path`` as the run's partition; the run's earlier rows
+    are replaced, other runs stay."""
+    catalog_store.write_run(matched.withColumn("run_id", F.lit(run)), path)
+
+
+def rebuilt_sheet(spark: SparkSession, path: str, run: str, catalog: DataFrame, key: str, fields: dict[str, str], decisions: DataFrame | None = None) -> DataFrame:
+    """The final sheet of a stored run, made again from its rows: with ``decisions``
+    (row_index, idx) the chosen candidates stand first, and equal decisions on equal
+    rows give the equal sheet however often it is made. Only the run's partition is
+    read. A run that isn't stored gives no rows."""
+    stored = spark.read.parquet(path).where(F.col("run_id").cast("string") == run).drop("run_id")
+    return export_sheet(results.promote(stored, decisions) if decisions is not None else stored, catalog, key, fields)

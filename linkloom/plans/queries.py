@@ -16,6 +16,7 @@ from linkloom.plans import linking
 from linkloom.sources import sheets
 from linkloom.sources.shared import new_path, written
 from linkloom.streaming import matching as stream
+from linkloom.streaming.counters import Counters
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -439,22 +440,30 @@ na AS (SELECT a, count(*) n_a FROM (SELECT unnest(a) a FROM j) GROUP BY 1), nb A
 
 def _turns(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations")
-    w = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), lambda x: F.length(x) >= 3)
+    w = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), lambda x: F.length(x) >= 3))
     user = c.where("role = 'user'").select("conv_id", "turn", w.alias("ar"))
     answer = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), w.alias("en"))
-    return user.join(answer, ["conv_id", "turn"]).withColumn("doc", F.struct("conv_id", "turn"))
+    return user.join(answer, ["conv_id", "turn"])
 
 
 @query(_TURNS + "SELECT a, b, co, n_a, n_b FROM co JOIN na USING (a) JOIN nb USING (b) WHERE co >= 3")
 def cooccurrence(spark: SparkSession, sf: str) -> DataFrame:
-    return analytics.cooccurrence(_turns(spark, sf), "ar", "en", "doc").where("co >= 3")
+    return analytics.cooccurrence(_turns(spark, sf), "ar", "en", least=3)
+
+
+@query(_TURNS + ", top AS (SELECT a FROM na ORDER BY n_a DESC, a LIMIT 1) SELECT b, co FROM co WHERE a = (SELECT a FROM top) ORDER BY co DESC, b LIMIT 15")
+def word_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """The words that occur most with the most frequent word of the questions."""
+    turns = _turns(spark, sf)
+    top = turns.select(F.explode("ar").alias("a")).groupBy("a").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "a").first()
+    return analytics.word_profile(turns, "ar", "en", top["a"] if top else "")
 
 
 @query(_TURNS + """, s AS (SELECT a, b, co, co::DOUBLE / (n_a + n_b - co) j FROM co JOIN na USING (a) JOIN nb USING (b) WHERE co >= 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY j DESC, b) rn FROM s WHERE j >= 0.2)
 SELECT a, b, round(j, 9) AS jaccard, co FROM r WHERE rn = 1""")
 def mined_translations(spark: SparkSession, sf: str) -> DataFrame:
-    co = analytics.cooccurrence(_turns(spark, sf), "ar", "en", "doc")
+    co = analytics.cooccurrence(_turns(spark, sf), "ar", "en", least=2, least_jaccard=0.2)
     return analytics.mine_translations(co, 2, 0.2).withColumn("jaccard", F.round("jaccard", 9))
 
 
@@ -495,7 +504,7 @@ def uniqueness(spark: SparkSession, sf: str) -> DataFrame:
     return analytics.uniqueness(table(spark, sf, "orders"), ["o_custkey", "o_orderkey"])
 
 
-_TABLES = ("customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier")
+_TABLES = ("benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier")
 
 
 @query(" UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in _TABLES))
@@ -571,17 +580,23 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT user_id % 10 AS run, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def stream_counters(spark: SparkSession, sf: str) -> DataFrame:
-    """Running counters of a file stream; the last state of each key."""
-    out, check = new_path(spark, "counters"), new_path(spark, "checkpoint")
+    """Running counters of a file stream: each batch writes the keys it changed; the
+    state is written once, then read by key."""
     counts = stream.running_counts(_events(spark, sf).withColumn("run", F.col("user_id") % 10), ["run", "event_type"], "value")
-
-    def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    q = counts.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", check).trigger(availableNow=True).start()
-    q.awaitTermination()
-    states = spark.read.parquet(out)
-    return states.join(states.agg(F.max("batch").alias("batch")), "batch").select("run", "event_type", "n", F.round("total", 2).alias("total"))
+    kept = Counters(spark, new_path(spark, "counters"), ["run", "event_type"], counts.schema)
+    kept.start(counts, new_path(spark, "checkpoint")).awaitTermination()
+    kept.compact()
+    return kept.current().select("run", "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query("SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def hourly_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters by hour under a watermark that no row of the table falls behind."""
+    events = _events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = stream.running_counts(events, ["event_type"], "value", ("ts", "36500 days"), "1 hour")
+    kept = Counters(spark, new_path(spark, "counters"), ["event_type", "window_start"], counts.schema)
+    kept.start(counts, new_path(spark, "checkpoint")).awaitTermination()
+    return kept.current().select("event_type", F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "n", F.round("total", 2).alias("total"))
 
 
 @query("""

@@ -68,6 +68,9 @@ class Versions:
                 raise
             return 0
 
+    def empty(self) -> bool:
+        return self._last() == 0
+
     def write(self, df: DataFrame) -> int:
         v = self._last() + 1
         df.write.mode("overwrite").parquet(f"{self.root}/v{v}")

@@ -20,11 +20,18 @@ def match_stream(rows: DataFrame, match: Callable[[DataFrame], DataFrame], path:
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime="10 seconds")).start()
 
 
-def running_counts(rows: DataFrame, by: list[str], value: str | None = None, watermark: tuple[str, str] | None = None) -> DataFrame:
-    """Rows, and the sum of ``value``, by key so far."""
+def running_counts(rows: DataFrame, by: list[str], value: str | None = None, watermark: tuple[str, str] | None = None, window: str | None = None) -> DataFrame:
+    """Rows, and the sum of ``value``, by key so far. With a watermark (time column,
+    delay) and the length of a window, by ``window_start`` too: the counters of a window
+    that the watermark has passed leave the state, so it doesn't grow with the stream."""
     src = rows.withWatermark(*watermark) if watermark else rows
     extra = [F.sum(value).alias("total")] if value else []
-    return src.groupBy(*by).agg(F.count("*").alias("n"), *extra)
+    if not window:
+        return src.groupBy(*by).agg(F.count("*").alias("n"), *extra)
+    if not watermark:
+        raise ValueError("a window needs a watermark")
+    out = src.groupBy(*by, F.window(watermark[0], window).alias("_w")).agg(F.count("*").alias("n"), *extra)
+    return out.select(*by, F.col("_w.start").alias("window_start"), *[c for c in out.columns if c not in (*by, "_w")])
 
 
 def progress_of_logs(lines: DataFrame, column: str = "value") -> DataFrame:
