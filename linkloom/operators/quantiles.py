@@ -28,7 +28,8 @@ def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], shares: Mappin
     n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [f"_k{i}" for i in range(len(by))]
     rows = df.where(F.col(value).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(value).cast("double").alias("_v"))
-    counted = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    # written, so that finding the bounds of the ranges doesn't read and count the rows again
+    counted = written(rows.groupBy(*keys, "_v").agg(F.count("*").alias("_n")), "counted")
     placed = written(counted.repartitionByRange(n, *keys, "_v").withColumn("_part", F.spark_partition_id()), "ranges")
     sums = placed.groupBy("_part", *keys).agg(F.sum("_n").alias("_sum"))
     # one row a range here, so a window of a group holds as many rows as there are ranges
