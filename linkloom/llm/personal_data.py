@@ -222,11 +222,14 @@ def _features(span: Column) -> list[Column]:
     return [span["size"], span["digits"], span["signs"], *votes]
 
 
-def reliabilities(counts: dict[int, int], steps: int = 60) -> dict[int, float]:
+def reliabilities(counts: dict[int, int], steps: int = 60, known: dict[int, float] | None = None) -> dict[int, float]:
     """Chance of being personal data for each vote pattern, by EM over counts of
-    patterns with two classes and labelers independent given the class."""
+    patterns with two classes and labelers independent given the class. Patterns in
+    ``known`` keep their chance."""
+    known = known or {}
     votes = {c: [c // 3**j % 3 for j in range(N_LABELERS)] for c in counts}
     chance = {c: 1 / (1 + math.exp(-1.5 * (v.count(_YES) - 1.5 * v.count(_NO)))) for c, v in votes.items()}
+    chance |= known
     for _ in range(steps):
         total = [1.0, 1.0]
         seen = [[[1.0, 1.0] for _ in range(3)] for _ in range(N_LABELERS)]
@@ -237,7 +240,7 @@ def reliabilities(counts: dict[int, int], steps: int = 60) -> dict[int, float]:
                     seen[j][v][z] += n * p
         for c, v in votes.items():
             log = [math.log(total[z] / sum(total)) + sum(math.log(seen[j][x][z] / sum(s[z] for s in seen[j])) for j, x in enumerate(v)) for z in (0, 1)]
-            chance[c] = 1 / (1 + math.exp(max(-500.0, min(500.0, log[0] - log[1]))))
+            chance[c] = known.get(c, 1 / (1 + math.exp(max(-500.0, min(500.0, log[0] - log[1])))))
     return chance
 
 
@@ -246,7 +249,12 @@ def train_classifier(spanned: DataFrame) -> dict[tuple[int, int, int], float]:
     ``spanned``: (_spans, ...). Only bounded tables of counts are collected."""
     each = spanned.select(F.explode("_spans").alias("s"))
     codes = each.groupBy("s.kind", "s.code").agg(F.count("*").alias("n")).collect()
-    chance = {k: reliabilities({r["code"]: r["n"] for r in codes if r["kind"] == k}) for k in {r["kind"] for r in codes}}
+    # a span that fails the check of its kind (checksum, parts, digits) is known to be none
+    failed = {r["code"]: 0.0 for r in codes if r["code"] // 3 % 3 == _NO}
+    chance = {}
+    for k in {r["kind"] for r in codes}:
+        own = {r["code"]: r["n"] for r in codes if r["kind"] == k}
+        chance[k] = reliabilities(own, known={c: p for c, p in failed.items() if c in own})
     pairs = F.array(*[F.struct(F.lit(i).alias("f"), x.cast("int").alias("v")) for i, x in enumerate(_features(F.col("s")))])
     cells = each.select("s.kind", "s.code", F.explode(pairs).alias("p")).groupBy("kind", "code", "p.f", "p.v").agg(F.count("*").alias("n")).collect()
     seen: dict[tuple[int, int, int], list[float]] = {}
