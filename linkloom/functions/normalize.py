@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -48,7 +48,7 @@ def _steps(o: Options) -> tuple[list[Step], list[Step]]:
     return before, [*after, t.collapse, F.lower, *o.extra]
 
 
-def normalized(df: DataFrame, name: str, out: str = "normalized_name", options: Options | None = None, phrases: DataFrame | None = None) -> DataFrame:
+def normalized(df: DataFrame, name: str, out: str = "normalized_name", options: Options | None = None, phrases: DataFrame | Mapping[str, str] | None = None) -> DataFrame:
     """``df`` with the normalised ``name`` in column ``out``. Steps that read a
     token list more than once are projected one by one, so that Spark keeps them
     apart and no list is built twice. ``phrases``: a table of words and phrases (see

@@ -1,7 +1,8 @@
 """Dictionaries of words and phrases as tables.
 
 Every run of tokens of a name whose length occurs in the dictionary is looked up by
-an equality join, so the dictionary may be of any size and is part of no closure.
+an equality join, so the dictionary may be of any size and is part of no closure; a
+phrase that a great part of the names hold is a skewed key, which Spark splits.
 The phrases that stay are chosen by a fold over a name's hits: from the left, the
 longest at each place. Names are looked up once each.
 
@@ -12,13 +13,13 @@ by ``order`` stays, without one the greatest value.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import text as t
 
-#: A phrase that a great part of the names hold is spread over this many tasks.
-SALTS = 16
 HITS = "array<struct<pos:int,back:int,value:string>>"
 
 
@@ -32,15 +33,16 @@ def phrase_table(entries: DataFrame, key: str = "key", value: str = "value", ord
 
 def phrase_hits(names: DataFrame, phrases: DataFrame) -> DataFrame:
     """_name, _hits of names that hold a phrase: (pos, -n, value), by place, the
-    longest first. ``names``: (_name, _ts)."""
+    longest first. ``names``: (_name, _ts). An outer join, as only the dictionary may
+    be broadcast: Spark doesn't count how many runs the names are exploded to."""
     lengths = F.array(*[F.lit(r["n"]) for r in phrases.select("n").distinct().orderBy("n").collect()]).cast("array<int>")  # at most the words of the longest phrase
     size = F.size("_ts")
     places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
     runs = F.flatten(F.transform(places, lambda i: F.transform(F.filter(lengths, lambda n: i + n <= size), lambda n: F.struct(i.alias("pos"), n.alias("n"), F.array_join(F.slice(F.col("_ts"), i + 1, n), " ").alias("phrase")))))
-    asked = names.select("_name", F.explode(runs).alias("_w")).select("_name", "_w.*", F.pmod(F.xxhash64("_name"), F.lit(SALTS)).alias("_salt"))
-    known = phrases.select("phrase", "value", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
-    found = asked.join(known, ["phrase", "_salt"])
-    return found.groupBy("_name").agg(F.array_sort(F.collect_list(F.struct("pos", (-F.col("n")).alias("back"), "value"))).cast(HITS).alias("_hits"))
+    asked = names.select("_name", F.explode(runs).alias("_w")).select("_name", "_w.*")
+    found = asked.join(phrases.select("phrase", "value"), "phrase", "left")
+    hit = F.when(F.col("value").isNotNull(), F.struct("pos", (-F.col("n")).alias("back"), "value"))
+    return found.groupBy("_name").agg(F.array_sort(F.collect_list(hit)).cast(HITS).alias("_hits")).where(F.size("_hits") > 0)
 
 
 def _assembled(ts: Column, hits: Column) -> Column:
@@ -58,12 +60,15 @@ def _assembled(ts: Column, hits: Column) -> Column:
     return F.array_join(F.filter(F.flatten(F.transform(F.array(kept), parts)), lambda x: x != ""), " ")
 
 
-def replaced(df: DataFrame, name: str, phrases: DataFrame, out: str | None = None) -> DataFrame:
-    """``df`` with the phrases of ``phrases`` (see ``phrase_table``) replaced in
-    ``name``, the result in column ``out`` (else in ``name``)."""
+def replaced(df: DataFrame, name: str, phrases: DataFrame | Mapping[str, str], out: str | None = None) -> DataFrame:
+    """``df`` with the phrases of ``phrases`` (see ``phrase_table``; a small dictionary
+    may be a mapping) replaced in ``name``, the result in column ``out`` (else in
+    ``name``)."""
     out = out or name
+    if isinstance(phrases, Mapping):
+        phrases = phrase_table(df.sparkSession.createDataFrame(list(phrases.items()), "key string, value string"))
     names = df.select(F.col(f"`{name}`").alias("_name")).where("_name is not null").distinct().withColumn("_ts", t.tokens(F.col("_name")))
-    new = names.join(phrase_hits(names, phrases), "_name").select("_name", _assembled(F.col("_ts"), F.col("_hits")).alias("_new"))
+    new = phrase_hits(names, phrases).select("_name", _assembled(t.tokens(F.col("_name")), F.col("_hits")).alias("_new"))
     value = F.coalesce(F.col("_new"), F.array_join(t.tokens(F.col(f"`{name}`")), " "))
     kept = [value.alias(c) if c == out else F.col(f"`{c}`") for c in df.columns] + ([] if out in df.columns else [value.alias(out)])
     return df.join(new, F.col(f"`{name}`") == F.col("_name"), "left").select(*kept)

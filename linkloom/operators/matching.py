@@ -182,11 +182,12 @@ def map_brands(df: DataFrame, name: str, brands: DataFrame, out: str | None = No
     """``df`` with brands replaced in ``name``: equal phrases first, then each word
     with an Arabic letter that is left by the brand nearest to it (``fuzzy_dictionary``).
     ``brands``: (key, value, ord)."""
-    exact = replaced(df, name, phrase_table(brands, order="ord"), out)
+    # written, as each table is read several times below
+    exact = written(replaced(df, name, written(phrase_table(brands, order="ord"), "brands"), out), "exact")
     words = exact.select(F.explode(F.array_distinct(t.tokens(F.col(f"`{out or name}`")))).alias("token")).where(t.has_arabic(F.col("token"))).distinct()
     known = brands.groupBy("key").agg(F.min("ord").alias("ord"), F.max_by("value", "ord").alias("value"))
     near = fuzzy_dictionary(words, known).join(known.select("key", "value"), "key")
-    return replaced(exact, out or name, phrase_table(near, "token"))
+    return replaced(exact, out or name, written(phrase_table(near, "token"), "near"))
 
 
 def membership(df: DataFrame, column: str, names: DataFrame, name: str, out: str = "exact_in_destination") -> DataFrame:

@@ -53,6 +53,16 @@ def test_brands_exact_then_fuzzy(spark):
     assert got == ["panadol extra 24", "panadol 24", "otrivin نقط", "otrivin", "panadl", None]
 
 
+def test_names_are_never_broadcast(spark):
+    # explode multiplies rows that Spark's size estimates don't count, so only the dictionary may be
+    df = spark.range(20_000).select(F.concat_ws(" ", F.lit("hot pan"), F.col("id").cast("string"), F.lit("of gold")).alias("name"))
+    table = phrases.phrase_table(spark.createDataFrame([("hot pan", "p"), ("of gold", "oro"), ("7 of", "x")], "key string, value string"))
+    out = phrases.replaced(df, "name", table)
+    got = {r["name"] for r in out.collect()}
+    assert len(got) == 20_000 and {"p 8 oro", "p x gold"} <= got
+    assert "BuildLeft" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.fixture(scope="module")
 def lists(spark):
     rng = np.random.default_rng(2)
