@@ -521,9 +521,18 @@ def latency_stats(spark: SparkSession, sf: str) -> DataFrame:
 # pages
 
 
-@query(r"""
-SELECT page_id, title, platform FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS raw_title, replace(raw_title, '&amp;', '&') AS title,
- CASE WHEN regexp_matches(html, '(?i)cdn\.shopify\.com|Shopify\.theme') THEN 'shopify' WHEN regexp_matches(html, '(?i)woocommerce|wp-content/plugins') THEN 'woocommerce' WHEN regexp_matches(html, '(?i)__NEXT_DATA__') THEN 'next' ELSE 'custom' END AS platform FROM pages)""")
+_SPACE = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_PLAIN = r"regexp_replace(h, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]+>', ' ', 'g')"
+for _entity, _sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_entity}', '{_sign}')"
+
+
+@query(
+    r"""
+SELECT page_id, coalesce(trim(regexp_replace(""" + _PLAIN + ", '" + _SPACE + r"""', ' ', 'g')), '') AS title,
+ CASE WHEN regexp_matches(html, '(?i)cdn\.shopify\.com|Shopify\.theme') THEN 'shopify' WHEN regexp_matches(html, '(?i)woocommerce|wp-content/plugins') THEN 'woocommerce' WHEN regexp_matches(html, '(?i)__NEXT_DATA__') THEN 'next' ELSE 'custom' END AS platform
+FROM (SELECT page_id, html, regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1>', 1) AS h FROM pages)"""
+)
 def page_titles(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "pages")
     return p.select("page_id", F.coalesce(pages.tag_text(F.col("html"), "h1"), F.lit("")).alias("title"), pages.platform(F.col("html"), F.col("url")).alias("platform"))

@@ -2,11 +2,13 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from linkloom.functions import text as t
 from linkloom.operators import containment, pages, tables
+from linkloom.plans import queries
 
 
 def test_holding_pairs_equal_all_pairs(spark):
@@ -56,3 +58,14 @@ def test_menus_and_cards_of_odd_pages(spark):
     (tree,) = pages.category_tree(df).collect()
     assert (tree["name"], tree["slug"], [tuple(x) for x in tree["sub_categories"]]) == ("A & B", "a", [("S", "/s", "s")])
     assert pages.brand_cards(df).count() == 0
+
+
+def test_titles_and_their_sql_resolve_the_same(spark, tmp_path):
+    heads = ["a &quot;b&quot; &lt;c&gt; it&#39;s", "a&nbsp;&nbsp;b\u00a0\u2003c\x0bd", "&copy; x &middot; y &amp;lt; z", "<b>x</b><!-- no --> <script>var a = 1;</script>y<STYLE>p{}</style>", " ", "x" * 3 + "\u0085\n\n<i>y</i>&amp;quot;"]
+    htmls = [f"<h1 class='t'>{h}</h1><h1>second</h1>" for h in heads] + ["<p>no heading</p>", None]
+    spark.createDataFrame(list(enumerate(["https://a.org/"] * len(htmls))), "page_id long, url string").join(spark.createDataFrame(list(enumerate(htmls)), "page_id long, html string"), "page_id").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: (r["title"], r["platform"]) for r in queries.QUERIES["page_titles"](spark, str(tmp_path)).collect()}
+    duck = duckdb.connect()
+    duck.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert {r[0]: r[1:] for r in duck.execute(f"select page_id, title, platform from ({queries.ORACLE_SQL['page_titles']})").fetchall()} == got
+    assert [got[i][0] for i in (0, 1, 2, 3, 6)] == ['a "b" <c> it\'s', "a b c d", "© x · y &lt; z", "x y", ""]
