@@ -49,20 +49,26 @@ def _steps(o: Options) -> tuple[list[Step], list[Step]]:
 
 
 def normalized(df: DataFrame, name: str, out: str = "normalized_name", options: Options | None = None, phrases: DataFrame | Mapping[str, str] | None = None) -> DataFrame:
-    """``df`` with the normalised ``name`` in column ``out``. Steps that read a
-    token list more than once are projected one by one, so that Spark keeps them
-    apart and no list is built twice. ``phrases``: a table of words and phrases (see
-    ``phrases.phrase_table``), replaced between the Arabic and the English steps."""
+    """``df`` with the normalised ``name`` in column ``out``. Each distinct name is
+    normalised once, by as many tasks as the session names: names are small rows with
+    much work each, and a file of millions may be read by one task. So extra steps see
+    the name alone. Steps that read a token list more than once are projected one by
+    one, so that Spark keeps them apart and no list is built twice. ``phrases``: a table
+    of words and phrases (see ``phrases.phrase_table``), replaced between the Arabic and
+    the English steps."""
     before, after = _steps(options or Options())
-    own = [c for c in df.columns if c != out]
-    cur = df.withColumn("_n", F.coalesce(F.col(name), F.lit("")))
+    own = [F.col(f"`{c}`") for c in df.columns if c != out]
+    given = F.coalesce(F.col(name), F.lit(""))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cur = df.select(given.alias("_given")).distinct().repartition(tasks).withColumn("_n", F.col("_given"))
     for step in before:
         cur = cur.withColumn("_n", step(F.col("_n")))
     if phrases is not None:
         cur = replaced(cur, "_n", phrases)
     for step in after:
         cur = cur.withColumn("_n", step(F.col("_n")))
-    return cur.select(*[F.col(f"`{c}`") for c in own], F.col("_n").alias(out))
+    new = cur.select("_given", F.col("_n").alias("_normalized"))
+    return df.join(new, given == F.col("_given"), "left").select(*own, F.col("_normalized").alias(out))
 
 
 def normalize_missing(df: DataFrame, names: Sequence[str], out: str = "normalized_name_en", options: Options | None = None) -> DataFrame:

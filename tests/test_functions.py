@@ -52,6 +52,19 @@ def test_phrases_and_extra_steps(spark):
     assert out == "PANADOL EXTRA 500 MG"
 
 
+def test_each_distinct_name_is_normalised_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(v):
+        calls.add(1)
+        return v
+
+    df = spark.range(0, 4000, 1, 1).select("id", F.when(F.col("id") % 5 < 4, F.concat(F.lit("Cold pan "), (F.col("id") % 5).cast("string"), F.lit("GM"))).alias("v"))
+    got = {(r["id"] % 5, r["o"]) for r in normalized(df, "v", "o", Options(extra=(counted,))).collect()}
+    assert got == {(0, "cold pan 0 mg"), (4, "")} | {(i, f"cold pan {i}000 mg") for i in (1, 2, 3)} and calls.value == 5
+
+
 def test_only_missing_names_are_normalised(spark):
     df = spark.createDataFrame([("1", "A 1GM", None, None), ("2", None, "b 2mg", ""), ("3", "C", None, "kept")], "id string, title_en string, title_ar string, normalized_name_en string")
     got = {r["id"]: r["normalized_name_en"] for r in normalize_missing(df, ["title_en", "title_ar", "id"]).collect()}
