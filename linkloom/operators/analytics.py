@@ -11,6 +11,7 @@ from linkloom.functions import similarity as s
 from linkloom.functions import text as t
 from linkloom.operators import quantiles
 from linkloom.operators.tables import numbered
+from linkloom.sources.shared import written
 
 
 def counts_by(df: DataFrame, key: str | Column, first: Sequence[str] = (), order: str | None = None, name: str = "key") -> DataFrame:
@@ -77,14 +78,29 @@ def token_frequency(df: DataFrame, column: str, separator: str = ",", k: int = 1
 SALTS = 16
 
 
-def _weighed(rows: DataFrame, side: str, word: str, count: str, least: int) -> DataFrame:
-    """_id, words: the words of each row's list ``side`` that occur ``least`` times,
-    with how often each occurs over all rows."""
+def _weighed(rows: DataFrame, side: str, word: str, count: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """_id, words: the words of each row's list ``side`` that occur ``least`` times, with
+    how often each occurs over all rows and its number; and the table of these words."""
     terms = rows.select("_id", "_m", F.explode(side).alias(word))
     counts = terms.groupBy(word).agg(F.sum("_m").alias(count)).where(F.col(count) >= least)
-    salted = terms.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)))
+    counts = written(counts.withColumn(f"_{word}", F.monotonically_increasing_id()), "words")
+    salted = terms.withColumn("_salt", F.pmod(F.col("_id"), F.lit(SALTS)))
     known = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(known, [word, "_salt"]).groupBy("_id", "_m").agg(F.collect_list(F.struct(word, count)).alias(f"_{word}s"))
+    return salted.join(known, [word, "_salt"]).groupBy("_id", "_m").agg(F.collect_list(F.struct(f"_{word}", word, count)).alias(f"_{word}s")), counts
+
+
+def _pairs_of(pairs: DataFrame, left: str, right: str, distinct: bool, least: int, least_jaccard: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The pairs of ``word_pairs`` with the numbers _a and _b of their words, and the
+    words of both sides: (a, n_a, _a) and (b, n_b, _b)."""
+    each = F.array_distinct if distinct else (lambda c: c)
+    rows = pairs.select(each(F.col(left)).alias("_l"), each(F.col(right)).alias("_r")).groupBy("_l", "_r").agg(F.count("*").alias("_m"))
+    rows = written(rows.withColumn("_id", F.monotonically_increasing_id()), "rows")  # read four times below
+    floor = least if distinct else 1
+    (a, known_a), (b, known_b) = _weighed(rows, "_l", "a", "n_a", floor), _weighed(rows, "_r", "b", "n_b", floor)
+    both = a.join(b.drop("_m"), "_id").select("_m", F.explode("_as").alias("_x"), "_bs").select("_m", "_x.*", F.explode("_bs").alias("_y")).select("_a", "a", "n_a", "_y.*", "_m")
+    if distinct and least_jaccard > 0:
+        both = both.where(F.least("n_a", "n_b") >= F.lit(least_jaccard - 1e-9) * F.greatest("n_a", "n_b"))
+    return both, known_a, known_b
 
 
 def word_pairs(pairs: DataFrame, left: str, right: str, distinct: bool = True, least: int = 1, least_jaccard: float = 0.0) -> DataFrame:
@@ -93,21 +109,16 @@ def word_pairs(pairs: DataFrame, left: str, right: str, distinct: bool = True, l
     With ``distinct`` words that occur less than ``least`` times go before any pair is
     formed, as co <= min(n_a, n_b), and pairs whose counts are too far apart go before
     they are counted, as the Jaccard similarity is at most min / max."""
-    each = F.array_distinct if distinct else (lambda c: c)
-    rows = pairs.select(each(F.col(left)).alias("_l"), each(F.col(right)).alias("_r")).groupBy("_l", "_r").agg(F.count("*").alias("_m"))
-    rows = rows.withColumn("_id", F.sha2(F.to_json(F.struct("_l", "_r")), 256))
-    floor = least if distinct else 1
-    a, b = _weighed(rows, "_l", "a", "n_a", floor), _weighed(rows, "_r", "b", "n_b", floor).drop("_m")
-    both = a.join(b, "_id").select("_m", F.explode("_as").alias("_a"), "_bs").select("_m", "_a.*", F.explode("_bs").alias("_b")).select("a", "n_a", "_b.*", "_m")
-    if distinct and least_jaccard > 0:
-        both = both.where(F.least("n_a", "n_b") >= F.lit(least_jaccard - 1e-9) * F.greatest("n_a", "n_b"))
-    return both
+    return _pairs_of(pairs, left, right, distinct, least, least_jaccard)[0].select("a", "n_a", "b", "n_b", "_m")
 
 
 def cooccurrence(pairs: DataFrame, left: str, right: str, distinct: bool = True, least: int = 1, least_jaccard: float = 0.0) -> DataFrame:
     """a, b, co, n_a, n_b of token lists of the same rows with a count of ``least`` or
-    more, and with ``least_jaccard`` only pairs that can reach it."""
-    return word_pairs(pairs, left, right, distinct, least, least_jaccard).groupBy("a", "b", "n_a", "n_b").agg(F.sum("_m").alias("co")).where(F.col("co") >= least).select("a", "b", "co", "n_a", "n_b")
+    more, and with ``least_jaccard`` only pairs that can reach it. Pairs are counted by
+    the numbers of their words, which take less room than the words and their counts."""
+    both, known_a, known_b = _pairs_of(pairs, left, right, distinct, least, least_jaccard)
+    co = both.groupBy("_a", "_b").agg(F.sum("_m").alias("co")).where(F.col("co") >= least)
+    return co.join(known_a, "_a").join(known_b, "_b").select("a", "b", "co", "n_a", "n_b")
 
 
 def word_profile(pairs: DataFrame, left: str, right: str, word: str, k: int = 15) -> DataFrame:

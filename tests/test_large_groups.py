@@ -100,6 +100,14 @@ def test_rare_words_form_no_pairs(lists):
     assert [r["b"] for r in analytics.word_profile(df, "l", "r", "hot", 2).collect()] == ["hot", "w2"]
 
 
+def test_pairs_are_counted_by_numbers(lists):
+    # the shuffle of pairs is the largest: it carries two numbers and a count, neither words nor row hashes
+    plan = analytics.cooccurrence(lists[1], "l", "r", True, 4)._jdf.queryExecution().executedPlan().toString()
+    keys = [x.split("]")[0].split(", ") for x in plan.split("Aggregate(keys=[")[1:]]
+    assert [k for k in keys if any(x.startswith("_b#") for x in k)] and not [k for k in keys if any(x.startswith(("a#", "b#", "n_a#")) for x in k)]
+    assert "sha2" not in plan
+
+
 def test_quantiles_against_numpy(spark):
     rng = np.random.default_rng(3)
     groups = {"hot": rng.normal(size=3000).round(2), "one": np.array([5.0]), "same": np.full(500, 2.0), None: rng.integers(0, 9, 40).astype(float), "two": np.array([1.0, 4.0])}
